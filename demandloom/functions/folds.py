@@ -1,0 +1,82 @@
+"""Sequential per-series recurrences as JVM-side array folds.
+
+A series holds one row per date, so its array is bounded by the length of the
+calendar however many raw rows fed it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def gather_series(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
+    """One row per series with its observations in order."""
+    obs = F.array_sort(F.collect_list(F.struct(order, *columns)))
+    return df.groupBy(*keys).agg(obs.alias("obs"))
+
+
+def past_ewm(values: Column, span: int) -> Column:
+    """Exponentially weighted mean of all earlier values, bias-adjusted.
+
+    Element i is the mean before observation i; the first is NULL.
+    """
+    keep = 1.0 - 2.0 / (span + 1.0)
+    start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"), F.array().cast("array<double>").alias("out"))
+
+    def step(acc, x):
+        return F.struct(
+            (acc["num"] * keep + x).alias("num"),
+            (acc["den"] * keep + 1.0).alias("den"),
+            F.concat(acc["out"], F.array(F.try_divide(acc["num"], acc["den"]))).alias("out"),
+        )
+
+    return F.aggregate(values, start, step, lambda acc: acc["out"])
+
+
+def add_past_ewm(df: DataFrame, keys: Sequence[str], order: str, value: str, spans: Mapping[str, int]) -> DataFrame:
+    """Attach EWM columns (name -> span) of earlier values of each series."""
+    carried = [c for c in df.columns if c not in (*keys, order)]
+    packed = gather_series(df, keys, order, carried)
+    values = F.transform("obs", lambda o: o[value].cast("double"))
+    packed = packed.withColumns({f"_{name}": past_ewm(values, span) for name, span in spans.items()})
+    zipped = F.arrays_zip("obs", *[f"_{name}" for name in spans])
+    rows = packed.select(*keys, F.explode(zipped).alias("z"))
+    return rows.select(
+        *keys, F.col(f"z.obs.{order}").alias(order),
+        *[F.col(f"z.obs.{c}").alias(c) for c in carried],
+        *[F.col(f"z._{name}").alias(name) for name in spans],
+    )
+
+
+def intermittent_path(values: Column, alpha: float, beta: float) -> Column:
+    """Croston level, interval and demand probability before each observation.
+
+    Level and interval move only on positive demand, the probability on every
+    observation.
+    """
+    start = F.struct(
+        F.lit(0.0).alias("level"), F.lit(1.0).alias("gap"), F.lit(0.0).alias("prob"),
+        F.lit(0.0).alias("idle"),
+        F.array().cast("array<struct<level:double,gap:double,prob:double>>").alias("out"),
+    )
+
+    def step(acc, y):
+        hit = y > 0
+        waited = acc["idle"] + 1.0
+        # only a series that opens with demand initialises from it; after leading
+        # zeros the first demand is smoothed from level 0 and interval 1
+        first = hit & (acc["level"] == 0.0) & (acc["idle"] == 0.0)
+        level = F.when(first, y).when(hit, acc["level"] + alpha * (y - acc["level"])).otherwise(acc["level"])
+        gap = F.when(first, waited).when(hit, acc["gap"] + alpha * (waited - acc["gap"])).otherwise(acc["gap"])
+        prob = acc["prob"] + beta * (F.when(hit, 1.0).otherwise(0.0) - acc["prob"])
+        snapshot = F.struct(acc["level"].alias("level"), acc["gap"].alias("gap"), acc["prob"].alias("prob"))
+        return F.struct(
+            level.alias("level"), F.greatest(gap, F.lit(1.0)).alias("gap"), prob.alias("prob"),
+            F.when(hit, 0.0).otherwise(waited).alias("idle"),
+            F.concat(acc["out"], F.array(snapshot)).alias("out"),
+        )
+
+    return F.aggregate(values, start, step, lambda acc: acc["out"])
