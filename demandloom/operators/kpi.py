@@ -27,13 +27,13 @@ def executive(sales: DataFrame, inventory: DataFrame, skus: DataFrame, stores: D
     stock = latest(inventory, "date").join(skus.select("sku_id", "cost_price", "safety_stock", "reorder_point"), "sku_id", "left")
     end = F.col("ending_inventory")
     row = stock.agg(
-        F.sum(end).alias("total_inventory_units"), rnd(F.sum(end * F.col("cost_price")), 2).alias("total_inventory_value"),
+        F.sum(end).alias("total_inventory_units"), rnd(F.sum(end * F.col("cost_price")), 4).alias("total_inventory_value"),
         F.sum("stockout_flag").alias("current_stockout_count"), rnd(F.avg("stockout_flag") * 100.0, 4).alias("current_stockout_rate_pct"),
         F.count_if(end <= F.col("reorder_point")).alias("reorder_triggered_count"), F.count_if(end < F.col("safety_stock")).alias("safety_stock_breaches"),
         F.max("date").alias("latest_date"),
     )
     sold = sales.agg(
-        rnd(F.sum("total_revenue"), 2).alias("a"), F.sum("units_sold").alias("b"), F.sum("transaction_count").alias("c"), F.count_distinct("sku_id").alias("d")
+        rnd(F.sum("total_revenue"), 4).alias("a"), F.sum("units_sold").alias("b"), F.sum("transaction_count").alias("c"), F.count_distinct("sku_id").alias("d")
     ).select(F.struct("a", "b", "c", "d").alias("s")).scalar()
     count = lambda d: d.agg(F.count(N).alias("n")).select("n").scalar()
     row = row.withColumns({"_s": sold, "total_stores": count(stores), "total_skus": count(skus)})
@@ -44,7 +44,7 @@ def executive(sales: DataFrame, inventory: DataFrame, skus: DataFrame, stores: D
 
 def sku_totals(sales: DataFrame) -> DataFrame:
     return sales.groupBy("sku_id").agg(
-        F.sum("units_sold").alias("total_units"), rnd(F.sum("total_revenue"), 2).alias("total_revenue"),
+        F.sum("units_sold").alias("total_units"), rnd(F.sum("total_revenue"), 4).alias("total_revenue"),
         rnd(F.avg("avg_unit_price"), 4).alias("avg_price"), F.count_distinct("date").alias("active_days"),
     )
 
@@ -64,13 +64,13 @@ def by_store_attributes(sales: DataFrame, stores: DataFrame, by: Sequence[str])
     )
     joined = per_store.join(stores.select("store_id", *by), "store_id", "left")
     return joined.groupBy(*by).agg(
-        rnd(F.sum("r"), 2).alias("total_revenue"), F.sum("u").alias("total_units"), rnd(ratio(F.sum("p"), F.sum("k")), 4).alias("avg_price"),
+        rnd(F.sum("r"), 4).alias("total_revenue"), F.sum("u").alias("total_units"), rnd(ratio(F.sum("p"), F.sum("k")), 4).alias("avg_price"),
         F.count(N).alias("stores"),
     )
 
 
 def monthly_seasonality(sales: DataFrame) -> DataFrame:
-    return sales.groupBy(F.month("date").alias("month")).agg(rnd(F.sum("total_revenue"), 2).alias("total_revenue"), F.sum("units_sold").alias("total_units"))
+    return sales.groupBy(F.month("date").alias("month")).agg(rnd(F.sum("total_revenue"), 4).alias("total_revenue"), F.sum("units_sold").alias("total_units"))
 
 
 def holiday_uplift(sales: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def holiday_uplift(sales: DataFrame, calendar: DataFrame) -> DataFrame:
     hol, normal = F.coalesce(mean(1), F.lit(0.0)), F.coalesce(mean(0), F.lit(1.0))
     return daily.agg(
         rnd(mean(1), 4).alias("holiday_mean"), rnd(mean(0), 4).alias("normal_mean"),
-        rnd((hol / F.greatest(F.lit(0.01), normal) - 1) * 100.0, 2).alias("holiday_uplift_pct"),
+        rnd((hol / F.greatest(F.lit(0.01), normal) - 1) * 100.0, 4).alias("holiday_uplift_pct"),
     )
 
 
@@ -97,17 +97,17 @@ def growth(sales: DataFrame, n: int = 5) -> DataFrame:
 
 def projection(sales: DataFrame, days: int = 30) -> DataFrame:
     daily = sales.groupBy("date").agg(F.sum("units_sold").alias("u"))
-    return daily.agg(rnd(F.avg("u"), 4).alias("mean_daily_units"), rnd(F.avg("u") * days, 2).alias("projected_units"))
+    return daily.agg(rnd(F.avg("u"), 4).alias("mean_daily_units"), rnd(F.avg("u") * days, 4).alias("projected_units"))
 
 
 def business_answers(sales: DataFrame, calendar: DataFrame, risk: DataFrame) -> DataFrame:
     """Key figures behind the ten questions and the recommendation texts."""
     crit = F.col("stockout_risk_level") == "CRITICAL / HIGH"
     row = risk.agg(
-        F.count_if("reorder_triggered").alias("reorder_count"), rnd(F.sum(F.when(F.col("reorder_triggered"), F.col("recommended_order_spend"))), 2).alias("reorder_spend"),
-        F.count_if(crit).alias("critical_count"), rnd(F.coalesce(F.sum(F.when(crit, F.col("potential_lost_daily_revenue"))), F.lit(0.0)) * 30, 2).alias("lost_revenue_monthly"),
+        F.count_if("reorder_triggered").alias("reorder_count"), rnd(F.sum(F.when(F.col("reorder_triggered"), F.col("recommended_order_spend"))), 4).alias("reorder_spend"),
+        F.count_if(crit).alias("critical_count"), rnd(F.coalesce(F.sum(F.when(crit, F.col("potential_lost_daily_revenue"))), F.lit(0.0)) * 30, 4).alias("lost_revenue_monthly"),
         F.count_if(F.col("overstock_risk_level") == "SEVERE OVERSTOCK").alias("severe_overstock_count"),
-        rnd(F.sum("capital_tied_up"), 2).alias("capital_tied_up"), rnd(F.sum("annual_holding_cost"), 2).alias("annual_holding_cost"),
+        rnd(F.sum("capital_tied_up"), 4).alias("capital_tied_up"), rnd(F.sum("annual_holding_cost"), 4).alias("annual_holding_cost"),
     )
     row = row.withColumns({
         "holiday_uplift_pct": holiday_uplift(sales, calendar).select("holiday_uplift_pct").scalar(),
@@ -121,14 +121,14 @@ def business_answers(sales: DataFrame, calendar: DataFrame, risk: DataFrame) ->
 
 
 def yearly_growth(sales: DataFrame) -> DataFrame:
-    years = sales.groupBy(F.year("date").alias("year")).agg(rnd(F.sum("total_revenue"), 2).alias("revenue"))
+    years = sales.groupBy(F.year("date").alias("year")).agg(rnd(F.sum("total_revenue"), 4).alias("revenue"))
     before = F.lag("revenue").over(Window.orderBy("year"))  # one row per year
     return years.withColumn("yoy_growth_pct", rnd(ratio(F.col("revenue") - before, before) * 100.0, 4))
 
 
 def by_source(facts: DataFrame) -> DataFrame:
     t = facts.groupBy("source_dataset").agg(
-        rnd(F.sum("revenue"), 2).alias("revenue"), F.sum("units_sold").alias("units"), F.sum("transaction_count").alias("transactions"),
+        rnd(F.sum("revenue"), 4).alias("revenue"), F.sum("units_sold").alias("units"), F.sum("transaction_count").alias("transactions"),
         F.count_distinct("date").alias("active_days"), F.count_distinct("product_key").alias("products"),
     )
     return t.withColumns({
@@ -138,14 +138,14 @@ def by_source(facts: DataFrame) -> DataFrame:
 
 
 def daily_trend(facts: DataFrame, windows: Sequence[int] = (7, 30)) -> DataFrame:
-    daily = facts.groupBy("source_dataset", "date").agg(rnd(F.sum("revenue"), 2).alias("revenue"), F.sum("units_sold").alias("units"))
+    daily = facts.groupBy("source_dataset", "date").agg(rnd(F.sum("revenue"), 4).alias("revenue"), F.sum("units_sold").alias("units"))
     w = Window.partitionBy("source_dataset").orderBy("date")  # one row per day
     return daily.withColumns({f"revenue_ma_{k}": rnd(F.avg("revenue").over(w.rowsBetween(-(k - 1), 0)), 4) for k in windows})
 
 
 def monthly(facts: DataFrame) -> DataFrame:
     return facts.groupBy("source_dataset", F.date_format("date", "yyyy-MM").alias("month")).agg(
-        rnd(F.sum("revenue"), 2).alias("revenue"), F.sum("units_sold").alias("units"), F.sum("transaction_count").alias("transactions")
+        rnd(F.sum("revenue"), 4).alias("revenue"), F.sum("units_sold").alias("units"), F.sum("transaction_count").alias("transactions")
     )
 
 
@@ -153,13 +153,13 @@ def product_performance(facts: DataFrame, products: DataFrame) -> DataFrame:
     t = facts.groupBy("source_dataset", "product_key").agg(F.sum("revenue").alias("r"), F.sum("units_sold").alias("units"), F.count_distinct("date").alias("active_days"))
     j = t.join(products.select("product_key", "cost_price", "category"), "product_key", "left")
     return j.select(
-        "source_dataset", "product_key", "category", rnd("r", 2).alias("revenue"), "units", "active_days",
+        "source_dataset", "product_key", "category", rnd("r", 4).alias("revenue"), "units", "active_days",
         rnd(ratio("r", "units"), 4).alias("realised_price"), rnd(ratio(F.col("r") - F.col("units") * F.col("cost_price"), "r") * 100.0, 4).alias("gross_margin_pct"),
     )
 
 
 def product_revenue(facts: DataFrame) -> DataFrame:
-    return facts.groupBy("source_dataset", "product_key").agg(rnd(F.sum("revenue"), 2).alias("revenue"))
+    return facts.groupBy("source_dataset", "product_key").agg(rnd(F.sum("revenue"), 4).alias("revenue"))
 
 
 def pareto(facts: DataFrame, cut: float = 0.8) -> DataFrame:
@@ -177,14 +177,14 @@ def by_category(sales: DataFrame, skus: DataFrame) -> DataFrame:
     t = j.groupBy("category").agg(F.sum("r").alias("r"), F.sum("u").alias("u"), F.sum(F.col("u") * F.col("cost_price")).alias("c"))
     w = Window.partitionBy()  # one row per category
     return t.select(
-        "category", rnd("r", 2).alias("revenue"), F.col("u").alias("units"), rnd(ratio("r", F.sum("r").over(w)) * 100.0, 4).alias("revenue_share_pct"),
+        "category", rnd("r", 4).alias("revenue"), F.col("u").alias("units"), rnd(ratio("r", F.sum("r").over(w)) * 100.0, 4).alias("revenue_share_pct"),
         rnd(ratio("u", F.sum("u").over(w)) * 100.0, 4).alias("unit_share_pct"), rnd(ratio(F.col("r") - F.col("c"), "r") * 100.0, 4).alias("gross_margin_pct"),
     )
 
 
 def guest_split(lines: DataFrame) -> DataFrame:
     sales = lines.where(F.col("transaction_type") == "SALE")
-    t = sales.groupBy("is_guest_transaction").agg(rnd(F.sum(F.col("quantity") * F.col("price")), 2).alias("revenue"), F.count(N).alias("lines"), F.count_distinct("invoice").alias("invoices"))
+    t = sales.groupBy("is_guest_transaction").agg(rnd(F.sum(F.col("quantity") * F.col("price")), 4).alias("revenue"), F.count(N).alias("lines"), F.count_distinct("invoice").alias("invoices"))
     w = Window.partitionBy()  # two rows
     return t.withColumn("revenue_share_pct", rnd(ratio("revenue", F.sum("revenue").over(w)) * 100.0, 4))
 
@@ -193,7 +193,7 @@ def customer_value(customers: DataFrame) -> DataFrame:
     """Spend per identified customer: mean, median and maximum."""
     rows = customers.where(F.col("source_dataset") == "UCI")
     t = rows.groupBy("source_dataset").agg(
-        F.count(N).alias("customers"), rnd(F.avg("total_revenue"), 4).alias("mean_revenue"), rnd(F.max("total_revenue"), 2).alias("max_revenue"), rnd(F.avg("transaction_count"), 4).alias("mean_transactions")
+        F.count(N).alias("customers"), rnd(F.avg("total_revenue"), 4).alias("mean_revenue"), rnd(F.max("total_revenue"), 4).alias("max_revenue"), rnd(F.avg("transaction_count"), 4).alias("mean_transactions")
     )
     m = exact_quantiles(rows, "total_revenue", [0.5], ["source_dataset"], ["m"])
     return t.join(m.select("source_dataset", rnd("m", 4).alias("median_revenue")), "source_dataset")
@@ -207,11 +207,11 @@ def by_country(lines: DataFrame) -> DataFrame:
     sales = lines.where(F.col("transaction_type") == "SALE")
     t = sales.groupBy("country").agg(F.sum(F.col("quantity") * F.col("price")).alias("r"), F.sum("quantity").cast("long").alias("units"), F.count_distinct("customer_id").alias("customers"))
     w = Window.partitionBy()  # one row per country
-    return t.select("country", rnd("r", 2).alias("revenue"), "units", "customers", rnd(ratio("r", F.sum("r").over(w)) * 100.0, 4).alias("revenue_share_pct"))
+    return t.select("country", rnd("r", 4).alias("revenue"), "units", "customers", rnd(ratio("r", F.sum("r").over(w)) * 100.0, 4).alias("revenue_share_pct"))
 
 
 def store_ranking(sales: DataFrame, stores: DataFrame) -> DataFrame:
-    t = sales.groupBy("store_id").agg(rnd(F.sum("total_revenue"), 2).alias("revenue"), F.sum("units_sold").alias("units"))
+    t = sales.groupBy("store_id").agg(rnd(F.sum("total_revenue"), 4).alias("revenue"), F.sum("units_sold").alias("units"))
     j = t.join(stores.select("store_id", "store_type", "store_size_sqft"), "store_id", "left")
     return j.withColumn("revenue_per_sqft", rnd(ratio("revenue", "store_size_sqft"), 4))
 
@@ -227,7 +227,7 @@ def size_correlation(ranking: DataFrame) -> DataFrame:
 
 
 def profile_by(facts: DataFrame, name: str, part: Column) -> DataFrame:
-    return facts.groupBy("source_dataset", part.alias(name)).agg(rnd(F.avg("units_sold"), 4).alias("mean_units"), rnd(F.sum("revenue"), 2).alias("revenue"), F.count(N).alias("rows"))
+    return facts.groupBy("source_dataset", part.alias(name)).agg(rnd(F.avg("units_sold"), 4).alias("mean_units"), rnd(F.sum("revenue"), 4).alias("revenue"), F.count(N).alias("rows"))
 
 
 def weekday_variation(facts: DataFrame) -> DataFrame:
@@ -279,7 +279,7 @@ def slow_stock(inventory: DataFrame, sales: DataFrame, skus: DataFrame, days: in
     dos = ratio("ending_inventory", "daily")
     slow = j.withColumn("_dos", dos).where(F.col("_dos") > limit_days)
     return slow.groupBy("sku_id").agg(
-        F.count(N).alias("stores"), F.sum("ending_inventory").alias("units"), rnd(F.sum(F.col("ending_inventory") * F.col("cost_price")), 2).alias("trapped_capital"),
+        F.count(N).alias("stores"), F.sum("ending_inventory").alias("units"), rnd(F.sum(F.col("ending_inventory") * F.col("cost_price")), 4).alias("trapped_capital"),
         rnd(F.max("_dos"), 4).alias("max_days_of_supply"),
     )
 
@@ -294,7 +294,7 @@ def return_rate_by_month(sales: DataFrame, returns: DataFrame) -> DataFrame:
 
 
 def top_products(facts: DataFrame, quantity: str, n: int) -> DataFrame:
-    t = facts.groupBy("product_key").agg(F.sum(quantity).cast("long").alias("quantity"), rnd(F.sum("revenue_impact"), 2).alias("revenue_impact"))
+    t = facts.groupBy("product_key").agg(F.sum(quantity).cast("long").alias("quantity"), rnd(F.sum("revenue_impact"), 4).alias("revenue_impact"))
     return t.orderBy(F.desc("quantity"), "product_key").limit(n)
 
 

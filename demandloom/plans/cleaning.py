@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from demandloom.functions.semantics import rnd
 from demandloom.operators import cleaning, quality, star
 from demandloom.plans.registry import query
-from demandloom.plans.sqltext import big, r, week
+from demandloom.plans.sqltext import big, ci, r, week
 
 LINE = """invoice, stock_code, description, quantity, CAST(invoice_date AS DATE) AS day, price, customer_id, country, description_recovered,
  description_source, transaction_type, invoice_year, invoice_month, invoice_weekday, is_guest_transaction, price_category, is_special_transaction"""
@@ -22,14 +22,14 @@ FROM (SELECT CASE WHEN invoice LIKE 'C%' THEN 'CANCELLATION' WHEN invoice LIKE '
 def c1(t):
     typed = t.retail_log.withColumn("transaction_type", cleaning.transaction_type())
     return typed.groupBy("transaction_type", (F.col("price") < 0).alias("negative_price"), (F.col("quantity") < 0).alias("negative_quantity")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"))
+        F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
 
 
 @query("c2_description_recovery", """
 SELECT t.stock_code, COALESCE(d, modal, 'Unknown Product') AS description, d IS NULL AND modal IS NOT NULL AS description_recovered, count(*) AS n
 FROM (SELECT stock_code, NULLIF(trim(description), '') AS d FROM retail_log) t LEFT JOIN modal_text m ON t.stock_code = m.stock_code GROUP BY 1, 2, 3""")
 def c2(t):
-    return cleaning.recover_descriptions(t.retail_log).groupBy("stock_code", "description", "description_recovered").agg(F.count(F.lit(1)).alias("n"))
+    return cleaning.recover_descriptions(t.retail_log).groupBy("stock_code", "description", "description_recovered").agg(F.count("*").alias("n"))
 
 
 @query("c3_clean_transactions", f"SELECT {LINE} FROM clean_lines")
@@ -44,7 +44,7 @@ def c4(t):
     parts = [cleaning.split(t.clean_lines, k) for k in ("SALE", "RETURN", "CANCELLATION", "INVALID")]
     return quality.union([
         p.groupBy("transaction_type").agg(
-            F.count(F.lit(1)).alias("lines"), F.count_distinct("invoice").alias("invoices"), F.sum("quantity").alias("quantity"),
+            F.count("*").alias("lines"), F.count_distinct("invoice").alias("invoices"), F.sum("quantity").alias("quantity"),
             F.count_if("is_guest_transaction").alias("guests")) for p in parts])
 
 
@@ -55,10 +55,13 @@ def c5(t):
     return cleaning.sale_lines(t.retail_log).withColumn("day", F.col("invoice_date").cast("date")).drop("invoice_date")
 
 
-@query("c6_inventory_pre_receipts", """
-SELECT date, entity_id AS store_id, sku_id, beginning_inventory_pre_receipts, inventory_balance_ok FROM fact_inventory""")
+@query("c6_inventory_pre_receipts", f"""
+SELECT entity_id AS store_id, sku_id, inventory_balance_ok, count(*) AS n, {big('sum(beginning_inventory_pre_receipts)')} AS pre_receipts, min(beginning_inventory_pre_receipts) AS lowest
+FROM fact_inventory GROUP BY 1, 2, 3""")
 def c6(t):
-    return cleaning.inventory_balance(t.inventory_snapshots).select("date", "store_id", "sku_id", "beginning_inventory_pre_receipts", "inventory_balance_ok")
+    balanced = cleaning.inventory_balance(t.inventory_snapshots)
+    return balanced.groupBy("store_id", "sku_id", "inventory_balance_ok").agg(
+        F.count("*").alias("n"), F.sum("beginning_inventory_pre_receipts").alias("pre_receipts"), F.min("beginning_inventory_pre_receipts").alias("lowest"))
 
 
 @query("d1_dim_calendar", "SELECT * FROM dim_calendar")
@@ -93,9 +96,17 @@ def d5(t):
     return _sales(t.fact_sales)
 
 
-@query("d6_fact_inventory", "SELECT * FROM fact_inventory")
+STOCK = ("beginning_inventory", "beginning_inventory_pre_receipts", "receipts", "units_sold", "ending_inventory", "stockout_flag", "on_order_qty")
+
+
+@query("d6_fact_inventory", f"""
+SELECT source_dataset, entity_id, product_key, sku_id, count(*) AS n, min(date) AS first_date, max(date) AS last_date, {ci('inventory_balance_ok')} AS balanced,
+ {', '.join(f'{big(f"sum({c})")} AS {c}' for c in STOCK)} FROM fact_inventory GROUP BY 1, 2, 3, 4""")
 def d6(t):
-    return t.fact_inventory
+    """Whole fact, totalled per series to keep the result small."""
+    return t.fact_inventory.groupBy("source_dataset", "entity_id", "product_key", "sku_id").agg(
+        F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count_if("inventory_balance_ok").alias("balanced"),
+        *[F.sum(c).alias(c) for c in STOCK])
 
 
 @query("d7_fact_returns", f"SELECT * REPLACE ({r('revenue_impact', 4)} AS revenue_impact) FROM fact_returns")
@@ -113,9 +124,13 @@ def d9(t):
     return t.customer_analytics.withColumn("total_revenue", rnd("total_revenue", 4))
 
 
-@query("d10_inventory_analytics", "SELECT * FROM inventory_analytics")
+@query("d10_inventory_analytics", f"""
+SELECT entity_id, product_key, category, sub_category, brand, lead_time_days, reorder_point, safety_stock, count(*) AS n, {big('sum(ending_inventory)')} AS ending_inventory,
+ {big('sum(on_order_qty)')} AS on_order_qty, {big('sum(stockout_flag)')} AS stockouts FROM inventory_analytics GROUP BY 1, 2, 3, 4, 5, 6, 7, 8""")
 def d10(t):
-    return t.inventory_analytics
+    by = ["entity_id", "product_key", "category", "sub_category", "brand", "lead_time_days", "reorder_point", "safety_stock"]
+    return t.inventory_analytics.groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum("ending_inventory").alias("ending_inventory"), F.sum("on_order_qty").alias("on_order_qty"), F.sum("stockout_flag").alias("stockouts"))
 
 
 @query("d11_forecast_base", f"SELECT * REPLACE ({SALES_ROUND}) FROM forecast_base")
@@ -181,9 +196,13 @@ def d17(t):
     return _weekly(star.weekly_store_sku(t.sales_daily))
 
 
-@query("d18_weekly_inventory", "SELECT * FROM weekly_inventory")
+WEEK_STOCK = ("beginning_inventory", "receipts", "units_sold", "ending_inventory", "stockout_flag", "on_order_qty")
+
+
+@query("d18_weekly_inventory", f"""
+SELECT week, sku_id, count(*) AS stores, {', '.join(f'{big(f"sum({c})")} AS {c}' for c in WEEK_STOCK)} FROM weekly_inventory GROUP BY 1, 2""")
 def d18(t):
-    return t.weekly_inventory
+    return t.weekly_inventory.groupBy("week", "sku_id").agg(F.count("*").alias("stores"), *[F.sum(c).alias(c) for c in WEEK_STOCK])
 
 
 @query("d19_weekly_calendar", "SELECT * FROM weekly_calendar")

@@ -4,17 +4,13 @@ from pyspark.sql import functions as F
 
 from demandloom.functions.semantics import rnd
 from demandloom.functions.vocabulary import DAILY_LAGS, DAILY_WINDOWS
-from demandloom.operators import features, quality
+from demandloom.operators import features, quality, star
 from demandloom.plans.registry import query
-from demandloom.plans.sqltext import big, div, pct, r
+from demandloom.plans.sqltext import big, ci, pct, r
 
 LOG = ["invoice", "stock_code", "description", "quantity", "invoice_date", "price", "customer_id", "country"]
 
 
-def ci(cond):
-    return f"CAST(count_if({cond}) AS BIGINT)"
-
-
 @query("q1_contract", f"""
 SELECT 'retail_log' AS dataset, 'state' AS missing_columns, 'country' AS extra_columns, FALSE AS schema_ok, count(*) AS row_count, count(*) = 0 AS is_empty,
  {ci('invoice IS NULL OR customer_id IS NULL')} AS null_key_rows FROM retail_log""")
@@ -299,7 +295,6 @@ WITH a AS (SELECT count(*) AS rows, {ci("source_dataset <> 'SYNTHETIC'")} AS une
   CASE WHEN abs(latest_week_rows - med) / greatest(med, 1) > 0.2 THEN 'WARNING' ELSE 'PASS' END AS row_count_anomaly FROM a, s)
 SELECT *, CASE WHEN 'FAIL' IN (unexpected_source, duplicate_records, invalid_dates, negative_quantities) THEN 'FAIL' WHEN 'WARNING' IN (sku_coverage, row_count_anomaly) THEN 'WARNING' ELSE 'PASS' END AS overall_status FROM c""")
 def q23(t):
-    from demandloom.operators import star
     return quality.weekly_quality(star.weekly_sku(t.sales_daily))
 
 
@@ -395,7 +390,7 @@ def q29(t):
         F.col("ts").cast("date").alias("date"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("entity_id"), F.col("event_type").alias("product_key"),
         F.create_map(key, F.lit("1"), F.lit("units_sold_lag_1"), lag).alias("features"))
     checked = quality.validate_records(records, ["entity_id", "product_key", "date"])
-    return checked.groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return checked.groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("q30_frame_difference", f"""
@@ -404,7 +399,6 @@ SELECT *, only_left + only_right + differs_units_sold + differs_revenue = 0 AS e
  SELECT {ci('a.week IS NOT NULL AND b.week IS NOT NULL')} AS matched_rows, {ci('b.week IS NULL')} AS only_left, {ci('a.week IS NULL')} AS only_right,
   {ci('a.units_sold <> b.units_sold')} AS differs_units_sold, {big('0')} AS differs_revenue FROM a FULL JOIN b ON a.product_key = b.product_key AND a.week = b.week) t""")
 def q30(t):
-    from demandloom.operators import star
     a = star.weekly_sku(t.sales_daily)
     b = a.where("store_count > 3").withColumn("units_sold", F.col("units_sold") + F.when(F.col("promotion_flag") == 0, 1).otherwise(0))
     return quality.frame_difference(a, b, ["product_key", "week"], ["units_sold", "revenue"])

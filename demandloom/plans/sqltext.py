@@ -22,3 +22,7 @@ def big(expr: str) -> str:
 def week(d: str) -> str:
     return f"CAST(date_trunc('week', CAST({d} AS DATE) - INTERVAL 1 DAY) + INTERVAL 1 DAY AS DATE)"
 
+
+
+def ci(cond: str) -> str:
+    return f"CAST(count_if({cond}) AS BIGINT)"

@@ -91,7 +91,7 @@ FROM (SELECT date, store_id, sku_id, units_sold,
              CAST(CASE WHEN day(date) % 7 = 0 THEN 30 ELSE 0 END AS BIGINT) AS receipts
       FROM (SELECT date, store_id, sku_id, CAST(max(units_sold) AS BIGINT) AS units_sold
             FROM (SELECT date, store_id, sku_id, units_sold FROM sales_daily
-                  UNION ALL SELECT date, store_id, sku_id, 0 FROM sales_grid) u GROUP BY 1, 2, 3) x) t"""
+                  UNION ALL SELECT least(date + 6, (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem)), store_id, sku_id, 0 FROM sales_grid) u GROUP BY 1, 2, 3) x) t"""
 
 VIEWS["modal_text"] = """
 SELECT stock_code, d AS modal FROM (

@@ -172,10 +172,11 @@ class Retail:
 
     @cached_property
     def inventory_snapshots(self) -> DataFrame:
-        """Snapshot on every sales day and every week start of a series."""
+        """Snapshot of a series on every sales day and on the last day of every week."""
         keys = ["date", "store_id", "sku_id"]
         sold = self.daily_units.select(*keys, "units_sold")
-        weeks = self.sales_grid.select(*keys, F.lit(0).cast("long").alias("units_sold"))
+        week_end = F.least(F.date_add("date", 6), self.date_span.select("hi").scalar()).alias("date")
+        weeks = self.sales_grid.select(week_end, *keys[1:], F.lit(0).cast("long").alias("units_sold"))
         rows = sold.unionByName(weeks).groupBy(*keys).agg(F.max("units_sold").alias("units_sold"))
         begin = (
             F.day("date") * 7 + F.month("date") * 5
