@@ -70,6 +70,19 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     return out.select(*by, "n", *cols)
 
 
+def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """Quantiles of several columns in one pass: ``<column>_q<i>`` per group.
+
+    The columns become rows of one long table, so the source is planned and
+    bucketed once however many columns are asked for.
+    """
+    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(by), list(columns), "_col", "_val")
+    names = [f"_q{i}" for i in range(len(probs))]
+    table = exact_quantiles(long, "_val", probs, [*by, "_col"], names)
+    pick = lambda c, q: F.max(F.when(F.col("_col") == c, F.col(q)))
+    return table.groupBy(*by).agg(*[pick(c, q).alias(f"{c}{q}") for c in columns for q in names])
+
+
 def _positions(p: float):
     pos = F.floor(F.lit(float(p)) * (F.col("n") - 1)).cast("long")
     return pos, F.least(pos + 1, F.col("n") - 1)

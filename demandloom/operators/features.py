@@ -175,7 +175,7 @@ def time_split(df: DataFrame) -> DataFrame:
 
 def split_summary(df: DataFrame) -> DataFrame:
     return df.groupBy("source_dataset", "split").agg(
-        F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count(F.lit(1)).alias("rows"),
+        F.min("date").alias("start_date"), F.max("date").alias("end_date"), F.count("*").alias("rows"),
         F.count_distinct("entity_id").alias("unique_entities"), F.count_distinct("product_key").alias("unique_products"),
     )
 
@@ -297,7 +297,7 @@ def direct_panel(panel: DataFrame, horizons: Sequence[int], calendar_columns: Se
 def frequency_encoding(df: DataFrame, column: str, train: Column) -> DataFrame:
     """Share of the training rows with the same level; 0 for unseen levels."""
     level = F.coalesce(F.col(column), F.lit("__missing__"))
-    seen = df.where(train).groupBy(level.alias("_level")).agg(F.count(F.lit(1)).alias("_n"))
+    seen = df.where(train).groupBy(level.alias("_level")).agg(F.count("*").alias("_n"))
     total = seen.agg(F.sum("_n").alias("t"))
     share = seen.select("_level", (F.col("_n") / total.select("t").scalar()).alias(f"{column}_freq"))
     joined = df.withColumn("_level", level).join(share, "_level", "left").drop("_level")

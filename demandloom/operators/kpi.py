@@ -138,9 +138,20 @@ def by_source(facts: DataFrame) -> DataFrame:
 
 
 def daily_trend(facts: DataFrame, windows: Sequence[int] = (7, 30)) -> DataFrame:
+    """Daily revenue and units with trailing averages, the current day included.
+
+    Averages are taken in whole 1/10000 units, so they do not depend on the order
+    in which a frame is summed.
+    """
     daily = facts.groupBy("source_dataset", "date").agg(rnd(F.sum("revenue"), 4).alias("revenue"), F.sum("units_sold").alias("units"))
+    daily = daily.withColumn("_exact", F.rint(F.col("revenue") * 10000.0).cast("long"))
     w = Window.partitionBy("source_dataset").orderBy("date")  # one row per day
-    return daily.withColumns({f"revenue_ma_{k}": rnd(F.avg("revenue").over(w.rowsBetween(-(k - 1), 0)), 4) for k in windows})
+
+    def mean(k: int) -> Column:
+        frame = w.rowsBetween(-(k - 1), 0)
+        return rnd(F.sum("_exact").over(frame) / F.count("_exact").over(frame) / 10000.0, 4)
+
+    return daily.withColumns({f"revenue_ma_{k}": mean(k) for k in windows}).drop("_exact")
 
 
 def monthly(facts: DataFrame) -> DataFrame:

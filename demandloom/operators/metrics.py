@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandloom.functions.quantiles import exact_quantiles
+from demandloom.functions.quantiles import exact_quantiles, quantile_table
 from demandloom.functions.semantics import ratio, rnd
 from demandloom.functions.vocabulary import SUPPORTED_HORIZON_WEEKS
 
@@ -38,7 +38,7 @@ def accuracy_columns(a: str, p: str) -> list[Column]:
         rnd(F.avg(F.when(y != 0, err / F.abs(y))) * 100.0, 4).alias("mape"),
         rnd(F.avg(F.coalesce(F.try_divide(2.0 * err, F.abs(y) + F.abs(f)), F.lit(0.0))) * 100.0, 4).alias("smape"),
         rnd(F.coalesce(wape(y, f) * 100.0, F.lit(0.0)), 4).alias("wape"),
-        F.count(F.lit(1)).alias("n"),
+        F.count("*").alias("n"),
     ]
 
 
@@ -58,7 +58,7 @@ def compact(df: DataFrame, by: Sequence[str], actual="actual", prediction="predi
         rnd(F.coalesce(ratio(F.sum(err), F.sum(y)) * 100.0, F.lit(0.0)), 2).alias("wape_pct"),
         rnd(F.least(mape, F.lit(500.0)), 2).alias("mape_pct"),
         rnd(F.when((F.count(y) > 1) & (F.var_pop(y) > 0), 1.0 - sse / sst).otherwise(0.0), 4).alias("r2"),
-        rnd(F.avg(f - y), 3).alias("bias"), F.count(F.lit(1)).alias("sample_count"),
+        rnd(F.avg(f - y), 3).alias("bias"), F.count("*").alias("sample_count"),
     )
 
 
@@ -83,7 +83,7 @@ def extended(df: DataFrame, by: Sequence[str], actual="actual", prediction="pred
 def zero_slice_columns(a: str, p: str) -> list[Column]:
     y, f = F.col(a).cast("double"), F.col(p).cast("double")
     zero, err = y == 0, F.abs(y - f)
-    n = F.count(F.lit(1))
+    n = F.count("*")
     return [
         F.count_if(zero).alias("n_zero"), F.count_if(~zero).alias("n_nonzero"),
         rnd(ratio(F.count_if(zero), n) * 100.0, 2).alias("zero_share_pct"),
@@ -94,7 +94,7 @@ def zero_slice_columns(a: str, p: str) -> list[Column]:
 
 
 def zero_slice(df: DataFrame, by: Sequence[str], actual="actual", prediction="prediction") -> DataFrame:
-    return finite(df, actual, prediction).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *zero_slice_columns(actual, prediction))
+    return finite(df, actual, prediction).groupBy(*by).agg(F.count("*").alias("n"), *zero_slice_columns(actual, prediction))
 
 
 def pinball(y: Column, q: Column, tau: float) -> Column:
@@ -107,7 +107,7 @@ def interval_quality(df: DataFrame, by: Sequence[str]) -> DataFrame:
     share = lambda c: F.avg(c.cast("double")) * 100.0
     rows = df.where(y.isNotNull() & lo.isNotNull() & hi.isNotNull())
     return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), rnd(share((y >= lo) & (y <= hi)), 4).alias("coverage_pct"),
+        F.count("*").alias("n"), rnd(share((y >= lo) & (y <= hi)), 4).alias("coverage_pct"),
         rnd(F.avg(hi - lo), 4).alias("mean_width"), rnd(pinball(y, lo, 0.1), 4).alias("pinball_p10"),
         rnd(pinball(y, F.col("prediction"), 0.5), 4).alias("pinball_p50"), rnd(pinball(y, hi, 0.9), 4).alias("pinball_p90"),
         rnd(share(y <= lo), 2).alias("p10_below_pct"), rnd(share(y <= hi), 2).alias("p90_below_pct"),
@@ -141,13 +141,13 @@ def running_share(df: DataFrame, by: Sequence[str], value: str, key: str, bucket
     grid = [i / buckets for i in range(1, buckets)]
     edges = df.groupBy(*by).agg(
         F.array_distinct(F.percentile_approx(value, grid, 1000)).alias("_edges"),
-        F.sum(value).alias("_total"), F.count(F.lit(1)).alias("_size"),
+        F.sum(value).alias("_total"), F.count("*").alias("_size"),
     )
     tagged = df.join(F.broadcast(edges), by).withColumn(
         "_b", -F.size(F.filter("_edges", lambda e: e < F.col(value)))
     ).drop("_edges")
     across = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tagged.groupBy(*by, "_b").agg(F.sum(value).alias("_bs"), F.count(F.lit(1)).alias("_bn"))
+    offsets = tagged.groupBy(*by, "_b").agg(F.sum(value).alias("_bs"), F.count("*").alias("_bn"))
     offsets = offsets.select(
         *by, "_b", F.coalesce(F.sum("_bs").over(across), F.lit(0.0)).alias("_sum0"),
         F.coalesce(F.sum("_bn").over(across), F.lit(0)).alias("_rank0"),
@@ -177,7 +177,7 @@ def high_value_segments(predictions: DataFrame, revenue: DataFrame, model: str)
     )
     joined = members.join(per_product, ["source_dataset", "product_key"], "left")
     segments = joined.groupBy("source_dataset", "high_value").agg(
-        F.count(F.lit(1)).alias("n_skus"), F.sum("revenue").alias("seg_revenue"), rnd(F.avg("mae"), 4).alias("mae"),
+        F.count("*").alias("n_skus"), F.sum("revenue").alias("seg_revenue"), rnd(F.avg("mae"), 4).alias("mae"),
         rnd(F.avg("rmse"), 4).alias("rmse"), rnd(F.avg("wape"), 4).alias("wape"),
     )
     totals = Window.partitionBy("source_dataset")
@@ -203,8 +203,8 @@ def zero_demand_table(df: DataFrame, by: Sequence[str] = ("source_dataset",), ac
     zero, err = y == 0, F.abs(y - f)
     rows = finite(df, actual, prediction)
     table = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_total"), F.count_if(zero).alias("n_zero"), F.count_if(~zero).alias("n_nonzero"),
-        rnd(ratio(F.count_if(zero), F.count(F.lit(1))) * 100.0, 2).alias("zero_share_pct"),
+        F.count("*").alias("n_total"), F.count_if(zero).alias("n_zero"), F.count_if(~zero).alias("n_nonzero"),
+        rnd(ratio(F.count_if(zero), F.count("*")) * 100.0, 2).alias("zero_share_pct"),
         rnd(F.avg(F.when(zero, err)), 4).alias("zero_mae"), rnd(F.avg(F.when(zero, f)), 4).alias("zero_mean_prediction"),
         rnd(F.avg(F.when(zero, (f > 0).cast("double"))) * 100.0, 2).alias("zero_positive_prediction_rate"),
         rnd(F.avg(F.when(~zero, err)), 4).alias("nonzero_mae"),
@@ -217,44 +217,56 @@ def zero_demand_table(df: DataFrame, by: Sequence[str] = ("source_dataset",), ac
     return table.join(medians.select(*by, rnd("_m", 4).alias("zero_median_prediction")), list(by), "left")
 
 
-def bin_by_quantile(df: DataFrame, column: str, parts: int, by: Sequence[str], name: str) -> DataFrame:
-    """Equal-frequency bins with repeated edges dropped; right-closed intervals."""
+def bin_by_quantile(df: DataFrame, columns: Sequence[str], parts: int, by: Sequence[str]) -> DataFrame:
+    """Equal-frequency bin ``<column>_bin`` per column: right-closed intervals,
+    repeated edges dropped."""
     probs = [i / parts for i in range(parts + 1)]
-    names = [f"_e{i}" for i in range(parts + 1)]
-    cuts = exact_quantiles(df, column, probs, by, names).select(
-        *by, F.array_distinct(F.array(*names)).alias("_edges")
-    )
-    v = F.col(column).cast("double")
-    inner = F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
+    cuts = quantile_table(df, columns, probs, by)
     joined = df.join(F.broadcast(cuts), list(by))
-    return joined.withColumn(name, F.size(F.filter(inner, lambda e: e < v))).drop("_edges")
+    for c in columns:
+        names = [f"{c}_q{i}" for i in range(parts + 1)]
+        edges = F.array_distinct(F.array(*names))
+        inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
+        value = F.col(c).cast("double")
+        joined = joined.withColumn(f"{c}_bin", F.size(F.filter(inner, lambda e, value=value: e < value))).drop(*names)
+    return joined
 
 
 def residual_diagnostics(df: DataFrame, by: Sequence[str] = ("source_dataset",)) -> DataFrame:
+    """Error correlations, and the mean error in the outer quintiles.
+
+    The binned rows are totalled per (group, both bins), at most 25 rows each,
+    which serve the correlations' counterpart tables without another scan.
+    """
     rows = finite(df, "actual", "prediction").withColumns({
         "_res": F.col("actual") - F.col("prediction"), "_abs": F.abs(F.col("actual") - F.col("prediction")),
     })
     corr = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), rnd(F.corr("actual", "_abs"), 4).alias("corr_abs_error_actual"),
+        F.count("*").alias("n"), rnd(F.corr("actual", "_abs"), 4).alias("corr_abs_error_actual"),
         rnd(F.corr("prediction", "_abs"), 4).alias("corr_abs_error_prediction"),
         rnd(F.corr("actual", "_res"), 4).alias("corr_residual_actual"),
         rnd(F.corr("prediction", "_res"), 4).alias("corr_residual_prediction"),
     )
-
-    def ends(column: str, value: Column, low: str, high: str) -> DataFrame:
-        binned = bin_by_quantile(rows, column, 5, by, "_q").groupBy(*by, "_q").agg(F.avg(value).alias("_v"))
-        return binned.groupBy(*by).agg(
-            rnd(F.min_by("_v", "_q"), 4).alias(low), rnd(F.max_by("_v", "_q"), 4).alias(high)
-        )
-
-    out = corr.join(ends("prediction", F.col("_res"), "low_pred_mean_residual", "high_pred_mean_residual"), list(by), "left")
-    return out.join(ends("actual", F.col("_abs"), "low_actual_mae", "high_actual_mae"), list(by), "left")
+    cells = bin_by_quantile(rows, ["prediction", "actual"], 5, by).groupBy(*by, "prediction_bin", "actual_bin").agg(
+        F.count("*").alias("_n"), F.sum("_res").alias("_r"), F.sum("_abs").alias("_a")
+    )
+    whole = Window.partitionBy(*by)
+    ends = cells.withColumns({
+        "_pl": F.min("prediction_bin").over(whole), "_ph": F.max("prediction_bin").over(whole),
+        "_al": F.min("actual_bin").over(whole), "_ah": F.max("actual_bin").over(whole),
+    })
+    mean = lambda b, at, v: rnd(ratio(F.sum(F.when(F.col(b) == F.col(at), F.col(v))), F.sum(F.when(F.col(b) == F.col(at), F.col("_n")))), 4)
+    outer = ends.groupBy(*by).agg(
+        mean("prediction_bin", "_pl", "_r").alias("low_pred_mean_residual"), mean("prediction_bin", "_ph", "_r").alias("high_pred_mean_residual"),
+        mean("actual_bin", "_al", "_a").alias("low_actual_mae"), mean("actual_bin", "_ah", "_a").alias("high_actual_mae"),
+    )
+    return corr.join(outer, list(by), "left")
 
 
 def entity_spread(by_entity: DataFrame) -> DataFrame:
     """Best, median and worst entity of each source."""
     table = by_entity.groupBy("source_dataset").agg(
-        F.count(F.lit(1)).alias("n_entities"), F.min_by("entity_id", F.struct("wape", "entity_id")).alias("best_entity"),
+        F.count("*").alias("n_entities"), F.min_by("entity_id", F.struct("wape", "entity_id")).alias("best_entity"),
         F.min("wape").alias("best_wape"),
         F.min_by("entity_id", F.struct((-F.col("wape")).alias("w"), "entity_id")).alias("worst_entity"),
         F.max("wape").alias("worst_wape"), rnd(F.max("wape") - F.min("wape"), 4).alias("spread_wape"),
@@ -266,7 +278,7 @@ def entity_spread(by_entity: DataFrame) -> DataFrame:
 def stability(values: DataFrame, by: Sequence[str], value: str = "wape") -> DataFrame:
     """Coefficient of variation and max/min ratio of fold errors, with a label."""
     stats = values.where(F.col(value).isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("folds"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
+        F.count("*").alias("folds"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
         F.min(value).alias("lo"), F.max(value).alias("hi"),
     )
     cv, spread = ratio("std", "mean"), ratio("hi", "lo")
@@ -285,7 +297,7 @@ def _both(extra: Sequence[Column] = ()) -> list[Column]:
     y, base, cand = F.col("actual"), F.col("seasonal_naive_forecast"), F.col("candidate_forecast")
     has = cand.isNotNull()
     return [
-        F.count(F.lit(1)).alias("n"), wape(y, base).alias("_bw"),
+        F.count("*").alias("n"), wape(y, base).alias("_bw"),
         ratio(F.sum(F.when(has, F.abs(y - cand))), F.sum(F.when(has, F.abs(y)))).alias("_cw"),
         F.avg(cand - y).alias("_bias"), *extra,
     ]
@@ -307,7 +319,7 @@ def fold_wins(backtest: DataFrame) -> DataFrame:
 def fold_verdict(wins: DataFrame) -> DataFrame:
     beats, total = F.col("folds_beating_baseline"), F.col("total_folds")
     return wins.groupBy("source_dataset").agg(
-        F.count_if("candidate_beats_baseline").alias("folds_beating_baseline"), F.count(F.lit(1)).alias("total_folds")
+        F.count_if("candidate_beats_baseline").alias("folds_beating_baseline"), F.count("*").alias("total_folds")
     ).withColumn(
         "fold_stability",
         F.when(beats == total, "STRONG").when(beats >= total * 0.7, "MODERATE").when(beats >= total * 0.4, "WEAK").otherwise("FAILURE"),
@@ -324,7 +336,7 @@ def horizon_table(backtest: DataFrame) -> DataFrame:
 def horizon_verdict(table: DataFrame) -> DataFrame:
     valid = table.where(F.col("candidate_wape").isNotNull())
     grown = rnd(F.max_by("candidate_wape", "horizon_step") - F.min_by("candidate_wape", "horizon_step"), 2)
-    out = valid.groupBy("source_dataset").agg(F.count(F.lit(1)).alias("_n"), grown.alias("degradation_pp"))
+    out = valid.groupBy("source_dataset").agg(F.count("*").alias("_n"), grown.alias("degradation_pp"))
     d = F.col("degradation_pp")
     status = (
         F.when(F.col("_n") < 2, "INSUFFICIENT_DATA").when(F.abs(d) <= 5, "STABLE")
@@ -333,30 +345,39 @@ def horizon_verdict(table: DataFrame) -> DataFrame:
     return out.select("source_dataset", F.when(F.col("_n") >= 2, d).alias("degradation_pp"), status.alias("horizon_status"))
 
 
+def _sku_table(backtest: DataFrame) -> DataFrame:
+    return backtest.groupBy("source_dataset", "product_key").agg(*_both([F.avg("actual").alias("mean_actual")])).withColumn(
+        "candidate_wape", rnd(F.col("_cw") * 100.0, 2)
+    )
+
+
+def _volume(low: str, high: str) -> Column:
+    m = F.col("mean_actual")
+    return F.when(m > F.col(high), "HIGH").when(m < F.col(low), "LOW").otherwise("MID")
+
+
 def sku_errors(backtest: DataFrame) -> DataFrame:
     """Per-product errors with a volume class by P25/P75 of mean demand."""
-    table = backtest.groupBy("source_dataset", "product_key").agg(*_both([F.avg("actual").alias("_mean")]))
-    cuts = exact_quantiles(table, "_mean", [0.25, 0.75], ["source_dataset"], ["_p25", "_p75"]).drop("n")
-    joined = table.join(F.broadcast(cuts), "source_dataset")
-    volume = F.when(F.col("_mean") > F.col("_p75"), "HIGH").when(F.col("_mean") < F.col("_p25"), "LOW").otherwise("MID")
-    return joined.select(
-        "source_dataset", "product_key", F.col("n").alias("n_periods"), rnd("_mean", 2).alias("mean_demand"),
-        volume.alias("volume_class"), rnd(F.col("_bw") * 100.0, 2).alias("baseline_wape"),
-        rnd(F.col("_cw") * 100.0, 2).alias("candidate_wape"), rnd("_bias", 2).alias("candidate_bias"),
+    table = _sku_table(backtest)
+    cuts = exact_quantiles(table, "mean_actual", [0.25, 0.75], ["source_dataset"], ["_p25", "_p75"]).drop("n")
+    return table.join(F.broadcast(cuts), "source_dataset").select(
+        "source_dataset", "product_key", F.col("n").alias("n_periods"), rnd("mean_actual", 2).alias("mean_demand"),
+        _volume("_p25", "_p75").alias("volume_class"), rnd(F.col("_bw") * 100.0, 2).alias("baseline_wape"),
+        "candidate_wape", rnd("_bias", 2).alias("candidate_bias"),
     )
 
 
-def sku_error_summary(errors: DataFrame) -> DataFrame:
-    table = errors.groupBy("source_dataset").agg(
-        F.count(F.lit(1)).alias("total_skus"), F.count_if(F.col("candidate_wape") > 100).alias("high_error_skus"),
-        F.count_if(F.col("mean_demand") == 0).alias("zero_demand_skus"),
-        F.count_if(F.col("volume_class") == "LOW").alias("low_volume_skus"),
-        F.count_if(F.col("volume_class") == "HIGH").alias("high_volume_skus"),
+def sku_error_summary(backtest: DataFrame) -> DataFrame:
+    """Spread of product errors; demand and error quantiles come from one pass."""
+    table = _sku_table(backtest)
+    cuts = quantile_table(table, ["mean_actual", "candidate_wape"], [0.25, 0.5, 0.75, 0.9], ["source_dataset"])
+    joined = table.join(F.broadcast(cuts), "source_dataset").withColumn("_class", _volume("mean_actual_q0", "mean_actual_q2"))
+    at = lambda q: rnd(F.max(f"candidate_wape_q{q}"), 2)
+    return joined.groupBy("source_dataset").agg(
+        F.count("*").alias("total_skus"), F.count_if(F.col("candidate_wape") > 100).alias("high_error_skus"),
+        F.count_if(rnd("mean_actual", 2) == 0).alias("zero_demand_skus"), F.count_if(F.col("_class") == "LOW").alias("low_volume_skus"),
+        F.count_if(F.col("_class") == "HIGH").alias("high_volume_skus"), at(1).alias("median_sku_wape"), at(2).alias("p75_sku_wape"), at(3).alias("p90_sku_wape"),
     )
-    q = exact_quantiles(errors, "candidate_wape", [0.5, 0.75, 0.9], ["source_dataset"], ["m", "p75", "p90"])
-    return table.join(q.select(
-        "source_dataset", rnd("m", 2).alias("median_sku_wape"), rnd("p75", 2).alias("p75_sku_wape"), rnd("p90", 2).alias("p90_sku_wape"),
-    ), "source_dataset", "left")
 
 
 def bias_review(backtest: DataFrame) -> DataFrame:
@@ -452,20 +473,16 @@ def holiday_period_detail(rows: DataFrame) -> DataFrame:
 # ---- comparison and scoring -----------------------------------------------------
 def error_tail(df: DataFrame, by: Sequence[str] = ("source_dataset",)) -> DataFrame:
     """P95 absolute error and accuracy on high demand (at or above P90)."""
-    rows = finite(df, "actual", "prediction").withColumn("_abs", F.abs(F.col("actual") - F.col("prediction")))
-    p95 = exact_quantiles(rows, "_abs", [0.95], by, ["_p95"]).drop("n")
-    p90 = exact_quantiles(rows, "actual", [0.9], by, ["_p90"]).drop("n")
-    joined = rows.join(F.broadcast(p90), list(by))
-    high = F.col("actual") >= F.col("_p90")
-    table = joined.groupBy(*by).agg(
-        F.max("_p90").alias("_p90"), F.count_if(high).alias("n_high_demand"), rnd(F.avg(F.when(high, F.col("_abs"))), 4).alias("high_demand_mae"),
-        rnd(F.avg(F.when(F.col("actual") == 0, F.col("_abs"))), 4).alias("zero_demand_mae"),
+    rows = finite(df, "actual", "prediction").withColumn("abs_err", F.abs(F.col("actual") - F.col("prediction")))
+    cuts = quantile_table(rows, ["abs_err", "actual"], [0.9, 0.95], by)
+    joined = rows.join(F.broadcast(cuts), list(by))
+    high = F.col("actual") >= F.col("actual_q0")
+    return joined.groupBy(*by).agg(
+        rnd(F.max("abs_err_q1"), 4).alias("p95_abs_error"), rnd(F.max("actual_q0"), 4).alias("high_demand_cut"),
+        F.count_if(high).alias("n_high_demand"), rnd(F.avg(F.when(high, F.col("abs_err"))), 4).alias("high_demand_mae"),
+        rnd(F.avg(F.when(F.col("actual") == 0, F.col("abs_err"))), 4).alias("zero_demand_mae"),
         rnd(F.avg(F.col("prediction") - F.col("actual")), 4).alias("bias"),
     )
-    return table.join(p95, list(by)).select(
-        *by, rnd("_p95", 4).alias("p95_abs_error"), rnd("_p90", 4).alias("high_demand_cut"), "n_high_demand",
-        "high_demand_mae", "zero_demand_mae", "bias",
-    )
 
 
 def paired_comparison(left: DataFrame, right: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -476,7 +493,7 @@ def paired_comparison(left: DataFrame, right: DataFrame, keys: Sequence[str], by
     pair = finite(pair, "actual", "_l", "_r")
     lw, rw = wape(F.col("actual"), F.col("_l")) * 100.0, wape(F.col("actual"), F.col("_r")) * 100.0
     return pair.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_matched"), rnd(lw, 4).alias("left_wape"), rnd(rw, 4).alias("right_wape"),
+        F.count("*").alias("n_matched"), rnd(lw, 4).alias("left_wape"), rnd(rw, 4).alias("right_wape"),
         rnd(lw - rw, 4).alias("absolute_improvement"), rnd(ratio(lw - rw, lw) * 100.0, 4).alias("improvement_pct"),
     )
 
@@ -486,7 +503,7 @@ def classifier_metrics(df: DataFrame, thresholds: Sequence[float], by: Sequence[
     rows = df.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
     y, hit = F.col(label) == 1, F.col(score) >= F.col("threshold")
     table = rows.groupBy(*by, "threshold").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(y & hit).alias("tp"), F.count_if(~y & hit).alias("fp"),
+        F.count("*").alias("n"), F.count_if(y & hit).alias("tp"), F.count_if(~y & hit).alias("fp"),
         F.count_if(y & ~hit).alias("fn"), F.count_if(~y & ~hit).alias("tn"),
         rnd(F.avg((F.col(score) - F.col(label)) * (F.col(score) - F.col(label))), 4).alias("brier"),
     )
@@ -507,17 +524,18 @@ def ranking_areas(df: DataFrame, by: Sequence[str], label="label", score="score"
     10,001 score levels and not over its rows.
     """
     levels = df.groupBy(*by, rnd(score, 4).alias("_s")).agg(
-        F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_q")
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
     w = Window.partitionBy(*by).orderBy(F.desc("_s"))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     g = Window.partitionBy(*by)
     ranked = levels.withColumns({
-        "_tp": F.sum("_p").over(upto), "_fp": F.sum("_q").over(upto), "_P": F.sum("_p").over(g), "_N": F.sum("_q").over(g),
+        "tp": F.sum("pos").over(upto), "fp": F.sum("neg").over(upto), "all_pos": F.sum("pos").over(g), "all_neg": F.sum("neg").over(g),
     })
+    above = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))
     return ranked.groupBy(*by).agg(
-        rnd(ratio(F.sum(F.col("_q") * (F.col("_tp") - F.col("_p") / 2.0)), F.max(F.col("_P") * F.col("_N"))), 4).alias("roc_auc"),
-        rnd(F.sum(ratio(F.col("_p") * F.col("_tp"), F.col("_P") * (F.col("_tp") + F.col("_fp")))), 4).alias("pr_auc"),
+        rnd(ratio(above, F.max(F.col("all_pos") * F.col("all_neg"))), 4).alias("roc_auc"),
+        rnd(F.sum(ratio(F.col("pos") * F.col("tp"), F.col("all_pos") * (F.col("tp") + F.col("fp")))), 4).alias("pr_auc"),
     )
 
 
@@ -556,7 +574,7 @@ def reproducibility(first: DataFrame, second: DataFrame, keys: Sequence[str], by
     pair = first.select(*keys, F.col("prediction").alias("_a")).join(second.select(*keys, F.col("prediction").alias("_b")), list(keys), "outer")
     diff = F.max(F.abs(F.col("_a") - F.col("_b")))
     table = pair.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("sample_size"), F.count_if(F.col("_a").isNull() != F.col("_b").isNull()).alias("unmatched"),
+        F.count("*").alias("sample_size"), F.count_if(F.col("_a").isNull() != F.col("_b").isNull()).alias("unmatched"),
         diff.alias("max_prediction_diff"),
     )
     d = F.col("max_prediction_diff")

@@ -21,7 +21,7 @@ def distribution(df: DataFrame, by: Sequence[str] = ("source_dataset", "horizon"
     p, a = F.col("prediction"), F.col("actual")
     share = lambda c: rnd(F.avg(c.cast("double")) * 100.0, 4)
     table = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), rnd(F.avg(p), 6).alias("prediction_mean"),
+        F.count("*").alias("n"), rnd(F.avg(p), 6).alias("prediction_mean"),
         rnd(F.coalesce(F.stddev_samp(p), F.lit(0.0)), 6).alias("prediction_std"), rnd(F.min(p), 6).alias("prediction_min"),
         rnd(F.max(p), 6).alias("prediction_max"), share(p == 0).alias("zero_prediction_rate_pct"),
         rnd(F.avg(F.when(a == 0, (p > 0).cast("double"))) * 100.0, 4).alias("zero_false_positive_rate_pct"),
@@ -124,7 +124,7 @@ def weekly_windows(weekly: DataFrame) -> DataFrame:
     """Baseline (first 70 %) and current (last fifth) weeks; a week may be both."""
     order = Window.orderBy("week")
     weeks = weekly.select("week").distinct().withColumns({
-        "i": F.row_number().over(order), "n": F.count(F.lit(1)).over(Window.partitionBy()),
+        "i": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy()),
     })
     return weeks.select(
         "week", (F.col("i") <= F.floor(F.col("n") * F.lit(0.7))).alias("is_baseline"),
@@ -144,7 +144,7 @@ def data_drift(features: DataFrame, columns: Sequence[str]) -> DataFrame:
 def drift_status(table: DataFrame) -> DataFrame:
     critical, drift = F.count_if(F.col("status") == "CRITICAL_DRIFT"), F.count_if(F.col("status") == "DRIFT")
     return table.agg(
-        F.count(F.lit(1)).alias("features"), critical.alias("n_critical"), drift.alias("n_drift"),
+        F.count("*").alias("features"), critical.alias("n_critical"), drift.alias("n_drift"),
         F.when(critical >= 3, "FAIL").when((critical >= 1) | (drift >= 5), "WARNING").otherwise("PASS").alias("overall_status"),
     )
 
@@ -170,7 +170,7 @@ def prediction_drift(current: DataFrame, baseline: DataFrame, column: str = "pre
 def forecast_performance(backtest: DataFrame, baseline: float = WAPE_BASELINE) -> DataFrame:
     """Measured errors per horizon and overall (horizon NULL) with a status."""
     y, f = F.col("actual"), F.col("candidate_forecast")
-    cols = [rnd(wape(y, f) * 100.0, 4).alias("wape_pct"), rnd(F.avg(f - y), 4).alias("bias"), F.count(F.lit(1)).alias("n")]
+    cols = [rnd(wape(y, f) * 100.0, 4).alias("wape_pct"), rnd(F.avg(f - y), 4).alias("bias"), F.count("*").alias("n")]
     by_h = backtest.groupBy(F.col("horizon_step").alias("horizon")).agg(*cols).withColumn("label", horizon_label(F.col("horizon")))
     supported = backtest.where(F.col("horizon_step") <= SUPPORTED_HORIZON_WEEKS).agg(*cols).withColumn("label", F.lit("SUPPORTED"))
     overall = backtest.agg(*cols).withColumn("label", F.lit("OVERALL"))
@@ -244,7 +244,7 @@ def health(components: DataFrame) -> DataFrame:
     fails = F.count_if(F.col("status") == "FAIL")
     warns = F.count_if(F.col("status").isin("WARNING", "PARTIAL"))
     return components.agg(
-        F.count(F.lit(1)).alias("components"), fails.alias("n_fail"), warns.alias("n_warning"),
+        F.count("*").alias("components"), fails.alias("n_fail"), warns.alias("n_warning"),
         F.when(fails > 0, "CRITICAL").when(warns >= 2, "DEGRADED").when(warns >= 1, "WATCH").otherwise("HEALTHY").alias("health_score"),
     )
 

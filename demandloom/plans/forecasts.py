@@ -266,7 +266,7 @@ def m10(t):
 
 def _ends(column, value, low, high):
     cuts = ", ".join(f"quantile_cont({column}, {p})" for p in (0, 0.2, 0.4, 0.6, 0.8, 1))
-    return f"""SELECT source_dataset, {r('arg_min(v, b)', 4)} AS {low}, {r('arg_max(v, b)', 4)} AS {high} FROM (SELECT f.source_dataset, len(list_filter(e[2:len(e) - 1], x -> x < {column})) AS b, avg({value}) AS v
+    return f"""SELECT source_dataset, {r('arg_min(v, b)', 4)} AS {low}, {r('arg_max(v, b)', 4)} AS {high} FROM (SELECT f.source_dataset, len(list_filter(e[2:len(e) - 1], lambda x: x < {column})) AS b, avg({value}) AS v
  FROM f JOIN (SELECT source_dataset, list_sort(list_distinct([{cuts}])) AS e FROM f GROUP BY 1) c ON f.source_dataset = c.source_dataset GROUP BY 1, 2) z GROUP BY 1"""
 
 
@@ -351,7 +351,7 @@ def m16a(t):
 WITH {SKU_CTE}, e AS ({SKUS}) SELECT source_dataset, count(*) AS total_skus, {ci('candidate_wape > 100')} AS high_error_skus, {ci('mean_demand = 0')} AS zero_demand_skus, {ci("volume_class = 'LOW'")} AS low_volume_skus, {ci("volume_class = 'HIGH'")} AS high_volume_skus,
  {r('quantile_cont(candidate_wape, 0.5)', 2)} AS median_sku_wape, {r('quantile_cont(candidate_wape, 0.75)', 2)} AS p75_sku_wape, {r('quantile_cont(candidate_wape, 0.9)', 2)} AS p90_sku_wape FROM e GROUP BY 1""")
 def m16b(t):
-    return metrics.sku_error_summary(metrics.sku_errors(t.backtest))
+    return metrics.sku_error_summary(t.backtest)
 
 
 BIAS = f"""SELECT source_dataset, {r('b', 4)} AS overall_bias, CASE WHEN b > 0 THEN 'OVER_FORECAST' WHEN b < 0 THEN 'UNDER_FORECAST' ELSE 'NEUTRAL' END AS direction, {r('m', 4)} AS mean_demand, {r('abs(b) / NULLIF(m, 0)', 4)} AS relative_bias,

@@ -99,10 +99,14 @@ def k9(t):
     return kpi.by_source(t.fact_sales)
 
 
+def _ma(k):
+    frame = f"OVER (PARTITION BY source_dataset ORDER BY date ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+    return r(f"CAST(sum(x) {frame} AS DOUBLE) / count(x) {frame} / CAST(10000 AS DOUBLE)", 4)
+
+
 @query("k10_daily_trend", f"""
-SELECT *, {r('avg(revenue) OVER (PARTITION BY source_dataset ORDER BY date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)', 4)} AS revenue_ma_7,
- {r('avg(revenue) OVER (PARTITION BY source_dataset ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)', 4)} AS revenue_ma_30
-FROM (SELECT source_dataset, date, {r('sum(revenue)', 4)} AS revenue, {big('sum(units_sold)')} AS units FROM fact_sales GROUP BY 1, 2) t""")
+SELECT source_dataset, date, revenue, units, {_ma(7)} AS revenue_ma_7, {_ma(30)} AS revenue_ma_30 FROM (
+ SELECT *, CAST(round_even(revenue * CAST(10000 AS DOUBLE), 0) AS BIGINT) AS x FROM (SELECT source_dataset, date, {r('sum(revenue)', 4)} AS revenue, {big('sum(units_sold)')} AS units FROM fact_sales GROUP BY 1, 2) t) u""")
 def k10(t):
     return kpi.daily_trend(t.fact_sales)
 
