@@ -225,13 +225,15 @@ def bin_by_quantile(df: DataFrame, columns: Sequence[str], parts: int, by: Seque
     joined = df.join(F.broadcast(cuts), list(by))
     for c in columns:
         names = [f"{c}_q{i}" for i in range(parts + 1)]
-        edges = F.array_distinct(F.array(*names))
-        inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
-        value = F.col(c).cast("double")
-        joined = joined.withColumn(f"{c}_bin", F.size(F.filter(inner, lambda e, value=value: e < value))).drop(*names)
+        joined = joined.withColumn(f"{c}_bin", _bin_number(F.col(c).cast("double"), F.array_distinct(F.array(*names)))).drop(*names)
     return joined
 
 
+def _bin_number(value: Column, edges: Column) -> Column:
+    inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
+    return F.size(F.filter(inner, lambda e: e < value))
+
+
 def residual_diagnostics(df: DataFrame, by: Sequence[str] = ("source_dataset",)) -> DataFrame:
     """Error correlations, and the mean error in the outer quintiles.
 

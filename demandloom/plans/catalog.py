@@ -4,7 +4,7 @@ import importlib
 
 from demandloom.plans.registry import ORACLES, QUERIES
 
-FAMILIES = ("cleaning", "quality", "kpi", "features", "forecasts", "risk")
+FAMILIES = ("cleaning", "quality", "kpi", "features", "forecasts", "risk", "monitoring")
 for _name in FAMILIES:
     importlib.import_module(f"demandloom.plans.{_name}")
 

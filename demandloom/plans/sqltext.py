@@ -25,4 +25,4 @@ def week(d: str) -> str:
 
 
 def ci(cond: str) -> str:
-    return f"CAST(count_if({cond}) AS BIGINT)"
+    return f"CAST(COALESCE(count_if({cond}), 0) AS BIGINT)"
