@@ -5,6 +5,7 @@ holding a third of all rows and a continuous value that buffer is the data. Here
 each group is cut at approximate quantile edges, counted per bucket, and only
 the buckets that hold a wanted rank are sorted. The ranks come from exact
 counts, so the approximation decides how even the buckets are, not the result.
+The value counts are needed three times and are written once to the shared folder.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from demandloom.session import stored
+
 BUCKETS = 64
 
 
@@ -30,8 +33,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
         df.where(v.isNotNull() & ~F.isnan(v))
         .select(*by, v.alias("_v"))
         .groupBy(*by, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .agg(F.count("*").alias("_c"))
     )
+    counts = stored(counts, "value-counts")
     grid = [i / BUCKETS for i in range(1, BUCKETS)]
     edges = counts.groupBy(*by).agg(
         F.sum("_c").alias("n"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from demandloom.functions.quantiles import exact_quantiles, quantile_table
 from demandloom.functions.semantics import ratio, rnd
 from demandloom.functions.vocabulary import SUPPORTED_HORIZON_WEEKS
+from demandloom.session import stored
 
 
 def finite(df: DataFrame, *columns: str) -> DataFrame:
@@ -138,6 +139,7 @@ def running_share(df: DataFrame, by: Sequence[str], value: str, key: str, bucket
     accumulated over a few rows per group, then each bucket is ordered alone.
     """
     by = list(by)
+    df = stored(df, "ranked")
     grid = [i / buckets for i in range(1, buckets)]
     edges = df.groupBy(*by).agg(
         F.array_distinct(F.percentile_approx(value, grid, 1000)).alias("_edges"),

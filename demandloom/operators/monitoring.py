@@ -13,6 +13,7 @@ from demandloom.functions.vocabulary import (
     MONITORING, PSI_DRIFT, PSI_STABLE, PSI_WATCH, SUPPORTED_HORIZON_WEEKS, SYNTHETIC, WAPE_BASELINE,
 )
 from demandloom.operators.metrics import horizon_label, wape
+from demandloom.session import stored
 
 MIN_SAMPLE = 20
 
@@ -88,6 +89,7 @@ def ks(expected: DataFrame, actual: DataFrame, by: Sequence[str], value: str, bu
     counts = side(expected, 1, 0).unionByName(side(actual, 0, 1)).where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*by, "_v").agg(
         F.sum("e").alias("e"), F.sum("a").alias("a")
     )
+    counts = stored(counts, "value-counts")
     edges = counts.groupBy(*by).agg(
         F.sum("e").alias("_E"), F.sum("a").alias("_A"),
         F.array_distinct(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 1000)).alias("_edges"),

@@ -252,7 +252,7 @@ T1 = f"""count(*) AS request_count, {ci("event_type = 'error'")} AS error_count,
 
 @query("t1_request_metrics", f"SELECT date_trunc('hour', ts) AS window_start, {T1} FROM events GROUP BY 1")
 def t1(t):
-    return requests.windowed_metrics(t.table("events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return requests.windowed_metrics(t.table("events"))
 
 
 @query("t1_request_metrics_stream", f"""
@@ -260,11 +260,10 @@ SELECT date_trunc('hour', ts) AS window_start, {T1} FROM events WHERE date_trunc
 def t1s(t):
     """Windows the watermark has closed, drained from a file stream."""
     stream = requests.windowed_metrics(requests.event_stream(t.spark, t.folder), lateness="10 minutes")
-    out = requests.run_available(stream, requests.stream_folder(t.spark, "metrics"))
-    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return requests.run_available(stream, requests.stream_folder(t.spark, "metrics"))
 
 
-LIMIT, SPAN = 3, 3600
+LIMIT, SPAN = 2, 21600
 
 
 @query("t2_trailing_breaches", f"""
@@ -274,11 +273,10 @@ def t2a(t):
 
 
 @query("t2_sliding_breaches", f"""
-SELECT user_id, w AS window_start, count(*) AS n FROM (SELECT user_id, unnest([to_timestamp(floor(epoch(ts) / 900) * 900), to_timestamp(floor(epoch(ts) / 900) * 900 - 900), to_timestamp(floor(epoch(ts) / 900) * 900 - 1800), to_timestamp(floor(epoch(ts) / 900) * 900 - 2700)]) AT TIME ZONE 'UTC' AS w FROM events) t
+SELECT user_id, w AS window_start, count(*) AS n FROM (SELECT user_id, unnest([b, b - INTERVAL 3 HOUR]) AS w FROM (SELECT user_id, date_trunc('hour', ts) - to_hours(CAST(hour(ts) % 3 AS INTEGER)) AS b FROM events) e) t
 GROUP BY 1, 2 HAVING count(*) > {LIMIT}""")
 def t2b(t):
-    out = requests.sliding_breaches(t.table("events"), LIMIT, "1 hour", "15 minutes")
-    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return requests.sliding_breaches(t.table("events"), LIMIT, "6 hours", "3 hours")
 
 
 @query("t2_admission_stream")

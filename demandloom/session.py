@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,8 +46,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write an intermediate table once to the shared folder and read it back.
+
+    For reduced tables that several parts of a plan need: the plan upstream runs
+    once, later stages see its real size, and a lost executor costs a re-read.
+    """
+    path = f"{shared_dir(df.sparkSession)}/stages/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder (survives lost executors)."""
+    """Reliable checkpoint in the shared folder, for plans grown in a loop."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
