@@ -100,11 +100,11 @@ c AS (SELECT {KEYS}, date, split, y, k, COALESCE(sum(zy) OVER h, 0) * pow(CAST(0
 
 
 @query("b8_intermittent", f"""
-WITH {CROSTON} SELECT source_dataset, product_key, count(*) AS n, {r('sum(y)', 4)} AS actual, {r('sum(level / gap)', 4)} AS croston, {r('sum(level / gap * CAST(0.95 AS DOUBLE))', 4)} AS sba, {r('sum(prob * level)', 4)} AS tsb
+WITH {CROSTON} SELECT source_dataset, product_key, count(*) AS n, {r('sum(y)', 8)} AS actual, {r('sum(level / gap)', 8)} AS croston, {r('sum(level / gap * CAST(0.95 AS DOUBLE))', 8)} AS sba, {r('sum(prob * level)', 8)} AS tsb
 FROM c WHERE split = 'test' GROUP BY 1, 2""")
 def b8(t):
     made = baselines.intermittent(t.panel)
-    return made.groupBy("source_dataset", "product_key").agg(F.count("*").alias("n"), *[rnd(F.sum(c), 4).alias(c) for c in ("actual", "croston", "sba", "tsb")])
+    return made.groupBy("source_dataset", "product_key").agg(F.count("*").alias("n"), *[rnd(F.sum(c), 8).alias(c) for c in ("actual", "croston", "sba", "tsb")])
 
 
 @query("b8_intermittent_accuracy", f"""
