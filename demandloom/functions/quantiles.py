@@ -27,7 +27,6 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     list per group is broadcast. For per-series quantiles, whose groups are
     bounded by the calendar, use ``F.percentile``.
     """
-    by = list(by)
     v = F.col(value).cast("double")
     counts = (
         df.where(v.isNotNull() & ~F.isnan(v))
@@ -35,7 +34,12 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
         .groupBy(*by, "_v")
         .agg(F.count("*").alias("_c"))
     )
-    counts = stored(counts, "value-counts")
+    return quantiles_of_counts(stored(counts, "value-counts"), probs, by, names)
+
+
+def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """As ``exact_quantiles`` from a stored table of ``by``, value ``_v`` and count ``_c``."""
+    by = list(by)
     grid = [i / BUCKETS for i in range(1, BUCKETS)]
     edges = counts.groupBy(*by).agg(
         F.sum("_c").alias("n"),

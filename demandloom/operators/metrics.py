@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandloom.functions.quantiles import exact_quantiles, quantile_table
+from demandloom.functions.quantiles import exact_quantiles, quantile_table, quantiles_of_counts
 from demandloom.functions.semantics import ratio, rnd
 from demandloom.functions.vocabulary import SUPPORTED_HORIZON_WEEKS
 from demandloom.session import stored
@@ -200,6 +200,34 @@ def with_regime(df: DataFrame, actual: str = "actual", by: Sequence[str] = ("sou
     return marked.drop("_q1", "_q2")
 
 
+def accuracy_by_regime(df: DataFrame, by: Sequence[str] = ("source_dataset",), actual="actual", prediction="prediction") -> DataFrame:
+    """Accuracy per demand regime from error sums per distinct actual value.
+
+    The regime depends on the actual value only, so one pass reduces the rows to
+    (group, actual) sums; tertiles and metrics both follow from that table.
+    """
+    by = list(by)
+    y, f = F.col(actual).cast("double"), F.col(prediction).cast("double")
+    err = F.abs(y - f)
+    smape = F.coalesce(F.try_divide(2.0 * err, F.abs(y) + F.abs(f)), F.lit(0.0))
+    sums = finite(df, actual, prediction).groupBy(*by, y.alias("_v")).agg(
+        F.count("*").alias("_c"), F.sum(err).alias("_ae"), F.sum((y - f) * (y - f)).alias("_se"), F.sum(smape).alias("_sm"),
+    )
+    sums = stored(sums, "error-sums")
+    cuts = quantiles_of_counts(sums.where("_v <> 0").select(*by, "_v", "_c"), [1 / 3, 2 / 3], by, ["_q1", "_q2"]).drop("n")
+    v = F.col("_v")
+    rows = sums.join(F.broadcast(cuts), by, "left").withColumn(
+        "regime", F.when(v == 0, "zero").when(v <= F.col("_q1"), "low").when(v <= F.col("_q2"), "medium").otherwise("high")
+    )
+    n = F.sum("_c")
+    return rows.groupBy(*by, "regime").agg(
+        rnd(ratio(F.sum("_ae"), n), 4).alias("mae"), rnd(F.sqrt(ratio(F.sum("_se"), n)), 4).alias("rmse"),
+        rnd(ratio(F.sum(F.when(v != 0, F.col("_ae") / F.abs(v))), F.sum(F.when(v != 0, F.col("_c")))) * 100.0, 4).alias("mape"),
+        rnd(ratio(F.sum("_sm"), n) * 100.0, 4).alias("smape"),
+        rnd(F.coalesce(ratio(F.sum("_ae"), F.sum(F.abs(v) * F.col("_c"))) * 100.0, F.lit(0.0)), 4).alias("wape"), n.alias("n"),
+    )
+
+
 def zero_demand_table(df: DataFrame, by: Sequence[str] = ("source_dataset",), actual="actual", prediction="prediction") -> DataFrame:
     y, f = F.col(actual).cast("double"), F.col(prediction)
     zero, err = y == 0, F.abs(y - f)

@@ -124,7 +124,8 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, numeric: Seque
         for k in range(repeats):
             part = mae(score(model, shuffled(rows, c, keys, SEED + k))).select(F.lit(c).alias("feature"), F.col("m"))
             out = part if out is None else out.unionByName(part)
-    return out.groupBy("feature").agg(rnd(F.avg(F.col("m")) - F.max(base), 6).alias("mae_increase"), F.count("*").alias("repeats"))
+    table = out.groupBy("feature").agg(F.avg("m").alias("m"), F.count("*").alias("repeats"))
+    return table.select("feature", rnd(F.col("m") - base, 6).alias("mae_increase"), "repeats")
 
 
 def hurdle(rows: DataFrame, numeric: Sequence[str], thresholds: Sequence[float] = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)) -> DataFrame:

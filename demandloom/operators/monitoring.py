@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandloom.functions.quantiles import exact_quantiles
+from demandloom.functions.quantiles import exact_quantiles, quantiles_of_counts
 from demandloom.functions.semantics import ratio, rnd, to_long
 from demandloom.functions.vocabulary import (
     MONITORING, PSI_DRIFT, PSI_STABLE, PSI_WATCH, SUPPORTED_HORIZON_WEEKS, SYNTHETIC, WAPE_BASELINE,
@@ -31,39 +31,49 @@ def distribution(df: DataFrame, by: Sequence[str] = ("source_dataset", "horizon"
     return table.join(median.select(*by, rnd("_m", 6).alias("prediction_median")), list(by), "left")
 
 
-def psi(expected: DataFrame, actual: DataFrame, by: Sequence[str], value: str, bins: int = 10) -> DataFrame:
-    """Population stability index per group over baseline decile edges.
+def two_sided_counts(expected: DataFrame, actual: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Rows of each side per distinct value, written once.
 
-    Repeated edges are dropped, values outside the baseline range are left out,
-    shares are floored at 1e-6. Both sides become a histogram in one aggregate.
+    Moments, PSI and KS all follow from this table, so the two inputs are read
+    once and repeated values are merged before any further shuffle.
     """
+    side = lambda df, e, a: df.select(*by, F.col(value).cast("double").alias("_v"), F.lit(e).alias("e"), F.lit(a).alias("a"))
+    both = side(expected, 1, 0).unionByName(side(actual, 0, 1)).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    return stored(both.groupBy(*by, "_v").agg(F.sum("e").alias("e"), F.sum("a").alias("a")), "value-counts")
+
+
+def psi(expected: DataFrame, actual: DataFrame, by: Sequence[str], value: str, bins: int = 10) -> DataFrame:
+    """Population stability index per group over baseline decile edges."""
+    return psi_of_counts(two_sided_counts(expected, actual, by, value), by, bins)
+
+
+def psi_of_counts(counts: DataFrame, by: Sequence[str], bins: int = 10) -> DataFrame:
+    """Repeated edges are dropped, values outside the baseline range are left out
+    and shares are floored at 1e-6."""
     by = list(by)
     names = [f"_e{i}" for i in range(bins + 1)]
-    cuts = exact_quantiles(expected, value, [i / bins for i in range(bins + 1)], by, names).select(
+    base = counts.where(F.col("e") > 0).select(*by, "_v", F.col("e").alias("_c"))
+    cuts = quantiles_of_counts(base, [i / bins for i in range(bins + 1)], by, names).select(
         *by, F.col("n").alias("n_expected"), F.array_distinct(F.array(*names)).alias("_edges")
     )
-    both = expected.select(*by, F.col(value).alias("_v"), F.lit(1).alias("_base")).unionByName(
-        actual.select(*by, F.col(value).alias("_v"), F.lit(0).alias("_base"))
-    ).where(F.col("_v").isNotNull() & ~F.isnan(F.col("_v").cast("double")))
-    tagged = both.join(F.broadcast(cuts), by)
-    last = F.element_at("_edges", -1)
-    inside = (F.col("_v") >= F.element_at("_edges", 1)) & (F.col("_v") <= last)
+    tagged = counts.join(F.broadcast(cuts), by)
+    inside = (F.col("_v") >= F.element_at("_edges", 1)) & (F.col("_v") <= F.element_at("_edges", -1))
     # left-closed bins, the last one closed on both sides
     bucket = F.least(F.size(F.filter("_edges", lambda e: e <= F.col("_v"))), F.size("_edges") - 1)
     hist = tagged.groupBy(*by, F.when(inside, bucket).alias("_b")).agg(
-        F.sum("_base").alias("e"), F.sum(1 - F.col("_base")).alias("a"), F.max("n_expected").alias("n_expected"),
-        F.max(F.size("_edges")).alias("_k"),
+        F.sum("e").alias("e"), F.sum("a").alias("a"), F.max("n_expected").alias("n_expected"), F.max(F.size("_edges")).alias("_k"),
     )
+    kept = F.col("_b").isNotNull()
+    # at most bins + 1 histogram rows per group
     filled = hist.groupBy(*by).agg(
         F.max("n_expected").alias("n_expected"), F.max("_k").alias("_k"), F.sum("a").alias("n_actual"),
-        F.sum(F.when(F.col("_b").isNotNull(), F.col("e"))).alias("_E"), F.sum(F.when(F.col("_b").isNotNull(), F.col("a"))).alias("_A"),
-        F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", "e", "a"))).alias("_h"),
+        F.sum(F.when(kept, F.col("e"))).alias("_in_e"), F.sum(F.when(kept, F.col("a"))).alias("_in_a"),
+        F.array_sort(F.collect_list(F.when(kept, F.struct("_b", "e", "a")))).alias("_h"),
     )
     floor = F.lit(1e-6)
-    pe = lambda x: F.greatest(x["e"] / F.greatest(F.col("_E"), F.lit(1)), floor)
-    pa = lambda x: F.greatest(x["a"] / F.greatest(F.col("_A"), F.lit(1)), floor)
-    # every bin between two baseline quantiles holds a baseline value except
-    # possibly through interpolation; bins empty on both sides add nothing
+    pe = lambda x: F.greatest(x["e"] / F.greatest(F.col("_in_e"), F.lit(1)), floor)
+    pa = lambda x: F.greatest(x["a"] / F.greatest(F.col("_in_a"), F.lit(1)), floor)
+    # a bin empty on both sides adds nothing, so absent bins can stay absent
     total = F.aggregate("_h", F.lit(0.0), lambda acc, x: acc + (pa(x) - pe(x)) * F.log(pa(x) / pe(x)))
     enough = (F.col("n_expected") >= MIN_SAMPLE) & (F.col("n_actual") >= MIN_SAMPLE)
     return filled.select(
@@ -78,20 +88,17 @@ def classify_psi(value: Column) -> Column:
     )
 
 
-def ks(expected: DataFrame, actual: DataFrame, by: Sequence[str], value: str, buckets: int = 64) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance per group.
+def ks(expected: DataFrame, actual: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov distance per group."""
+    return ks_of_counts(two_sided_counts(expected, actual, by, value), by)
 
-    Counts per distinct value, then running counts in two levels: bucket offsets
-    over a few rows per group, and inside each bucket on its own.
-    """
+
+def ks_of_counts(counts: DataFrame, by: Sequence[str], buckets: int = 64) -> DataFrame:
+    """Running counts in two levels: bucket offsets over a few rows per group, and
+    inside each bucket on its own."""
     by = list(by)
-    side = lambda df, e, a: df.select(*by, F.col(value).cast("double").alias("_v"), F.lit(e).alias("e"), F.lit(a).alias("a"))
-    counts = side(expected, 1, 0).unionByName(side(actual, 0, 1)).where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy(*by, "_v").agg(
-        F.sum("e").alias("e"), F.sum("a").alias("a")
-    )
-    counts = stored(counts, "value-counts")
     edges = counts.groupBy(*by).agg(
-        F.sum("e").alias("_E"), F.sum("a").alias("_A"),
+        F.sum("e").alias("_all_e"), F.sum("a").alias("_all_a"),
         F.array_distinct(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 1000)).alias("_edges"),
     )
     tagged = counts.join(F.broadcast(edges), by).withColumn("_b", F.size(F.filter("_edges", lambda x: x < F.col("_v")))).drop("_edges")
@@ -100,25 +107,33 @@ def ks(expected: DataFrame, actual: DataFrame, by: Sequence[str], value: str, bu
         *by, "_b", F.coalesce(F.sum("e").over(before), F.lit(0)).alias("_e0"), F.coalesce(F.sum("a").over(before), F.lit(0)).alias("_a0")
     )
     inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs(
-        (F.col("_e0") + F.sum("e").over(inside)) / F.col("_E") - (F.col("_a0") + F.sum("a").over(inside)) / F.col("_A")
-    )
-    usable = (F.col("_E") >= MIN_SAMPLE) & (F.col("_A") >= MIN_SAMPLE)
-    steps = tagged.join(F.broadcast(offsets), [*by, "_b"]).withColumn("_gap", F.when(usable, gap))
+    share = lambda c, start, whole: F.try_divide((F.col(start) + F.sum(c).over(inside)).cast("double"), F.col(whole).cast("double"))
+    usable = (F.col("_all_e") >= MIN_SAMPLE) & (F.col("_all_a") >= MIN_SAMPLE)
+    steps = tagged.join(F.broadcast(offsets), [*by, "_b"]).withColumn("_gap", F.when(usable, F.abs(share("e", "_e0", "_all_e") - share("a", "_a0", "_all_a"))))
     return steps.groupBy(*by).agg(F.max("_gap").alias("ks"))
 
 
+def moments_of_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Mean and sample standard deviation of both sides, deviations taken from the mean."""
+    by = list(by)
+    v = F.col("_v")
+    mean = lambda c: ratio(F.sum(v * F.col(c)), F.sum(c))
+    means = counts.groupBy(*by).agg(mean("e").alias("_me"), mean("a").alias("_ma"))
+    rows = counts.join(F.broadcast(means), by)
+    std = lambda c, m: F.sqrt(ratio(F.sum(F.col(c) * (v - F.col(m)) * (v - F.col(m))), F.sum(c) - 1))
+    return rows.groupBy(*by).agg(
+        rnd(F.max("_me"), 4).alias("ref_mean"), rnd(std("e", "_me"), 4).alias("ref_std"), rnd(F.max("_ma"), 4).alias("cur_mean"), rnd(std("a", "_ma"), 4).alias("cur_std"),
+    )
+
+
 def drift_table(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:
     """Moments, PSI and KS of every feature in reference and current rows."""
-    ref = to_long(reference.select(*[F.col(f).cast("double") for f in features]), [], features, "feature", "value")
-    cur = to_long(current.select(*[F.col(f).cast("double") for f in features]), [], features, "feature", "value")
-    moments = lambda df, p: df.groupBy("feature").agg(
-        rnd(F.avg("value"), 4).alias(f"{p}_mean"), rnd(F.stddev_samp("value"), 4).alias(f"{p}_std")
-    )
+    long = lambda df: to_long(df.select(*[F.col(f).cast("double").alias(f) for f in features]), [], features, "feature", "value")
+    counts = two_sided_counts(long(reference), long(current), ["feature"], "value")
     return (
-        moments(ref, "ref").join(moments(cur, "cur"), "feature", "left")
-        .join(psi(ref, cur, ["feature"], "value").select("feature", rnd("psi", 4).alias("psi")), "feature", "left")
-        .join(ks(ref, cur, ["feature"], "value").select("feature", rnd("ks", 4).alias("ks")), "feature", "left")
+        moments_of_counts(counts, ["feature"])
+        .join(psi_of_counts(counts, ["feature"]).select("feature", rnd("psi", 4).alias("psi")), "feature", "left")
+        .join(ks_of_counts(counts, ["feature"]).select("feature", rnd("ks", 4).alias("ks")), "feature", "left")
     )
 
 
@@ -137,7 +152,7 @@ def weekly_windows(weekly: DataFrame) -> DataFrame:
 def data_drift(features: DataFrame, columns: Sequence[str]) -> DataFrame:
     rows = features.join(F.broadcast(weekly_windows(features)), "week")
     long = lambda keep: to_long(
-        rows.where(keep).select(*[F.col(c).cast("double") for c in columns]), [], columns, "feature", "value"
+        rows.where(keep).select(*[F.col(c).cast("double").alias(c) for c in columns]), [], columns, "feature", "value"
     )
     table = psi(long("is_baseline"), long("is_current"), ["feature"], "value")
     return table.select("feature", "n_expected", "n_actual", rnd("psi", 4).alias("psi"), classify_psi(F.col("psi")).alias("status"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from demandloom.functions.semantics import rnd
-from demandloom.operators import backtest, baselines, features, metrics, quality
+from demandloom.operators import backtest, baselines, features, metrics, quality, risk
 from demandloom.plans.registry import query
 from demandloom.plans.sqltext import big, ci, div, r
 from demandloom.plans.views import MODELS
@@ -250,7 +250,7 @@ REGIME = """q AS (SELECT source_dataset, quantile_cont(actual, 1.0 / 3) AS q1, q
 
 @query("m9_regimes", f"WITH {REGIME} SELECT source_dataset, regime, {acc()} FROM g WHERE {OK} GROUP BY 1, 2")
 def m9(t):
-    return metrics.accuracy(metrics.with_regime(t.forecast_rows.where("horizon = 1")), ["source_dataset", "regime"])
+    return metrics.accuracy_by_regime(t.forecast_rows.where("horizon = 1"))
 
 
 @query("m10_zero_demand", f"""
@@ -370,7 +370,6 @@ WITH f AS ({FOLD}), h AS ({HVER}), b AS ({BIAS}) SELECT f.source_dataset, CASE W
   CASE WHEN f.source_dataset = 'UCI' THEN 'No inventory data: UCI can only be a demand forecasting candidate' END) AS warnings, fold_stability
 FROM f LEFT JOIN h ON f.source_dataset = h.source_dataset LEFT JOIN b ON f.source_dataset = b.source_dataset""")
 def m18(t):
-    from demandloom.operators import risk
     wins = metrics.fold_wins(t.backtest)
     grid = risk.consistency(t.sku_risk).select(F.col("consistency_status") == "PASS").scalar()
     daily = t.fact_sales.withColumns({"units_sold_lag_1": F.lag("units_sold", 1).over(features.series(GRAIN)), "rolling_mean_7": F.avg("units_sold").over(features.trailing(features.series(GRAIN), 7))})

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from demandloom.functions.semantics import rnd
-from demandloom.operators import backtest, features, metrics, ml
+from demandloom.operators import backtest, baselines, features, metrics, ml
 from demandloom.plans.registry import query
 from demandloom.plans.sqltext import ci, r
+from demandloom.session import stored
 
 KEYS = ["source_dataset", "product_key", "week"]
 NUM = list(ml.WEEKLY_NUMERIC)
@@ -14,7 +15,7 @@ PW = "PARTITION BY source_dataset, product_key ORDER BY week"
 
 def _weekly(t):
     """Weekly features of both sources with chronological roles."""
-    return ml.chronological(features.weekly_features(t.weekly_demand))
+    return stored(ml.chronological(features.weekly_features(t.weekly_demand)), "weekly-features")
 
 
 def _gbt(rows, iterations=5):
@@ -39,7 +40,6 @@ def l2(t):
 @query("l3_nonnegative_predictions", f"""
 SELECT source_dataset, count(*) AS n, {ci('p < 0')} AS negatives, {r('sum(p)', 4)} AS total FROM (SELECT source_dataset, CASE WHEN prediction IS NULL THEN CAST(0 AS DOUBLE) ELSE greatest(0, prediction - 10) END AS p FROM long_predictions WHERE model = 'naive') t GROUP BY 1""")
 def l3(t):
-    from demandloom.operators import baselines
     rows = baselines.long_predictions(t.baseline_predictions, ["naive"]).withColumn("raw", F.col("prediction") - 10)
     p = ml.nonnegative("raw")
     return rows.withColumn("p", p).groupBy("source_dataset").agg(F.count("*").alias("n"), F.count_if(F.col("p") < 0).alias("negatives"), rnd(F.sum("p"), 4).alias("total"))

@@ -3,15 +3,13 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from demandloom.functions.quantiles import exact_quantiles
 from demandloom.functions.semantics import most_common, rnd
-from demandloom.operators import baselines, bi, features, metrics, quality
+from demandloom.operators import backtest, baselines, bi, features, metrics, risk, star
 from demandloom.plans.registry import query
-from demandloom.plans.sqltext import big, ci, pct, r
+from demandloom.plans.sqltext import ci, pct, r
 from demandloom.sources import files
 
-CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
-
-
 @query("a1_csv_scan", f"SELECT c_nationkey AS nation_key, count(*) AS customers, {r('sum(c_acctbal)', 2)} AS balance FROM customer GROUP BY 1")
 def a1(t):
     """Written with untidy headers, read with an explicit schema and snake_case names."""
@@ -81,7 +79,6 @@ def a9(t):
 
 @query("a10_batch_job", f"SELECT product_key, count(*) AS n, {r('sum(CASE WHEN pos > 1 THEN before END)', 4)} AS forecast FROM (SELECT *, row_number() OVER w AS pos, lag(units_sold) OVER w AS before FROM weekly_sku WINDOW w AS (PARTITION BY product_key ORDER BY week)) t GROUP BY 1")
 def a10(t):
-    from demandloom.operators import star
     source, target = files.scratch(t.spark, "batch-in"), files.scratch(t.spark, "batch-out")
     star.weekly_sku(t.sales_daily).select("product_key", "week", "units_sold").write.parquet(source)
     out = files.run_batch(t.spark, source, target, lambda d: d.withColumn("prediction", F.lag("units_sold").over(features.series(["product_key"], "week"))))
@@ -151,15 +148,14 @@ def a20(t):
     return a.join(t.table("orders").groupBy(F.col("o_orderdate").cast("date").alias("k")).agg(F.count("*").alias("n_order")), "k", "full")
 
 
-@query("a21_anti_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("a21_anti_join", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def a21(t):
-    c, o = t.table("customer"), t.table("orders")
+    c, o = t.table("customer"), t.table("orders").where("o_totalprice > 400000")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_name")
 
 
 @query("a22_latest_snapshot_join", "SELECT k.sku_id, count(store_id) AS stores, CAST(sum(ending_inventory) AS BIGINT) AS stock FROM sku_master k LEFT JOIN (SELECT * FROM inventory_snapshots WHERE date = (SELECT max(date) FROM inventory_snapshots)) i ON k.sku_id = i.sku_id GROUP BY 1")
 def a22(t):
-    from demandloom.operators import risk
     j = t.sku_master.join(risk.latest(t.inventory_snapshots, "date"), "sku_id", "left")
     return j.groupBy("sku_id").agg(F.count("store_id").alias("stores"), F.sum("ending_inventory").alias("stock"))
 
@@ -175,7 +171,6 @@ def a23(t):
 @query("a24_fold_expansion", "SELECT fold, source_dataset, count(*) AS rows FROM (SELECT fold, d.source_dataset FROM weekly_demand d JOIN fold_origins o ON d.source_dataset = o.source_dataset AND d.week <= o.origin) t GROUP BY 1, 2")
 def a24(t):
     """Rows x folds from counts per week: the expansion never materialises."""
-    from demandloom.operators import backtest
     weeks = t.weekly_demand.groupBy("source_dataset", "week").agg(F.count("*").alias("n"))
     origins = backtest.fold_weeks(t.weekly_demand).groupBy("source_dataset", "fold").agg(F.max("origin").alias("origin"))
     return weeks.join(F.broadcast(origins), "source_dataset").where("week <= origin").groupBy("fold", "source_dataset").agg(F.sum("n").alias("rows"))
@@ -185,7 +180,6 @@ def a24(t):
 SELECT l_returnflag, sum(l_quantity) AS total, {r('avg(l_quantity)', 6)} AS mean, min(l_quantity) AS lowest, max(l_quantity) AS highest, count(*) AS n, {r('stddev_samp(l_quantity)', 6)} AS std, quantile_cont(l_quantity, 0.5) AS median, arg_min(l_extendedprice, (l_shipdate, l_extendedprice)) AS first_price,
  arg_max(l_extendedprice, (l_shipdate, l_extendedprice)) AS last_price FROM lineitem GROUP BY 1""")
 def a25(t):
-    from demandloom.functions.quantiles import exact_quantiles
     q, p = F.col("l_quantity"), F.struct("l_shipdate", "l_extendedprice")
     table = t.table("lineitem").groupBy("l_returnflag").agg(
         F.sum(q).alias("total"), rnd(F.avg(q), 6).alias("mean"), F.min(q).alias("lowest"), F.max(q).alias("highest"), F.count("*").alias("n"), rnd(F.stddev_samp(q), 6).alias("std"),
@@ -218,7 +212,6 @@ def a29(t):
 
 @query("a30_quantiles", f"SELECT l_linestatus, {', '.join(f'{r(f'quantile_cont(l_extendedprice, {p})', 6)} AS {n}' for p, n in ((0.01, 'p01'), (0.25, 'p25'), (0.5, 'p50'), (0.9, 'p90'), (0.99, 'p99')))}, count(*) AS n FROM lineitem GROUP BY 1")
 def a30(t):
-    from demandloom.functions.quantiles import exact_quantiles
     names = ["p01", "p25", "p50", "p90", "p99"]
     q = exact_quantiles(t.table("lineitem"), "l_extendedprice", [0.01, 0.25, 0.5, 0.9, 0.99], ["l_linestatus"], names)
     return q.withColumns({c: rnd(c, 6) for c in names})
@@ -346,10 +339,10 @@ def padded(t):
     return u.groupBy("kind").agg(F.count("*").alias("rows"), F.count("balance").alias("with_balance"), F.count("size").alias("with_size"))
 
 
-@query("set_difference", "SELECT l_partkey AS part FROM lineitem EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+@query("set_difference", "SELECT l_suppkey AS supplier, l_partkey AS part FROM lineitem EXCEPT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R'")
 def difference(t):
-    parts = t.table("lineitem").select(F.col("l_partkey").alias("part"))
-    return parts.subtract(t.table("lineitem").where("l_returnflag = 'R'").select("l_partkey"))
+    pairs = t.table("lineitem").select(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("part"))
+    return pairs.subtract(t.table("lineitem").where("l_returnflag = 'R'").select("l_suppkey", "l_partkey"))
 
 
 @query("set_intersection", "SELECT l_suppkey AS supplier, l_partkey AS part FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'N'")
