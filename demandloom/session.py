@@ -9,9 +9,9 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(app: str = "demandloom", cores: str | int = "*", partitions: int = 8) -> SparkSession:
+def local_session(app: str = "demandloom", cores: str | int = "*", partitions: int = 8, shared: str | None = None) -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -20,8 +20,10 @@ def local_session(app: str = "demandloom", cores: str | int = "*", partitions: i
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if shared is not None:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -33,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     own; anywhere else a missing setting is an error, since executors could not
     read a driver-local path.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path
     known = getattr(spark, "_demandloom_shared_dir", None)
