@@ -1,0 +1,21 @@
+"""Intermediate tables in the cluster's shared folder."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from demandloom.session import stored
+
+
+def partitions_for(df: DataFrame, rows: int, per_task: int) -> int:
+    """Shuffle partitions for ``rows`` rows, at least the session's own number."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
+
+
+def grouped_numbers(df: DataFrame) -> tuple[int, DataFrame]:
+    kept = stored(df)
+    return kept.count(), kept
+
+
