@@ -5,17 +5,81 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from demandloom.llm import language, mixing, packing
 from demandloom.llm.jaccard import jaccard_components
+from demandloom.session import stored
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
+    fold = language.fold_of(F.col("doc_id"), 5)
+    model = language.fit_languages(docs.where(fold != 0))
+    out = language.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (fold == 0).alias("held_out"), "lang_pred", "score", "lang_shares", "n_grams")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(_table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_ngram_jaccard_join,)}
-ORACLES: dict[str, str] = {}
+def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    out = mixing.mixed(_table(spark, folder, "documents"))
+    return out.select("doc_id", "source", "pass", "block", "pass_order", F.round("weight", 9).alias("weight"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE narrow AS (
+  SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens FROM documents),
+totals AS (SELECT source, CAST(SUM(tokens) AS BIGINT) AS tokens, COUNT(*) AS n FROM narrow GROUP BY source),
+shares AS (SELECT list_sort(list(CAST(tokens AS DOUBLE) / total)) AS p, any_value(total) AS total
+           FROM (SELECT tokens, SUM(tokens) OVER () AS total FROM totals) WHERE tokens > 0),
+one AS (SELECT p, total, p[1] AS low, 0.5 * ln(len(p)) - 0.5 * list_sum(list_transform(p, lambda x: x * ln(x))) AS target FROM shares),
+tried(step, lo, hi) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT step + 1, CASE WHEN fits THEN lo ELSE mid END, CASE WHEN fits THEN mid ELSE hi END
+  FROM (SELECT step, lo, hi, mid, ln(z) - mid * zl / z <= target + 1e-12 AND pow(low, mid - 1) / z <= 4 AS fits
+        FROM (SELECT step, lo, hi, (lo + hi) / 2 AS mid, low, target,
+                     list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2))) AS z,
+                     list_sum(list_transform(p, lambda x: pow(x, (lo + hi) / 2) * ln(x))) AS zl
+              FROM tried, one WHERE step < 50))),
+chosen AS (
+  SELECT p, total, a, list_sum(list_transform(p, lambda x: pow(x, a))) AS z
+  FROM (SELECT p, total, CASE WHEN ln(len(p)) <= target + 1e-12 AND 1 / low / len(p) <= 4 THEN 0 ELSE round((SELECT hi FROM tried WHERE step = 50), 9) END AS a FROM one)),
+plan AS (
+  SELECT source, tokens, weight, CAST(floor(given / tokens) AS BIGINT) AS passes, given - CAST(floor(given / tokens) AS BIGINT) * tokens AS rest,
+         CASE WHEN n <= 4096 THEN 0 ELSE CAST(ceil(round(ln(CAST(n AS DOUBLE) / 4096) / ln(16), 9)) AS INT) END AS digits
+  FROM (SELECT source, tokens, n, weight, CAST(floor(round(weight * total, 3)) AS BIGINT) AS given
+        FROM (SELECT source, tokens, n, total, round(pow(tokens / total, a) / z, 12) AS weight FROM totals, chosen WHERE tokens > 0))),
+ranked AS (
+  SELECT n.source, n.tokens, p.rest, md5('17:' || p.passes || ':' || n.doc_id) AS h FROM narrow n JOIN plan p ON n.source = p.source WHERE p.rest > 0),
+cuts AS (SELECT source, MIN(h) AS cut FROM (SELECT source, h, rest, SUM(tokens) OVER (PARTITION BY source ORDER BY h) AS upto FROM ranked) WHERE upto > rest GROUP BY source),
+drawn AS (
+  SELECT n.doc_id, n.source, p.weight, p.digits, p.passes, p.rest, c.cut, t.turn AS pass, md5('17:' || t.turn || ':' || n.doc_id) AS pass_order
+  FROM narrow n JOIN plan p ON n.source = p.source LEFT JOIN cuts c ON n.source = c.source
+  CROSS JOIN LATERAL (SELECT unnest(range(0, p.passes + 1)) AS turn) t)
+SELECT doc_id, source, CAST(pass AS INT) AS pass, substr(pass_order, 1, digits) AS block, pass_order, round(weight, 9) AS weight
+FROM drawn WHERE pass < passes OR (rest > 0 AND pass_order < cut)
+"""
+
+
+def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.token_pieces(_table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+    digests = stored(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+    return packing.assign_sequences(digests)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_language_id, op4_ngram_jaccard_join, op5_mix_sources, op6_best_fit_packing)}
+ORACLES: dict[str, str] = {"op5_mix_sources": OP5_SQL}
