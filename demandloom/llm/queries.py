@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import language, mixing, packing
+from demandloom.llm import ann, language, mixing, near_vectors, packing
 from demandloom.llm.jaccard import jaccard_components
 from demandloom.session import stored
 
@@ -22,6 +22,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_forest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
     fold = language.fold_of(F.col("doc_id"), 5)
@@ -81,5 +86,9 @@ def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.assign_sequences(digests)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_language_id, op4_ngram_jaccard_join, op5_mix_sources, op6_best_fit_packing)}
+def op7_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_duplicates(_table(spark, folder, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_forest_neighbours, op3_language_id, op4_ngram_jaccard_join, op5_mix_sources, op6_best_fit_packing, op7_embedding_near_dedup)}
 ORACLES: dict[str, str] = {"op5_mix_sources": OP5_SQL}
