@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.llm.blocks import block_pairs, runs_of
 from demandloom.llm.components import components
 from demandloom.llm.vectors import matrix, usable
 from demandloom.session import stored
@@ -79,33 +80,14 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 
     entries = distinct.mapInArrow(hashed, "bucket long, rep long, m long, codes binary, v array<double>")
     counts = stored(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    placed = entries.join(counts, "bucket").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = placed.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "m", "codes", "v")
-
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key_now: tuple | None = None
-        for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
-            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
-            for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                name = tuple(keys[a])
-                if name != key_now and held:
-                    yield from block(key_now, held)
-                    held = []
-                key_now = name
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from block(key_now, held)
-
-    def block(name: tuple, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(parts).combine_chunks()
+        for name, table in runs_of(batches, 3):
+            yield from block(name, table)
+
+    def block(name: tuple[int, ...], table: pa.Table) -> Iterator[pa.RecordBatch]:
         if len(table) < 2:
             return
-        bucket, i, j = (int(x) for x in name)
+        bucket, i, j = name
         dim, t = divmod(bucket >> 24, tables)
         x = matrix(table.column("v").chunk(0), dim)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -127,7 +109,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         some = (label != np.arange(len(x))) | (links > 0)
         yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some].astype(np.int64)), pa.array(rep[label[some]])], ["rep", "links", "root"])
 
-    found = placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compared, "rep long, links long, root long")
+    found = block_pairs(entries, "bucket", "rep", counts, BLOCK).mapInArrow(compared, "rep long, links long, root long")
     found = stored(found.groupBy("rep", "root").agg(F.sum("links").alias("links")), "links")
     labels = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

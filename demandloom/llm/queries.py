@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import ann, language, mixing, near_vectors, packing
+from demandloom.llm import ann, language, lm, mixing, near_vectors, packing
 from demandloom.llm.jaccard import jaccard_components
 from demandloom.session import stored
 
@@ -90,5 +90,12 @@ def op7_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors.near_duplicates(_table(spark, folder, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_forest_neighbours, op3_language_id, op4_ngram_jaccard_join, op5_mix_sources, op6_best_fit_packing, op7_embedding_near_dedup)}
+def op8_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    fold = language.fold_of(F.col("doc_id"), 10)
+    out = lm.score_documents(docs, F.when(fold == 0, 0).when(fold == 1, lm.HELD).otherwise(lm.TRAIN))
+    return out.withColumn("held_out", fold == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_forest_neighbours, op3_language_id, op4_ngram_jaccard_join, op5_mix_sources, op6_best_fit_packing, op7_embedding_near_dedup, op8_deleted_interpolation)}
 ORACLES: dict[str, str] = {"op5_mix_sources": OP5_SQL}
