@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import ann, language, lm, mixing, near_vectors, packing
+from demandloom.llm import ann, language, licenses, lm, mixing, near_vectors, packing, token_counts, warc
 from demandloom.llm.jaccard import jaccard_components
-from demandloom.session import stored
+from demandloom.session import shared_dir, stored
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op1_forest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
     fold = language.fold_of(F.col("doc_id"), 5)
@@ -97,5 +102,29 @@ def op8_deleted_interpolation(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("held_out", fold == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_forest_neighbours, op3_language_id, op4_ngram_jaccard_join, op5_mix_sources, op6_best_fit_packing, op7_embedding_near_dedup, op8_deleted_interpolation)}
-ORACLES: dict[str, str] = {"op5_mix_sources": OP5_SQL}
+def op9_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    place = f"{shared_dir(spark)}/warc/{uuid4().hex}"
+    written = warc.write_archives(_table(spark, folder, "pages"), place)
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    if written.isEmpty():
+        return written.select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("long").alias("payload_bytes"), F.lit("").alias("payload_digest"), F.lit("").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    found = warc.read_archives(spark, place, payloads=False)
+    return found.where(F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.lit(True))).select(*columns)
+
+
+OP9_SQL = """
+WITH sized AS (
+  SELECT page_id, COALESCE(html, '') AS html, octet_length(encode(COALESCE(html, ''))) AS payload_bytes, sha256(COALESCE(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT payload_digest, MIN(page_id) AS first FROM sized WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT s.page_id, s.payload_bytes, s.payload_digest, CASE WHEN f.first <> s.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first <> s.page_id THEN f.first END AS refers_to
+FROM sized s LEFT JOIN firsts f ON s.payload_digest = f.payload_digest AND s.payload_bytes >= 100
+"""
+
+
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(_table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_forest_neighbours, op2_token_counts, op3_language_id, op4_ngram_jaccard_join, op5_mix_sources, op6_best_fit_packing, op7_embedding_near_dedup, op8_deleted_interpolation, op9_warc_round_trip, op10_license_scan)}
+ORACLES: dict[str, str] = {"op5_mix_sources": OP5_SQL, "op9_warc_round_trip": OP9_SQL}
