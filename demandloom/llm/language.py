@@ -43,8 +43,13 @@ def _is_letter() -> np.ndarray:
 def _codes(text: str) -> np.ndarray:
     code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     code = np.where(_is_letter()[code], code, np.uint32(32))
+    return _one_space(code)
+
+
+def _one_space(code: np.ndarray) -> np.ndarray:
     keep = code != 32
     keep[1:] |= code[:-1] != 32
+    keep[:1] = True
     return code[keep]
 
 
@@ -60,10 +65,7 @@ def _counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     text = text or ""
     total, carry = None, np.array([32], np.uint32)
     for at in range(0, max(len(text), 1), PIECE):
-        code = _codes(text[at : at + PIECE])
-        if carry[-1] == 32 and len(code) and code[0] == 32:
-            code = code[1:]
-        code = np.concatenate([carry, code])
+        code = _one_space(np.concatenate([carry, _codes(text[at : at + PIECE])]))
         last = at + PIECE >= len(text)
         if last and code[-1] != 32:
             code = np.append(code, np.uint32(32))
