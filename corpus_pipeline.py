@@ -10,8 +10,8 @@ return the columns of ``documents``:
    smaller sources come again, up to half of a second pass.
 4. ``best_fit_packing`` packs all drawn documents into sequences of 2048 tokens.
 
-Null texts have no letter and go in the first stage; rows with a null doc_id have no identity to be joined on and
-pass the second stage unchanged. Columns beyond those named are carried along.
+Null texts have no letter and go in the first stage; of rows repeated with doc_id and text one stays; rows with a null
+doc_id have no identity to be joined on and pass the second stage unchanged. Columns beyond those named are carried along.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from demandloom.session import shared_dir, stored
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
     model = language.fit_languages(docs.select("lang", "text").where(language.fold_of(F.col("doc_id"), 5) != 0))
-    found = language.identify(docs.withColumnsRenamed({c: f"in_{c}" for c in columns}), model, "in_text")
+    found = language.identify(docs.select([F.col(c).alias(f"in_{c}") for c in columns]), model, "in_text")
     kept = found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("fit") > 0))
     return kept.select([F.col("lang_pred" if c == "lang" else f"in_{c}").alias(c) for c in columns])
 
@@ -38,7 +38,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     dropped = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
     left = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    return left.dropDuplicates(["doc_id", "text"]) if docs.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").limit(1).count() else left
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return left
+    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(left.where("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
