@@ -29,13 +29,13 @@ def season(month: Column) -> Column:
     )
 
 
-def calendar_attributes(days: DataFrame, holidays: dict[int, str]) -> DataFrame:
-    """Calendar row per date; ``holidays`` maps month*100+day to a name."""
+def calendar_attributes(days: DataFrame, holidays: Sequence[tuple[str, int, int | None, int, int]]) -> DataFrame:
+    """Calendar row per date; ``holidays``: name, month, ISO weekday or None, first and last day. The first rule that fits names a day."""
     d = F.col("date")
-    code = F.month(d) * 100 + F.day(d)
     name = F.lit("Regular Day")
-    for key, label in holidays.items():
-        name = F.when(code == key, label).otherwise(name)
+    for label, month, weekday, first, last in reversed(holidays):
+        fits = (F.month(d) == month) & F.day(d).between(first, last)
+        name = F.when(fits if weekday is None else fits & (F.weekday(d) == weekday - 1), label).otherwise(name)
     return days.select(
         "date", F.year(d).alias("year"), F.month(d).alias("month"), F.quarter(d).alias("quarter"), F.day(d).alias("day"),
         F.weekday(d).alias("day_of_week"), F.date_format(d, "EEEE").alias("day_name"),

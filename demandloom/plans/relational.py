@@ -87,7 +87,7 @@ def a10(t):
 
 @query("a11_file_manifest")
 def a11(t):
-    return files.manifest(t.spark, t.folder, "*.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "size", "sha256")
+    return files.manifest(t.spark, t.folder, "*.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "size", "lines", "content")
 
 
 @query("a12_rename", "SELECT n_nationkey AS nation_id, n_name AS nation FROM nation")

@@ -126,13 +126,13 @@ WITH s AS (SELECT count(*) AS n_rows, {ci("stockout_risk_level = 'CRITICAL / HIG
  {ci('reorder_triggered')} AS reorder_review_count, {ci("stockout_risk_level = 'LOW / SAFE' AND overstock_risk_level = 'OPTIMAL'")} AS no_exceptional_risk, {r('avg(days_of_supply)', 4)} AS mean_days_of_supply,
  {big('COALESCE(sum(total_recent_units), 0)')} AS total_recent_units, {r('avg(avg_daily_demand)', 4)} AS avg_daily_demand, {r('avg(std_daily_demand) / greatest(avg(avg_daily_demand), 1e-9)', 4)} AS demand_volatility_cv, count(DISTINCT sku_id) AS n_products FROM risk_matrix),
  f AS (SELECT {r('avg(abs(actual - prediction))', 4)} AS mae, {r('sqrt(avg((actual - prediction) * (actual - prediction)))', 4)} AS rmse, {r('sum(abs(actual - prediction)) / sum(abs(actual)) * 100', 4)} AS wape, {r('avg(prediction - actual)', 4)} AS bias FROM forecast_rows),
- q AS (SELECT count(*) AS request_count, {r("count_if(event_type = 'error') / CAST(count(*) AS DOUBLE)", 4)} AS error_rate, 'NOT AVAILABLE' AS mean_latency_ms FROM events)
-SELECT *, 'Insufficient Evidence' AS growth_on_extract FROM s, f, q""")
+ q AS (SELECT count(*) AS request_count, {r("count_if(event_type = 'error') / CAST(count(*) AS DOUBLE)", 4)} AS error_rate, CAST(avg(value) AS DOUBLE) AS mean_latency FROM events)
+SELECT s.*, f.*, request_count, error_rate, round(mean_latency, 3) AS mean_latency_ms, 'Insufficient Evidence' AS growth_on_extract FROM s, f, q""")
 def i1(t):
     rows = t.forecast_rows.withColumn("_all", F.lit(1))
     acc = rows.groupBy("_all").agg(*metrics.accuracy_columns("actual", "prediction"), *metrics.extended_columns("actual", "prediction"))
-    ops = requests.totals(t.table("events")).withColumn("mean_latency_ms", F.lit(None).cast("double"))
-    return bi.executive_row(t.risk_matrix, acc, ops)
+    out = bi.executive_row(t.risk_matrix, acc, requests.totals(t.table("events")))
+    return out.withColumn("mean_latency_ms", F.expr("round(try_cast(mean_latency_ms AS DOUBLE), 3)"))
 
 
 DAILY = "SELECT source_dataset, horizon, forecast_date, avg(actual) AS actual, avg(prediction) AS forecast, avg(lower_bound) AS p10, avg(upper_bound) AS p90, count(*) AS n FROM forecast_rows GROUP BY 1, 2, 3"

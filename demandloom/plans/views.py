@@ -1,5 +1,6 @@
 """SQL definitions of the retail tables, independent of the Spark plans."""
 
+from demandloom.functions.vocabulary import HORIZONS
 from demandloom.plans.sqltext import week
 
 _BRAND_NO = "CAST(replace(p_brand, 'Brand#', '') AS INTEGER)"
@@ -66,9 +67,14 @@ SELECT date, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) A
        CAST(day(date) AS INTEGER) AS day, CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, dayname(date) AS day_name,
        CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS is_weekend, CASE WHEN h = 'Regular Day' THEN 0 ELSE 1 END AS is_holiday,
        h AS holiday_name, {_SEASON.format(d='date')} AS season, CAST(weekofyear(date) AS INTEGER) AS week_of_year
-FROM (SELECT date, CASE month(date) * 100 + day(date) WHEN 101 THEN 'New Year' WHEN 704 THEN 'Independence Day' WHEN 1031 THEN 'Halloween'
-             WHEN 1125 THEN 'Thanksgiving' WHEN 1126 THEN 'Black Friday' WHEN 1129 THEN 'Cyber Monday' WHEN 1224 THEN 'Christmas Eve'
-             WHEN 1225 THEN 'Christmas Day' WHEN 1231 THEN 'New Year Eve' ELSE 'Regular Day' END AS h
+FROM (SELECT date, CASE WHEN month(date) = 1 AND day(date) = 1 THEN 'First Day of Year'
+             WHEN month(date) = 5 AND isodow(date) = 1 AND day(date) >= 25 THEN 'Spring Bank Day'
+             WHEN month(date) = 6 AND isodow(date) = 5 AND day(date) BETWEEN 19 AND 25 THEN 'Midsummer Sale'
+             WHEN month(date) = 9 AND isodow(date) = 1 AND day(date) <= 7 THEN 'Labor Day'
+             WHEN month(date) = 11 AND isodow(date) = 4 AND day(date) BETWEEN 22 AND 28 THEN 'Harvest Thursday'
+             WHEN month(date) = 11 AND isodow(date) = 5 AND day(date) BETWEEN 23 AND 29 THEN 'Sale Friday'
+             WHEN month(date) = 12 AND day(date) BETWEEN 24 AND 26 THEN 'Winter Holidays'
+             WHEN month(date) = 12 AND day(date) = 31 THEN 'Last Day of Year' ELSE 'Regular Day' END AS h
       FROM (SELECT CAST(unnest(generate_series(min(CAST(l_shipdate AS DATE)), max(CAST(l_shipdate AS DATE)), INTERVAL 1 DAY)) AS DATE) AS date FROM lineitem) g) t"""
 
 VIEWS["grid_weeks"] = f"""
@@ -257,7 +263,7 @@ SELECT source_dataset, entity_id, product_key, forecast_date, origin_date, horiz
        CASE WHEN spread IS NOT NULL THEN greatest(prediction - CAST(1.28 AS DOUBLE) * spread, 0) END AS lower_bound,
        prediction + CAST(1.28 AS DOUBLE) * spread AS upper_bound,
        'moving_average_7' AS model_name, 'v1' AS model_version
-FROM ({' UNION ALL '.join(_horizon(h) for h in (1, 3, 7))}) t WHERE split = 'test' AND prediction IS NOT NULL"""
+FROM ({' UNION ALL '.join(_horizon(h) for h in HORIZONS)}) t WHERE split = 'test' AND prediction IS NOT NULL"""
 
 VIEWS["week_index"] = """
 SELECT source_dataset, week, row_number() OVER (PARTITION BY source_dataset ORDER BY week) - 1 AS idx, count(*) OVER (PARTITION BY source_dataset) AS n

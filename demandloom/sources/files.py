@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 
 from demandloom.session import shared_dir
 
-HASH_LIMIT = 1 << 30
-
 
 def snake(name: str) -> str:
     return re.sub(r"[^a-z0-9]+", "_", name.strip().lower()).strip("_")
@@ -65,12 +63,16 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
 
 
 def manifest(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """Path, size and SHA-256 per file; files over 1 GiB get no hash (see ``fingerprint``)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
-    small = F.col("length") <= HASH_LIMIT
-    sizes = files.select("path", F.col("length").alias("size"))
-    hashed = files.where(small).select("path", F.sha2("content", 256).alias("sha256"))
-    return sizes.join(hashed, "path", "left")
+    """Path, size, lines and an order-free hash of the lines' bytes, per file of any format and size.
+
+    Files are read as lines of bytes, so a large one is split over tasks; only counts and sums are shuffled.
+    """
+    options = {"pathGlobFilter": glob, "recursiveFileLookup": True}
+    sizes = spark.read.format("binaryFile").options(**options).load(folder).select("path", F.col("length").alias("size"))
+    lines = spark.read.options(**options).text(folder).select(F.col("_metadata.file_path").alias("path"), F.xxhash64(F.col("value").cast("binary")).cast("decimal(38,0)").alias("h"))
+    hashed = lines.groupBy("path").agg(F.count("*").alias("lines"), F.format_string("%s", F.sum("h")).alias("content"))
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    return sizes.withColumn("at", plain).join(hashed.select(plain.alias("at"), "lines", "content"), "at", "left").select("path", "size", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("content", F.lit("0")).alias("content"))
 
 
 def fingerprint(df: DataFrame, parts: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:

@@ -8,13 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from demandloom.functions.semantics import week_start
+from demandloom.functions.vocabulary import HORIZONS
 from demandloom.operators import backtest, baselines, cleaning, features, risk, star
 
-HOLIDAYS = {
-    101: "New Year", 704: "Independence Day", 1031: "Halloween", 1125: "Thanksgiving",
-    1126: "Black Friday", 1129: "Cyber Monday", 1224: "Christmas Eve", 1225: "Christmas Day",
-    1231: "New Year Eve",
-}
+# (name, month, ISO weekday or None, first day, last day): a weekday within a week of days is its nth of the month
+HOLIDAYS = (
+    ("First Day of Year", 1, None, 1, 1),
+    ("Spring Bank Day", 5, 1, 25, 31),
+    ("Midsummer Sale", 6, 5, 19, 25),
+    ("Labor Day", 9, 1, 1, 7),
+    ("Harvest Thursday", 11, 4, 22, 28),
+    ("Sale Friday", 11, 5, 23, 29),
+    ("Winter Holidays", 12, None, 24, 26),
+    ("Last Day of Year", 12, None, 31, 31),
+)
 
 
 class Retail:
@@ -271,7 +278,7 @@ class Retail:
     @cached_property
     def forecast_rows(self) -> DataFrame:
         """Held-out forecasts at several horizons with bounds."""
-        return baselines.horizon_forecasts(self.panel, (1, 3, 7))
+        return baselines.horizon_forecasts(self.panel, HORIZONS)
 
     @cached_property
     def backtest(self) -> DataFrame:
