@@ -13,8 +13,8 @@ that ends earlier in that order lies within the other wherever the sketches agre
 
 Equal sets are collapsed before the join. A bucket (equal key) first pairs each
 member with the bucket's first one; once those pairs are verified and
-components known, buckets that still span several components pair
-their members across components. So a large group of near copies costs
+components known, members of different components that share a first one are compared by
+size and dense sketch, in pairs of bounded blocks, and what these leave possible is verified. So a large group of near copies costs
 pairs in proportion to its size, and no link between components is lost.
 Candidates pass a size and a dense-sketch Hamming filter and are then verified
 on the shingles of the whole texts.
@@ -29,14 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.llm.blocks import block_pairs, runs_of
 from demandloom.llm.components import components
 from demandloom.llm.hashing import batch_word_hashes, mix, shingles, signed
 from demandloom.session import stored
 
 U = np.uint64
 SMALL = 32  # smaller sets: a sketch word for each shingle
-DENSE = 8  # longs of the dense sketch that filters candidates
+DENSE = 32  # longs of the dense sketch that filters candidates
 CHUNK = 1 << 21  # shingles among which a task counts frequent ones
+BLOCK = 512  # members compared with each other at once
 HEAVY_LIMIT = 1 << 19  # frequent shingles sent to the tasks; they set the order only, never the result
 
 
@@ -154,7 +156,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = ~new & ~same
         last_key, last_sid, lead = key[-1], sid[-1], leads[-1]
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(leads[keep]), pa.array(sid[keep])], ["key", "lead", "sid"])
+            yield pa.RecordBatch.from_arrays([pa.array(leads[keep]), pa.array(sid[keep])], ["lead", "sid"])
 
 
 def _verifier(percent: int):
@@ -175,18 +177,88 @@ def _verifier(percent: int):
     return verify
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y of set ids) of documents that reach the similarity, as (a, b) of document ids."""
-    def side(name: str, other: str) -> DataFrame:
-        return sets.select(F.col("fp").alias(name), F.col("rep").alias(other), F.col("n").alias(f"n_{other}"), *[F.col(f"s{k}").alias(f"{other}{k}") for k in range(DENSE)])
+FOLDED = 8
 
+
+def _folded(k: int):
+    """Long k of the dense sketch folded to a shorter one: bits of equal place are XOR-ed."""
+    out = F.col(f"s{k}")
+    for j in range(k + FOLDED, DENSE, FOLDED):
+        out = out.bitwiseXOR(F.col(f"s{j}"))
+    return out
+
+
+def _near(percent: int):
+    """Condition that sizes and folded sketches of sides a and b leave the similarity possible."""
     d = (100 - percent) / (100 + percent) * (F.col("n_a") + F.col("n_b"))
-    hamming = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(DENSE)), F.lit(0))
-    near = pairs.join(side("x", "a"), "x").join(side("y", "b"), "y").where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (hamming <= d + 1e-9))
-    near = stored(near.select("a", "b", F.col("x").alias("sid_a"), F.col("y").alias("sid_b")), "pairs")
-    texts = docs.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    rows = near.join(texts, "a").join(texts.select(F.col("a").alias("b"), F.col("text_a").alias("text_b")), "b")
-    return rows.select("a", "b", "sid_a", "sid_b", "text_a", "text_b").mapInArrow(_verifier(percent), "a long, b long").distinct()
+    hamming = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(FOLDED)), F.lit(0))
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (hamming <= d + 1e-9)
+
+
+def _side(sets: DataFrame, name: str) -> DataFrame:
+    return sets.select(F.col("fp").alias(f"sid_{name}"), F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), *[_folded(k).alias(f"{name}{k}") for k in range(FOLDED)])
+
+
+def _across(percent: int):
+    """Pairs of members of different components, within a block pair, that sizes and sketches leave possible."""
+    most = (100 - percent) / (100 + percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), table in runs_of(batches, 3):
+            c, rep, fp, n, side = (table.column(x).to_numpy() for x in ("c", "rep", "fp", "n", "side"))
+            sketch = np.stack([table.column(f"s{k}").to_numpy() for k in range(DENSE)], axis=1).view(np.uint64)
+            left, right = (np.arange(len(c)),) * 2 if i == j else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+            for x in left:
+                y = right[(c[right] != c[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x])) & ((right > x) | (i != j))]
+                if len(y):
+                    y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(1) <= most * (n[y] + n[x]) + 1e-9]
+                if len(y):
+                    low = rep[y] < rep[x]
+                    a, b = (np.where(low, rep[y], rep[x]), np.where(low, fp[y], fp[x])), (np.where(low, rep[x], rep[y]), np.where(low, fp[x], fp[y]))
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in (a[0], b[0], a[1], b[1])], ["a", "b", "sid_a", "sid_b"])
+
+    return run
+
+
+def long_sketch(s: np.ndarray) -> bytes:
+    """Parity sketch of at least eight bits per shingle; folding a longer one gives the shorter ones."""
+    bits = 8 << max(6, int(len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s >> U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [s for _, s in _texts(batch)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([long_sketch(s) for s in sets], pa.binary()), batch.column(1)], ["doc_id", "n", "sketch", "text"])
+
+
+def _hamming_filter(percent: int):
+    most = (100 - percent) / (100 + percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n_a, x, n_b, y in zip(*(batch.column(k).to_pylist() for k in range(4, 8)), strict=True):
+                x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+                keep.append(int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum()) <= most * (n_a + n_b) + 1e-9)
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "sid_a", "sid_b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b, sid_a, sid_b) that reach the similarity, as (a, b).
+
+    Long sketches leave few pairs whose texts must meet. Both joins shuffle at every size.
+    """
+    def both(pairs: DataFrame, *columns: str) -> DataFrame:
+        for side in ("a", "b"):
+            own = texts.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+            pairs = pairs.hint("merge").join(own, side)
+        return pairs.select("a", "b", "sid_a", "sid_b", *[f"{c}_{side}" for side in ("a", "b") for c in columns])
+
+    close = stored(both(pairs, "n", "sketch").mapInArrow(_hamming_filter(percent), "a long, b long, sid_a long, sid_b long"), "close")
+    return both(close, "text").mapInArrow(_verifier(percent), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -209,25 +281,24 @@ def jaccard_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     entries = named.mapInArrow(_emitter(t, heavy), "key long, sid long")
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total.tokens or 0) // 3_000_000)
-    members = stored(entries.repartition(tasks, "key").sortWithinPartitions("key", "sid").mapInArrow(_runs, "key long, lead long, sid long"), "members")
-
-    first = members.select(F.col("lead").alias("x"), F.col("sid").alias("y")).distinct()
-    links = stored(_verified(first, sets, named, percent), "links")
+    turned = F.expr("sid ^ shiftleft(key & 3L, 61)")  # a group's buckets have one of four first members
+    members = entries.repartition(tasks, "key").sortWithinPartitions("key", turned).mapInArrow(_runs, "lead long, sid long")
+    first = stored(members.select(F.col("lead").alias("sid_a"), F.col("sid").alias("sid_b")).distinct(), "first")
+    meant = first.select(F.explode(F.array("sid_a", "sid_b")).alias("fp")).distinct().join(sets, "fp").select(F.col("rep").alias("doc_id")).distinct()
+    # the texts of all buckets' members are moved once, by shuffle at every size
+    texts = stored(named.join(meant.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sketched, "doc_id long, n long, sketch binary, text string"), "texts")
+    pairs = first.join(_side(sets, "a"), "sid_a").join(_side(sets, "b"), "sid_b").where(_near(percent))
+    links = stored(_verified(pairs.select("a", "b", "sid_a", "sid_b"), texts, percent), "links")
     labels = components(links)
 
-    # buckets whose members are not yet one component
-    place = sets.select("fp", "rep").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("c"))
-    split = first.join(place.select(F.col("fp").alias("x"), F.col("c").alias("cx")), "x").join(place.select(F.col("fp").alias("y"), F.col("c").alias("cy")), "y").where("cx <> cy")
-    open_pairs = stored(split.select("x", "y"), "open")
-    if not open_pairs.isEmpty():
-        keys = members.join(open_pairs, (members.lead == open_pairs.x) & (members.sid == open_pairs.y)).select("key").distinct()
-        inside = members.join(keys, "key").select("key", "lead", F.col("sid").alias("fp")).join(place, "fp").select("key", "lead", "fp", "c")
-        inside = stored(inside, "inside")
-        left, right = (inside.select("key", F.col("fp").alias(x), F.col("c").alias(f"c{x}")) for x in ("x", "y"))
-        more = left.join(right, "key").where("cx < cy").select("x", "y").distinct()
-        tried = first.select("x", "y").union(first.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        more = more.join(tried, ["x", "y"], "left_anti")
-        again = stored(_verified(more, sets, named, percent), "links")
+    # members that share a first one but are not yet one component may still be near
+    place = sets.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("c", F.coalesce("label", "rep")).drop("label", "fp2")
+    group = first.join(place.withColumnRenamed("fp", "sid_b"), "sid_b").withColumnsRenamed({"sid_a": "lead", "sid_b": "fp"})
+    sizes = group.groupBy("lead").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    sizes = stored(sizes.select("lead", "n"), "groups")
+    if not sizes.isEmpty():
+        more = block_pairs(group, "lead", "fp", sizes, BLOCK).mapInArrow(_across(percent), "a long, b long, sid_a long, sid_b long")
+        again = stored(_verified(more.distinct(), texts, percent), "links")
         if not again.isEmpty():
             labels = components(links.unionByName(again))
 
