@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from demandloom.functions.semantics import rnd
+from demandloom.functions.vocabulary import BACKTEST_FOLDS, HORIZONS, SYNTHETIC, UCI
 from demandloom.operators import backtest, baselines, features, metrics, ml
 from demandloom.plans.registry import query
 from demandloom.plans.sqltext import ci, r
@@ -18,6 +19,12 @@ def _weekly(t):
     return stored(ml.chronological(features.weekly_features(t.weekly_demand)), "weekly-features")
 
 
+def _by_source(rows, fn):
+    """One model per source: ``fn`` of each source's rows, with the source's name."""
+    parts = [fn(rows.where(F.col("source_dataset") == s)).withColumn("source_dataset", F.lit(s)) for s in (UCI, SYNTHETIC)]
+    return parts[0].unionByName(parts[1])
+
+
 def _gbt(rows, iterations=5):
     return ml.fit(rows.where("split = 'train'"), NUM, ml.candidates(trees=iterations)["gradient_boosting"])
 
@@ -33,8 +40,7 @@ def l1(t):
 
 @query("l2_candidate_comparison")
 def l2(t):
-    table, _ = ml.train_and_compare(_weekly(t), NUM)
-    return table
+    return _by_source(_weekly(t), lambda rows: ml.train_and_compare(rows, NUM)[0])
 
 
 @query("l3_nonnegative_predictions", f"""
@@ -48,13 +54,13 @@ def l3(t):
 @query("l4_native_importance")
 def l4(t):
     rows = ml.with_indicators(_weekly(t), NUM)
-    return ml.native_importance(_gbt(rows), rows, NUM)
+    return _by_source(rows, lambda part: ml.native_importance(_gbt(part), part, NUM))
 
 
 @query("l4_permutation_importance")
 def l4b(t):
     rows = ml.with_indicators(_weekly(t), NUM)
-    return ml.permutation_importance(_gbt(rows), rows.where("split = 'validation'"), NUM[:4], KEYS)
+    return _by_source(rows, lambda part: ml.permutation_importance(_gbt(part), part.where("split = 'validation'"), NUM, KEYS, 2))
 
 
 def _panel(t):
@@ -73,7 +79,7 @@ def l5(t):
 
 @query("l6_direct_horizons")
 def l6(t):
-    return ml.direct_horizons(features.direct_panel(_panel(t).where("source_dataset = 'UCI'"), (1, 3, 7)), PANEL, (1, 3, 7))
+    return ml.direct_horizons(features.direct_panel(_panel(t), HORIZONS), PANEL, HORIZONS)
 
 
 @query("l7_conformal_intervals", f"""
@@ -92,41 +98,48 @@ def l7(t):
 
 @query("l8_recursive_horizons")
 def l8(t):
-    made = ml.recursive(t.weekly_demand, origins=2, horizon=6)
+    made = _by_source(t.weekly_demand, lambda rows: ml.recursive(rows, origins=2, horizon=6))
     return metrics.accuracy(made, ["source_dataset", "horizon"])
 
 
 @query("l9_walk_forward")
 def l9(t):
     rows = _weekly(t)
-    folds = backtest.expanding_folds(rows.withColumnRenamed("week", "date"), 3, 91)
-    scored = ml.fold_models(rows, folds, NUM, 3)
+    folds = stored(backtest.expanding_folds(rows.withColumnRenamed("week", "date"), BACKTEST_FOLDS, 91), "folds")
+    scored = _by_source(rows, lambda part: ml.fold_models(part, folds, NUM, BACKTEST_FOLDS))
     return metrics.accuracy(scored, ["source_dataset", "fold"], "label", "prediction")
 
 
 @query("l10_tuning")
 def l10(t):
-    return ml.tune(_weekly(t), NUM)
+    return _by_source(_weekly(t), lambda rows: ml.tune(rows, NUM))
 
 
 @query("l11_weekly_candidate_backtest")
 def l11(t):
-    made = ml.weekly_candidate(features.weekly_features(t.weekly_demand), t.backtest, NUM, 5)
+    rows, tested = features.weekly_features(t.weekly_demand), stored(t.backtest, "backtest")
+    of = lambda df, source: df.where(F.col("source_dataset") == source)
+    parts = [ml.weekly_candidate(of(rows, s), of(tested, s), NUM, BACKTEST_FOLDS) for s in (UCI, SYNTHETIC)]
+    made = parts[0].unionByName(parts[1])
     return metrics.fold_wins(made)
 
 
 @query("l12_batch_forecast")
 def l12(t):
     rows = ml.with_indicators(_weekly(t), NUM)
-    model = _gbt(rows)
-    scored = ml.score(model, rows.where("split <> 'train'")).select(*KEYS, "split", F.col("label").alias("actual"), "prediction")
-    bounds = ml.conformal_intervals(scored).select(*KEYS, "lower_bound", "upper_bound")
-    out = ml.batch_forecast(model, rows.where("split = 'test'"), bounds, KEYS)
+
+    def forecast(part):
+        model = _gbt(part)
+        scored = ml.score(model, part.where("split <> 'train'")).select(*KEYS, "split", F.col("label").alias("actual"), "prediction")
+        bounds = ml.conformal_intervals(scored).select(*KEYS, "lower_bound", "upper_bound")
+        return ml.batch_forecast(model, part.where("split = 'test'"), bounds, KEYS)
+
+    out = _by_source(rows, forecast)
     return out.withColumns({c: rnd(c, 6) for c in ("prediction", "lower_bound", "upper_bound")})
 
 
 @query("l13_flat_multi_step")
 def l13(t):
     rows = ml.with_indicators(_weekly(t), NUM)
-    newest = rows.groupBy("source_dataset", "product_key").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in KEYS[:2]]), "week").alias("r")).select("source_dataset", "product_key", "r.*")
-    return ml.flat_multi_step(_gbt(rows), newest).withColumn("forecast_demand", rnd("forecast_demand", 6))
+    newest = lambda part: part.groupBy("source_dataset", "product_key").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in KEYS[:2]]), "week").alias("r")).select("source_dataset", "product_key", "r.*")
+    return _by_source(rows, lambda part: ml.flat_multi_step(_gbt(part), newest(part))).withColumn("forecast_demand", rnd("forecast_demand", 6))

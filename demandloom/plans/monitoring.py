@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from demandloom.functions.semantics import rnd
-from demandloom.functions.vocabulary import SYNTHETIC
+from demandloom.functions.vocabulary import SYNTHETIC, WEEKLY_LAGS, WEEKLY_WINDOWS
 from demandloom.operators import features, metrics, monitoring, quality, risk, star
 from demandloom.plans.forecasts import EXT, OK, PAIR, REGIME, ZERO, acc
 from demandloom.plans.registry import query
@@ -118,8 +118,10 @@ def n6(t):
 
 
 PW = "PARTITION BY source_dataset, product_key ORDER BY week"
-WEEK_FEATURES = ["units_sold", "lag_1", "rolling_mean_4", "price_lag1"]
-WEEK_SIDES = f"""wf AS (SELECT week, CAST(units_sold AS DOUBLE) AS units_sold, CAST(lag(units_sold, 1) OVER w AS DOUBLE) AS lag_1, {r(f'avg(units_sold) OVER ({PW} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)', 6)} AS rolling_mean_4,
+WEEK_FEATURES = ["units_sold", *[f"lag_{k}" for k in WEEKLY_LAGS], *[f"rolling_{s}_{k}" for s in ("mean", "std") for k in WEEKLY_WINDOWS], "rolling_max_4", "rolling_max_13", "rolling_max_26", "price_lag1"]
+WEEK_SIDES = f"""wf AS (SELECT week, CAST(units_sold AS DOUBLE) AS units_sold, {', '.join(f'CAST(lag(units_sold, {k}) OVER w AS DOUBLE) AS lag_{k}' for k in WEEKLY_LAGS)},
+  {', '.join(r(f'{f}(units_sold) OVER ({PW} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)', 6) + f' AS rolling_{s}_{k}' for s, f in (('mean', 'avg'), ('std', 'stddev_samp')) for k in WEEKLY_WINDOWS)},
+  {', '.join(f'CAST(max(units_sold) OVER ({PW} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING) AS DOUBLE) AS rolling_max_{k}' for k in (4, 13, 26))},
   {r('lag(avg_unit_price, 1) OVER w', 6)} AS price_lag1 FROM weekly_demand WINDOW w AS ({PW})), wi AS (SELECT week, row_number() OVER (ORDER BY week) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT week FROM wf) q),
  l AS ({' UNION ALL '.join(f"SELECT week, '{f}' AS feature, {f} AS v FROM wf" for f in WEEK_FEATURES)}),
  ref AS (SELECT feature, v FROM l JOIN wi ON l.week = wi.week WHERE i <= floor(n * CAST(0.7 AS DOUBLE))), cur AS (SELECT feature, v FROM l JOIN wi ON l.week = wi.week WHERE i > n - greatest(1, floor(n / 5)))"""
@@ -128,8 +130,12 @@ DRIFT = f"""SELECT feature, n_expected, n_actual, {r('psi', 4)} AS psi, CASE WHE
 
 def _weekly_features(t, weekly=None):
     w = features.series(features.WEEKLY_GRAIN, "week")
+    frame = lambda k: features.trailing(w, k)
     return (t.weekly_demand if weekly is None else weekly).withColumns({
-        "lag_1": F.lag("units_sold", 1).over(w), "rolling_mean_4": rnd(F.avg("units_sold").over(features.trailing(w, 4)), 6), "price_lag1": rnd(F.lag("avg_unit_price", 1).over(w), 6)})
+        **{f"lag_{k}": F.lag("units_sold", k).over(w) for k in WEEKLY_LAGS},
+        **{f"rolling_mean_{k}": rnd(F.avg("units_sold").over(frame(k)), 6) for k in WEEKLY_WINDOWS},
+        **{f"rolling_std_{k}": rnd(F.stddev_samp("units_sold").over(frame(k)), 6) for k in WEEKLY_WINDOWS},
+        **{f"rolling_max_{k}": F.max("units_sold").over(frame(k)).cast("double") for k in (4, 13, 26)}, "price_lag1": rnd(F.lag("avg_unit_price", 1).over(w), 6)})
 
 
 @query("n7_data_drift", f"WITH {WEEK_SIDES}, {psi_sql('ref', 'cur', ['feature'])} {DRIFT}")

@@ -67,9 +67,9 @@ def r5(t):
     return risk.summary(t.sku_risk)
 
 
-STRESS = """(SELECT p.sku_id, s.scenario, s.expected_action, greatest(demand, 1) AS demand, 2 AS lead, greatest(demand, 1) * factor AS on_hand_units, CAST(0 AS DOUBLE) AS on_order_units,
+STRESS = """(SELECT p.sku_id, s.scenario, s.expected_action, greatest(demand, 1) AS demand, 2 AS lead, greatest(demand, 1) * CAST(factor AS DOUBLE) AS on_hand_units, greatest(demand, 1) * CAST(ordered AS DOUBLE) AS on_order_units,
  greatest(demand, 1) * CAST(0.5 AS DOUBLE) AS safety_stock, greatest(demand, 1) * 2 AS reorder_point FROM sku_position p,
- (VALUES ('severe_stockout', 'REORDER NOW', 0), ('moderate_stockout', 'WATCH / VOLATILE', 1), ('healthy_inventory', 'HEALTHY', 4), ('moderate_overstock', 'WATCH / VOLATILE', 9), ('severe_overstock', 'MARKDOWN / CLEAR', 17)) s(scenario, expected_action, factor)) x"""
+ (VALUES ('severe_stockout', 'REORDER NOW', 0.0, 0), ('moderate_stockout', 'WATCH / VOLATILE', 1, 0), ('healthy_inventory', 'HEALTHY', 4, 0), ('moderate_overstock', 'WATCH / VOLATILE', 9, 0), ('severe_overstock', 'MARKDOWN / CLEAR', 17, 0), ('high_volatility', 'REORDER NOW', 0.01, 4)) s(scenario, expected_action, factor, ordered)) x"""
 
 
 @query("r6_stress_scenarios", f"SELECT sku_id, scenario, stockout_risk_level, overstock_risk_level, recommended_action, recommended_action = expected_action AS pass FROM ({scored(STRESS, 8)}) t")

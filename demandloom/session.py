@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from uuid import uuid4
 
@@ -41,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     known = getattr(spark, "_demandloom_shared_dir", None)
     if known:
         return known
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     path = tempfile.mkdtemp(prefix="demandloom-")
     spark._demandloom_shared_dir = path
