@@ -17,15 +17,16 @@ from pyspark.sql import functions as F
 
 from demandloom.session import stored
 
-BUCKETS = 64
+def bucket_number(stored_table: DataFrame) -> int:
+    """Buckets for a stored table: about 50,000 rows each, and enough to spread small tables."""
+    return min(1 << 14, max(64, stored_table.count() // 50_000))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], names: Sequence[str]) -> DataFrame:
     """One row per group: ``by``, ``n`` and one column per probability.
 
-    ``by`` must have few distinct values (sources, models, features): one edge
-    list per group is broadcast. For per-series quantiles, whose groups are
-    bounded by the calendar, use ``F.percentile``.
+    ``by`` should have few distinct values (sources, models, features). For per-series
+    quantiles, whose groups are bounded by the calendar, use ``F.percentile``.
     """
     v = F.col(value).cast("double")
     counts = (
@@ -40,12 +41,13 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
 def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[str], names: Sequence[str]) -> DataFrame:
     """As ``exact_quantiles`` from a stored table of ``by``, value ``_v`` and count ``_c``."""
     by = list(by)
-    grid = [i / BUCKETS for i in range(1, BUCKETS)]
+    parts = bucket_number(counts)
+    grid = [i / parts for i in range(1, parts)]
     edges = counts.groupBy(*by).agg(
         F.sum("_c").alias("n"),
-        F.array_distinct(F.percentile_approx("_v", grid, 1000)).alias("_edges"),
+        F.array_distinct(F.percentile_approx("_v", grid, 16 * parts)).alias("_edges"),
     )
-    tagged = counts.join(F.broadcast(edges), by).select(
+    tagged = counts.join(edges, by).select(
         *by, "n", "_v", "_c",
         F.size(F.filter("_edges", lambda e: e < F.col("_v"))).alias("_b"),
     )
@@ -59,7 +61,7 @@ def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[
         .select(*by, "_b", "_start")
     )
     inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = tagged.join(F.broadcast(buckets), [*by, "_b"]).withColumn("_end", F.col("_start") + F.sum("_c").over(inside))
+    ranked = tagged.join(buckets, [*by, "_b"]).withColumn("_end", F.col("_start") + F.sum("_c").over(inside))
 
     def value_at(pos):
         hit = (pos < F.col("_end")) & (pos >= F.col("_end") - F.col("_c"))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandloom.functions.quantiles import exact_quantiles, quantile_table, quantiles_of_counts
+from demandloom.functions.quantiles import bucket_number, exact_quantiles, quantile_table, quantiles_of_counts
 from demandloom.functions.semantics import ratio, rnd
 from demandloom.functions.vocabulary import SUPPORTED_HORIZON_WEEKS
 from demandloom.session import stored
@@ -132,7 +132,7 @@ def pareto_members(revenue: DataFrame, cut: float = 0.8) -> DataFrame:
     return shared.withColumn("high_value", F.col("share_before") < cut)
 
 
-def running_share(df: DataFrame, by: Sequence[str], value: str, key: str, buckets: int = 64) -> DataFrame:
+def running_share(df: DataFrame, by: Sequence[str], value: str, key: str) -> DataFrame:
     """Descending cumulative share and rank without one task per group.
 
     Rows are cut at approximate value quantiles; bucket totals and counts are
@@ -140,12 +140,13 @@ def running_share(df: DataFrame, by: Sequence[str], value: str, key: str, bucket
     """
     by = list(by)
     df = stored(df, "ranked")
+    buckets = bucket_number(df)
     grid = [i / buckets for i in range(1, buckets)]
     edges = df.groupBy(*by).agg(
-        F.array_distinct(F.percentile_approx(value, grid, 1000)).alias("_edges"),
+        F.array_distinct(F.percentile_approx(value, grid, 16 * buckets)).alias("_edges"),
         F.sum(value).alias("_total"), F.count("*").alias("_size"),
     )
-    tagged = df.join(F.broadcast(edges), by).withColumn(
+    tagged = df.join(edges, by).withColumn(
         "_b", -F.size(F.filter("_edges", lambda e: e < F.col(value)))
     ).drop("_edges")
     across = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -156,7 +157,7 @@ def running_share(df: DataFrame, by: Sequence[str], value: str, key: str, bucket
     )
     inside = Window.partitionBy(*by, "_b").orderBy(F.desc(value), key)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    out = tagged.join(F.broadcast(offsets), [*by, "_b"]).withColumns({
+    out = tagged.join(offsets, [*by, "_b"]).withColumns({
         "rank": F.col("_rank0") + F.row_number().over(inside),
         "_run": F.col("_sum0") + F.sum(value).over(upto),
     })
@@ -194,7 +195,7 @@ def with_regime(df: DataFrame, actual: str = "actual", by: Sequence[str] = ("sou
     """zero, or low/medium/high by tertiles of positive demand in the group."""
     cuts = exact_quantiles(df.where(F.col(actual) != 0), actual, [1 / 3, 2 / 3], by, ["_q1", "_q2"]).drop("n")
     y = F.col(actual)
-    marked = df.join(F.broadcast(cuts), list(by), "left").withColumn(
+    marked = df.join(cuts, list(by), "left").withColumn(
         "regime", F.when(y == 0, "zero").when(y <= F.col("_q1"), "low").when(y <= F.col("_q2"), "medium").otherwise("high")
     )
     return marked.drop("_q1", "_q2")
@@ -216,7 +217,7 @@ def accuracy_by_regime(df: DataFrame, by: Sequence[str] = ("source_dataset",), a
     sums = stored(sums, "error-sums")
     cuts = quantiles_of_counts(sums.where("_v <> 0").select(*by, "_v", "_c"), [1 / 3, 2 / 3], by, ["_q1", "_q2"]).drop("n")
     v = F.col("_v")
-    rows = sums.join(F.broadcast(cuts), by, "left").withColumn(
+    rows = sums.join(cuts, by, "left").withColumn(
         "regime", F.when(v == 0, "zero").when(v <= F.col("_q1"), "low").when(v <= F.col("_q2"), "medium").otherwise("high")
     )
     n = F.sum("_c")
@@ -252,7 +253,7 @@ def bin_by_quantile(df: DataFrame, columns: Sequence[str], parts: int, by: Seque
     repeated edges dropped."""
     probs = [i / parts for i in range(parts + 1)]
     cuts = quantile_table(df, columns, probs, by)
-    joined = df.join(F.broadcast(cuts), list(by))
+    joined = df.join(cuts, list(by))
     for c in columns:
         names = [f"{c}_q{i}" for i in range(parts + 1)]
         joined = joined.withColumn(f"{c}_bin", _bin_number(F.col(c).cast("double"), F.array_distinct(F.array(*names)))).drop(*names)
@@ -392,7 +393,7 @@ def sku_errors(backtest: DataFrame) -> DataFrame:
     """Per-product errors with a volume class by P25/P75 of mean demand."""
     table = _sku_table(backtest)
     cuts = exact_quantiles(table, "mean_actual", [0.25, 0.75], ["source_dataset"], ["_p25", "_p75"]).drop("n")
-    return table.join(F.broadcast(cuts), "source_dataset").select(
+    return table.join(cuts, "source_dataset").select(
         "source_dataset", "product_key", F.col("n").alias("n_periods"), rnd("mean_actual", 2).alias("mean_demand"),
         _volume("_p25", "_p75").alias("volume_class"), rnd(F.col("_bw") * 100.0, 2).alias("baseline_wape"),
         "candidate_wape", rnd("_bias", 2).alias("candidate_bias"),
@@ -403,7 +404,7 @@ def sku_error_summary(backtest: DataFrame) -> DataFrame:
     """Spread of product errors; demand and error quantiles come from one pass."""
     table = _sku_table(backtest)
     cuts = quantile_table(table, ["mean_actual", "candidate_wape"], [0.25, 0.5, 0.75, 0.9], ["source_dataset"])
-    joined = table.join(F.broadcast(cuts), "source_dataset").withColumn("_class", _volume("mean_actual_q0", "mean_actual_q2"))
+    joined = table.join(cuts, "source_dataset").withColumn("_class", _volume("mean_actual_q0", "mean_actual_q2"))
     at = lambda q: rnd(F.max(f"candidate_wape_q{q}"), 2)
     return joined.groupBy("source_dataset").agg(
         F.count("*").alias("total_skus"), F.count_if(F.col("candidate_wape") > 100).alias("high_error_skus"),
@@ -507,7 +508,7 @@ def error_tail(df: DataFrame, by: Sequence[str] = ("source_dataset",)) -> DataFr
     """P95 absolute error and accuracy on high demand (at or above P90)."""
     rows = finite(df, "actual", "prediction").withColumn("abs_err", F.abs(F.col("actual") - F.col("prediction")))
     cuts = quantile_table(rows, ["abs_err", "actual"], [0.9, 0.95], by)
-    joined = rows.join(F.broadcast(cuts), list(by))
+    joined = rows.join(cuts, list(by))
     high = F.col("actual") >= F.col("actual_q0")
     return joined.groupBy(*by).agg(
         rnd(F.max("abs_err_q1"), 4).alias("p95_abs_error"), rnd(F.max("actual_q0"), 4).alias("high_demand_cut"),

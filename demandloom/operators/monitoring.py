@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandloom.functions.quantiles import exact_quantiles, quantiles_of_counts
+from demandloom.functions.quantiles import bucket_number, exact_quantiles, quantiles_of_counts
 from demandloom.functions.semantics import ratio, rnd, to_long
 from demandloom.functions.vocabulary import (
     MONITORING, PSI_DRIFT, PSI_STABLE, PSI_WATCH, SUPPORTED_HORIZON_WEEKS, SYNTHETIC, WAPE_BASELINE,
@@ -56,7 +56,7 @@ def psi_of_counts(counts: DataFrame, by: Sequence[str], bins: int = 10) -> DataF
     cuts = quantiles_of_counts(base, [i / bins for i in range(bins + 1)], by, names).select(
         *by, F.col("n").alias("n_expected"), F.array_distinct(F.array(*names)).alias("_edges")
     )
-    tagged = counts.join(F.broadcast(cuts), by)
+    tagged = counts.join(cuts, by)
     inside = (F.col("_v") >= F.element_at("_edges", 1)) & (F.col("_v") <= F.element_at("_edges", -1))
     # left-closed bins, the last one closed on both sides
     bucket = F.least(F.size(F.filter("_edges", lambda e: e <= F.col("_v"))), F.size("_edges") - 1)
@@ -93,15 +93,16 @@ def ks(expected: DataFrame, actual: DataFrame, by: Sequence[str], value: str) ->
     return ks_of_counts(two_sided_counts(expected, actual, by, value), by)
 
 
-def ks_of_counts(counts: DataFrame, by: Sequence[str], buckets: int = 64) -> DataFrame:
+def ks_of_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     """Running counts in two levels: bucket offsets over a few rows per group, and
-    inside each bucket on its own."""
+    inside each bucket on its own. ``counts`` is read several times: pass a stored table."""
     by = list(by)
+    buckets = bucket_number(counts)
     edges = counts.groupBy(*by).agg(
         F.sum("e").alias("_all_e"), F.sum("a").alias("_all_a"),
-        F.array_distinct(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 1000)).alias("_edges"),
+        F.array_distinct(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 16 * buckets)).alias("_edges"),
     )
-    tagged = counts.join(F.broadcast(edges), by).withColumn("_b", F.size(F.filter("_edges", lambda x: x < F.col("_v")))).drop("_edges")
+    tagged = counts.join(edges, by).withColumn("_b", F.size(F.filter("_edges", lambda x: x < F.col("_v")))).drop("_edges")
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tagged.groupBy(*by, "_b").agg(F.sum("e").alias("e"), F.sum("a").alias("a")).select(
         *by, "_b", F.coalesce(F.sum("e").over(before), F.lit(0)).alias("_e0"), F.coalesce(F.sum("a").over(before), F.lit(0)).alias("_a0")
@@ -109,7 +110,7 @@ def ks_of_counts(counts: DataFrame, by: Sequence[str], buckets: int = 64) -> Dat
     inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     share = lambda c, start, whole: F.try_divide((F.col(start) + F.sum(c).over(inside)).cast("double"), F.col(whole).cast("double"))
     usable = (F.col("_all_e") >= MIN_SAMPLE) & (F.col("_all_a") >= MIN_SAMPLE)
-    steps = tagged.join(F.broadcast(offsets), [*by, "_b"]).withColumn("_gap", F.when(usable, F.abs(share("e", "_e0", "_all_e") - share("a", "_a0", "_all_a"))))
+    steps = tagged.join(offsets, [*by, "_b"]).withColumn("_gap", F.when(usable, F.abs(share("e", "_e0", "_all_e") - share("a", "_a0", "_all_a"))))
     return steps.groupBy(*by).agg(F.max("_gap").alias("ks"))
 
 
@@ -119,7 +120,7 @@ def moments_of_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     v = F.col("_v")
     mean = lambda c: ratio(F.sum(v * F.col(c)), F.sum(c))
     means = counts.groupBy(*by).agg(mean("e").alias("_me"), mean("a").alias("_ma"))
-    rows = counts.join(F.broadcast(means), by)
+    rows = counts.join(means, by)
     std = lambda c, m: F.sqrt(ratio(F.sum(F.col(c) * (v - F.col(m)) * (v - F.col(m))), F.sum(c) - 1))
     return rows.groupBy(*by).agg(
         rnd(F.max("_me"), 4).alias("ref_mean"), rnd(std("e", "_me"), 4).alias("ref_std"), rnd(F.max("_ma"), 4).alias("cur_mean"), rnd(std("a", "_ma"), 4).alias("cur_std"),

@@ -60,6 +60,22 @@ def test_stream_metrics_equal_batch_for_closed_windows(spark, log):
     assert got == {w: n for w, n in batch.items() if w + dt.timedelta(minutes=10) <= limit}
 
 
+def test_updated_windows_equal_batch_with_late_files(spark, log, tmp_path):
+    _, folder = log
+    late = str(tmp_path / "late")
+    for low in (300, 0, 200, 100):  # files out of time order
+        spark.read.parquet(folder).where(F.col("event_id").between(low, low + 99)).coalesce(1).write.mode("append").parquet(late)
+    out = requests.run_updates(requests.windowed_metrics(stream_of(spark, late), "10 minutes"), requests.stream_folder(spark, "t-updates"), ["window_start"])
+    want = requests.windowed_metrics(spark.read.parquet(folder), "10 minutes")
+    assert sorted(out.collect()) == sorted(want.collect()) and out.count() > 5
+
+
+def test_redaction_reaches_nested_objects(spark):
+    df = spark.createDataFrame([('{"a": {"password": "s3cret", "k": 1, "Token" : ["t0k"]}, "token": {"x": "z9"}, "plain": "ok"}',)], "props string")
+    text = df.select(F.to_json(requests.redact(F.from_json("props", "map<string,string>")))).first()[0]
+    assert not any(x in text for x in ("s3cret", "t0k", "z9")) and "ok" in text and "k" in text
+
+
 def test_redaction_and_truncation(spark):
     df = spark.createDataFrame([({"Password": "x", "note": "y" * 600, "k": "1"},)], "m map<string,string>")
     got = df.select(requests.redact(F.col("m"))).first()[0]
