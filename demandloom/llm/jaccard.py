@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from demandloom.llm.blocks import block_pairs, runs_of
 from demandloom.llm.components import components
-from demandloom.llm.hashing import batch_word_hashes, mix, shingles, signed
+from demandloom.llm.hashing import batch_word_hashes, mix, shingles, signed, slices
 from demandloom.session import stored
 
 U = np.uint64
@@ -101,7 +101,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = dict.fromkeys(names, none) | {"heavy": pa.array(signed(value[often])), "hits": pa.array(count[often].astype(np.int64))}
         return pa.RecordBatch.from_arrays([columns[x] for x in names], names)
 
-    for batch in batches:
+    for batch in slices(batches):
         ids, ns, fps, fp2s, sketches = [], [], [], [], []
         for doc, s in _texts(batch):
             a, b = fingerprint(s) if len(s) else (0, 0)
@@ -123,7 +123,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _emitter(t: float, heavy: np.ndarray):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             keys, ids = [], []
             for _, s in _texts(batch):
                 if len(s):
@@ -161,7 +161,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verifier(percent: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             a, b, sid_a, sid_b = (batch.column(k).to_pylist() for k in range(4))
             left, right = (list(batch_word_hashes(batch.column(k).to_pylist())) for k in (4, 5))
             keep = []
@@ -227,7 +227,7 @@ def long_sketch(s: np.ndarray) -> bytes:
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sets = [s for _, s in _texts(batch)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([long_sketch(s) for s in sets], pa.binary()), batch.column(1)], ["doc_id", "n", "sketch", "text"])
 
@@ -236,7 +236,7 @@ def _hamming_filter(percent: int):
     most = (100 - percent) / (100 + percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for n_a, x, n_b, y in zip(*(batch.column(k).to_pylist() for k in range(4, 8)), strict=True):
                 x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)

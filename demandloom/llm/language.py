@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from demandloom.llm.hashing import slices
+
 BITS = 18
 PIECE = 1 << 20  # characters handled at once
 UNDETERMINED = "und"
@@ -91,7 +93,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(table[found])], ["lang", "bucket", "hits"])
         tables.clear()
 
-    for batch in batches:
+    for batch in slices(batches):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             found, hits = _counts(text)
             if len(found):
@@ -197,7 +199,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = infer(model, batch.column(at).to_pylist())
             columns = [[x[0] for x in found], [x[1] for x in found], [list(x[2].items()) for x in found], [x[3] for x in found], [x[4] for x in found]]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, t) for v, t in zip(columns, added.values(), strict=True))], [*batch.schema.names, *added])

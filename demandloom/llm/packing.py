@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from demandloom.llm.hashing import slices
 from demandloom.session import stored
 
 RANKED = 50_000  # pieces of a rank block
@@ -69,7 +70,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             size = 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

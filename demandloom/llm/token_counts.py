@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.llm.hashing import slices
+
 REMEMBERED = 500_000  # words whose counts a worker keeps
 _automata: dict[str, Automaton] = {}
 
@@ -116,7 +118,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             found = [machine.count((text or "").encode("utf-8", "surrogatepass")) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([w for w, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
