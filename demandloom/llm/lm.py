@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -115,20 +116,20 @@ def _poster(words: np.ndarray, partitions: int):
             order = np.lexsort((w, to))
             w, before, doc, to = w[order], before[order], doc[order], to[order]
             cuts = np.searchsorted(to, np.arange(partitions + 1))
-            rows = []
+            rows, chunk = [], uuid4().int >> 65
             for p in range(partitions):
                 a, b = cuts[p], cuts[p + 1]
                 if a == b:
                     continue
                 new = np.flatnonzero(np.concatenate([[True], w[a + 1 : b] != w[a : b - 1]]))
                 used, at = np.unique(doc[a:b], return_inverse=True)
-                rows.append((p, w[a:b][new].tobytes(), np.diff(np.append(new, b - a)).astype("<u4").tobytes(), before[a:b].astype("<i2").tobytes(), at.astype("<u2" if len(used) < 65536 else "<u4").tobytes(), docs[used].tobytes(), parts[used].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows) if rows else [[]] * 7)], ["p", "words", "runs", "before", "at", "docs", "parts"])
+                rows.append((p, chunk, w[a:b][new].tobytes(), np.diff(np.append(new, b - a)).astype("<u4").tobytes(), before[a:b].astype("<i2").tobytes(), at.astype("<u2" if len(used) < 65536 else "<u4").tobytes(), docs[used].tobytes(), parts[used].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.binary()) for k, c in enumerate(zip(*rows) if rows else [[]] * 8)], ["p", "chunk", "words", "runs", "before", "at", "docs", "parts"])
 
     return run
 
 
-_POSTINGS = "p long, words binary, runs binary, before binary, at binary, docs binary, parts binary"
+_POSTINGS = "p long, chunk long, words binary, runs binary, before binary, at binary, docs binary, parts binary"
 
 
 def _unpack(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -249,10 +250,10 @@ def score_documents(docs: DataFrame, part: Column, contexts: int = 1024, partiti
         w = weights[_bucket(context)]
         return np.log10(w[:, 0] * c2 / np.maximum(context, 1) + w[:, 1] * c1 / max(total, 1) + w[:, 2] * floor)
 
-    def sums(docs_: np.ndarray, at: np.ndarray, c1: np.ndarray, score: np.ndarray, tokens_: np.ndarray) -> pa.RecordBatch:
-        k = len(docs_)
-        columns = [docs_, tokens_, np.bincount(at, c1 > 0, k).astype(np.int64), np.bincount(at, np.log10(c1 + 0.1) - base_rest, k), np.bincount(at, score, k)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "n_tokens", "n_known", "base", "score"])
+    def sums(k: int, at: np.ndarray, c1: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return np.bincount(at, c1 > 0, k).astype(np.int64), np.bincount(at, np.log10(c1 + 0.1) - base_rest, k), np.bincount(at, score, k)
+
+    names = ["key", "n_tokens", "n_known", "base", "score"]
 
     def near_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, w, length in _tokens(batches):
@@ -268,7 +269,8 @@ def score_documents(docs: DataFrame, part: Column, contexts: int = 1024, partiti
                 context, c1 = np.where(before >= 0, count[before], 0), count[index]
             else:
                 c2 = context = c1 = np.empty(0, np.int64)
-            yield sums(ids, doc, c1, scores(context, c2, c1), length.astype(np.int64))
+            columns = (ids, length.astype(np.int64), *sums(len(ids), doc, c1, scores(context, c2, c1)))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     def far_scores(rows: list[dict]) -> pa.RecordBatch:
         number, before, at, ids, parts = _unpack(rows)
@@ -277,9 +279,20 @@ def score_documents(docs: DataFrame, part: Column, contexts: int = 1024, partiti
         _, which = np.unique(number * (contexts + 1) + before + 1, return_inverse=True)
         c2 = np.bincount(which, learned)[which]
         context = np.where(before >= 0, count[before], 0) if len(count) else np.zeros(len(before), np.int64)
-        return sums(ids, at, c1, scores(context, c2, c1), np.zeros(len(ids), np.int64))
+        totals = sums(len(ids), at, c1, scores(context, c2, c1))
+        cuts = np.cumsum([len(r["docs"]) // 8 for r in rows])[:-1]
+        parts = [[x.tobytes() for x in np.split(t, cuts)] for t in totals]
+        return pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["docs"] for r in rows], pa.binary()), *[pa.array(x, pa.binary()) for x in parts]], ["p", "docs", "n_known", "base", "score"])
+
+    def gathered(rows: list[dict]) -> pa.RecordBatch:
+        """The sums of a chunk's documents over all partitions of words."""
+        ids, at = np.unique(np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows]), return_inverse=True)
+        known_, base, score = (np.bincount(at, np.concatenate([np.frombuffer(r[c], t) for r in rows]), len(ids)) for c, t in (("n_known", np.int64), ("base", float), ("score", float)))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, np.zeros(len(ids), np.int64), known_.astype(np.int64), base, score)], names)
 
     schema = "key long, n_tokens long, n_known long, base double, score double"
-    every = docs.mapInArrow(near_scores, schema).unionByName(by_word.mapInArrow(_by_partition(far_scores), schema))
+    far = by_word.mapInArrow(_by_partition(far_scores), "p long, docs binary, n_known binary, base binary, score binary")
+    far = far.repartition(partitions, "p").sortWithinPartitions("p").mapInArrow(_by_partition(gathered), schema)
+    every = docs.mapInArrow(near_scores, schema).unionByName(far)
     summed = every.groupBy(F.col("key").alias("doc_id")).agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     return summed.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
