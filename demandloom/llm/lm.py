@@ -3,15 +3,15 @@
 A bigram model: P(w | v) mixes the maximum-likelihood estimates c(v, w) / c(v) and c(w) / N with
 a uniform 1 / (V + 1); the mixture weights depend on the bucket of log2 c(v) and are learned by
 expectation-maximisation on held-out counts: a tenth of the training documents is held
-out, the estimates come from the others, and the final model counts both. Contexts are the most
-frequent words, up to a documented number; the rarer ones, and the start of a text, are the
-lowest bucket, which has no bigram term. Contexts of documents are never sampled.
-
-Words are 64-bit hashes. Words that are contexts have their counts at hand in every task, so their
-tokens are scored where the text is read. All other tokens travel as postings
-(word, context, document), packed by task and hash partition: the partition of a word counts it and its
-bigrams over all documents and scores its tokens at once. A context word's postings would be the long ones;
-any other word is rarer than all contexts.
+out, the estimates come from the others, and the final model counts both. Every word is a context; only
+the start of a text and words never learned are the lowest bucket, which has no bigram term.
+
+Words are 64-bit hashes. The most frequent (hot) words have their counts and the counts of their pairs at hand in
+every task, so a hot word after a hot one is scored where the text is read. All other words travel as postings
+(word, word before, hot word or partition after, document), packed by task and hash partition. The partition of a
+word counts it and its bigrams over all documents; it scores its tokens, and the hot words after it. Of a bigram of
+two other words, it is the partition of the second that counts it; the partition of the first sends its count there,
+once for each partition. A hot word's postings would be the long ones; any other word is rarer than all of them.
 """
 
 from __future__ import annotations
@@ -34,16 +34,17 @@ CHUNK = 1 << 21  # tokens packed together
 BUCKETS = 48
 NO_ID = -(1 << 63)  # stands for a null doc_id inside
 TRAIN, HELD = 1, 2  # a document's part: 0 is not learned from
+NONE, COLD = -1, -2  # instead of a hot word's index: no word or none that counts; any other word
 
 
 @dataclass(frozen=True)
-class Contexts:
+class Hot:
     """The most frequent training words by hash, with their counts, and the counts of pairs of them."""
 
     words: np.ndarray
     train: np.ndarray
     held: np.ndarray
-    pairs: np.ndarray  # first * len(words) + second, sorted
+    pairs: np.ndarray  # (first + 1) * len(words) + second, sorted; first is NONE after no context
     pair_train: np.ndarray
     pair_held: np.ndarray
 
@@ -82,40 +83,59 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(train.astype(np.int64)), pa.array(held.astype(np.int64))], ["word", "train", "held"])
 
 
-def _previous(index: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Context index before each token; -1 at the start of a text and after a word that is none."""
-    before = np.concatenate([[-1], index[:-1]])
-    before[np.concatenate([[0], np.cumsum(n)[:-1]])] = -1
-    return before
+def _around(index: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the word before and after each token; NONE at the start and at the end of a text."""
+    ends = np.cumsum(n)
+    before, after = np.concatenate([[NONE], index[:-1]]), np.concatenate([index[1:], [NONE]])
+    before[np.concatenate([[0], ends[:-1]])] = NONE
+    after[ends - 1] = NONE
+    return before, after
 
 
-def _pair_counter(words: np.ndarray):
+def _pair_counter(words: np.ndarray, cold: int):
+    """Counts of hot words after hot ones and after NONE; ``cold``: what any other word is, COLD or NONE."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts, w, n in _tokens(batches):
             index = _find(words, w)
-            before = _previous(index, n)
+            before, _ = _around(np.where(index < 0, cold, index), n)
             part = np.repeat(parts, n)
-            use = (index >= 0) & (before >= 0) & (part > 0)
-            pair, at = np.unique(before[use] * len(words) + index[use], return_inverse=True)
+            use = (index >= 0) & (before != COLD) & (part > 0)
+            pair, at = np.unique((before[use] + 1) * len(words) + index[use], return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(np.bincount(at, part[use] == TRAIN, len(pair)).astype(np.int64)), pa.array(np.bincount(at, part[use] == HELD, len(pair)).astype(np.int64))], ["pair", "train", "held"])
 
     return run
 
 
-def _poster(words: np.ndarray, partitions: int):
-    """Postings of the tokens that are no context words: a row per chunk and partition."""
+def _width(words: int, partitions: int) -> str:
+    """Type of an index of a hot word, or of NONE, COLD or a partition below them."""
+    return "<i2" if max(words, partitions + 2) < 1 << 15 else "<i4"
+
+
+def _poster(words: np.ndarray, partitions: int, cold: int):
+    """Postings of the tokens that are no hot words: a row per chunk and partition.
+
+    ``after`` is a hot word's index, NONE, or COLD less the partition of any other word; ``firsts`` has the words before
+    tokens whose ``before`` is COLD. If ``cold`` is NONE, only hot words are contexts.
+    """
+    kind = _width(len(words), partitions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs, parts, w, n in _tokens(batches):
             index = _find(words, w)
-            before = _previous(index, n)
+            all_to = (mix(w) % U(partitions)).astype(np.int64)
+            index = np.where(index < 0, cold, index)
+            before, after = _around(index, n)
+            if cold == COLD:
+                after = np.where(after == COLD, COLD - np.roll(all_to, -1), after)
+            else:
+                after = np.full(len(w), NONE)
             doc = np.repeat(np.arange(len(docs)), n)
-            use = index < 0
-            w, before, doc = w[use], before[use], doc[use]
-            to = (mix(w) % U(partitions)).astype(np.int64)
-            order = np.lexsort((w, to))
-            w, before, doc, to = w[order], before[order], doc[order], to[order]
-            cuts = np.searchsorted(to, np.arange(partitions + 1))
+            use = np.flatnonzero(index < 0)
+            use = use[np.lexsort((w[use], all_to[use]))]
+            first = w[use - 1]  # of no meaning at the start of a text
+            w, before, after, doc = w[use], before[use], after[use], doc[use]
+            cuts = np.searchsorted(all_to[use], np.arange(partitions + 1))
             rows, chunk = [], uuid4().int >> 65
             for p in range(partitions):
                 a, b = cuts[p], cuts[p + 1]
@@ -123,47 +143,76 @@ def _poster(words: np.ndarray, partitions: int):
                     continue
                 new = np.flatnonzero(np.concatenate([[True], w[a + 1 : b] != w[a : b - 1]]))
                 used, at = np.unique(doc[a:b], return_inverse=True)
-                rows.append((p, chunk, w[a:b][new].tobytes(), np.diff(np.append(new, b - a)).astype("<u4").tobytes(), before[a:b].astype("<i2").tobytes(), at.astype("<u2" if len(used) < 65536 else "<u4").tobytes(), docs[used].tobytes(), parts[used].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.binary()) for k, c in enumerate(zip(*rows) if rows else [[]] * 8)], ["p", "chunk", "words", "runs", "before", "at", "docs", "parts"])
+                rows.append((p, chunk, w[a:b][new].tobytes(), np.diff(np.append(new, b - a)).astype("<u4").tobytes(), before[a:b].astype(kind).tobytes(), first[a:b][before[a:b] == COLD].tobytes(), after[a:b].astype(kind).tobytes(), at.astype("<u2" if len(used) < 65536 else "<u4").tobytes(), docs[used].tobytes(), parts[used].tobytes()))
+            names = ["p", "chunk", "words", "runs", "before", "firsts", "after", "at", "docs", "parts"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.binary()) for k, c in enumerate(zip(*rows) if rows else [[]] * len(names))], names)
 
     return run
 
 
-_POSTINGS = "p long, chunk long, words binary, runs binary, before binary, at binary, docs binary, parts binary"
+_POSTINGS = "p long, chunk long, words binary, runs binary, before binary, firsts binary, after binary, at binary, docs binary, parts binary"
+
+
+@dataclass(frozen=True)
+class Tokens:
+    """Tokens of a partition: number of the word, part of the document."""
+
+    names: np.ndarray  # words by number
+    number: np.ndarray
+    part: np.ndarray
+
+
+def _joined(rows: list[dict], column: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(r[column] for r in rows), kind)
 
 
-def _unpack(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """word number, context, document number of each token of a partition; documents and their parts."""
-    words, before, at, docs, parts, base = [], [], [], [], [], 0
+def _places(rows: list[dict]) -> np.ndarray:
+    """Document number of each token, over the documents of all rows."""
+    out, base = [], 0
     for r in rows:
-        ids = np.frombuffer(r["docs"], np.int64)
-        words.append(np.repeat(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["runs"], "<u4")))
-        before.append(np.frombuffer(r["before"], "<i2"))
-        at.append(np.frombuffer(r["at"], "<u2" if len(ids) < 65536 else "<u4").astype(np.int64) + base)
-        docs.append(ids), parts.append(np.frombuffer(r["parts"], np.int8))
-        base += len(ids)
-    _, number = np.unique(np.concatenate(words), return_inverse=True)
-    return number, np.concatenate(before).astype(np.int64), np.concatenate(at), np.concatenate(docs), np.concatenate(parts)
+        k = len(r["parts"])
+        out.append(np.frombuffer(r["at"], "<u2" if k < 65536 else "<u4").astype(np.int64) + base)
+        base += k
+    return np.concatenate(out)
+
+
+def _unpack(rows: list[dict]) -> Tokens:
+    words = np.repeat(_joined(rows, "words", "<u8"), _joined(rows, "runs", "<u4"))
+    names, number = np.unique(words, return_inverse=True)
+    return Tokens(names, number, _joined(rows, "parts", "i1")[_places(rows)])
+
+
+def _bigrams(t: Tokens, before: np.ndarray, firsts: np.ndarray, width: int) -> np.ndarray:
+    """Number of each token's pair of word before and word; ``width``: of the hot words."""
+    own = before.astype(np.int64)
+    if len(firsts):
+        own[before == COLD] = width + np.unique(firsts, return_inverse=True)[1]
+    return np.unique(t.number * (width + len(firsts) + 1) + own + 1, return_inverse=True)[1]
 
 
 def _bucket(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64) + 1, BUCKETS - 1), 0)
 
 
+def _partitions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of each value of p, from batches in order of p."""
+    now, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["p"] != now and held:
+                yield held
+                held = []
+            now = row["p"]
+            held.append(row)
+    if held:
+        yield held
+
+
 def _by_partition(fn):
-    """Applies ``fn`` to the rows of each value of p, from batches in order of p."""
+    """Applies ``fn`` to the rows of each value of p."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["p"] != now and held:
-                    yield fn(held)
-                    held = []
-                now = row["p"]
-                held.append(row)
-        if held:
-            yield fn(held)
+        yield from map(fn, _partitions(batches))
 
     return run
 
@@ -196,13 +245,14 @@ def learn_weights(cells: np.ndarray, n: np.ndarray, floor: float, rounds: int =
     return out / out.sum(1, keepdims=True)
 
 
-def score_documents(docs: DataFrame, part: Column, contexts: int = 1024, partition_tokens: int = 3_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, part: Column, contexts: int | None = None, partition_tokens: int = 3_000_000, hot: int = 1024) -> DataFrame:
     """One row per document: its key columns doc_id, n_tokens, n_known, train_tokens, base_score and score (log10).
 
     ``docs``: doc_id, text; ``part``: 0 a document that is only scored, 1 one to learn from, 2 one to learn from
     that weights are fitted on; null is 0. A null text is empty (the end token alone). Rows of one doc_id, or without
     any, are one document whose texts follow each other: their counts and scores are added. Without any training
-    token, probabilities are uniform over the unknown. An empty table gives an empty one.
+    token, probabilities are uniform over the unknown. An empty table gives an empty one. ``hot``: words whose counts all
+    tasks hold; results do not depend on it. ``contexts``: a smaller model, with only so many words as contexts.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), part.cast("int").alias("part"), F.col("text").cast("string").alias("text"))
     docs = docs.select("doc_id", F.coalesce("part", F.lit(0)).alias("part"), "text")
@@ -210,38 +260,78 @@ def score_documents(docs: DataFrame, part: Column, contexts: int = 1024, partiti
     size = words.agg(F.count("*").alias("v"), F.sum("train").alias("train"), F.sum("held").alias("held"), F.sum((F.col("train") > 0).cast("long")).alias("v_train")).first()
     train_n, held_n, v = size.train or 0, size.held or 0, size.v
     total = train_n + held_n
-    top = words.orderBy(F.desc(F.col("train") + F.col("held")), "word").limit(contexts).toPandas()
+    top = words.orderBy(F.desc(F.col("train") + F.col("held")), "word").limit(hot if contexts is None else contexts).toPandas()
     order = np.argsort(top["word"].to_numpy(np.int64).view(np.uint64))
     hashes = top["word"].to_numpy(np.int64).view(np.uint64)[order]
     own_train, own_held = top["train"].to_numpy(np.int64)[order], top["held"].to_numpy(np.int64)[order]
-    # pairs of contexts: at most contexts ** 2 rows
-    pairs = docs.where("part > 0").mapInArrow(_pair_counter(hashes), "pair long, train long, held long").groupBy("pair").agg(F.sum("train").alias("train"), F.sum("held").alias("held")).toPandas().sort_values("pair")
-    known = Contexts(hashes, own_train, own_held, pairs["pair"].to_numpy(np.int64), pairs["train"].to_numpy(np.int64), pairs["held"].to_numpy(np.int64))
+    cold = COLD if contexts is None else NONE
+    # pairs of hot words: at most hot * (hot + 1) rows
+    pairs = docs.where("part > 0").mapInArrow(_pair_counter(hashes, cold), "pair long, train long, held long").groupBy("pair").agg(F.sum("train").alias("train"), F.sum("held").alias("held")).toPandas().sort_values("pair")
+    known = Hot(hashes, own_train, own_held, pairs["pair"].to_numpy(np.int64), pairs["train"].to_numpy(np.int64), pairs["held"].to_numpy(np.int64))
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // partition_tokens) + 1)
-    postings = stored(docs.mapInArrow(_poster(hashes, partitions), _POSTINGS), "postings")
-    by_word = postings.repartition(partitions, "p").sortWithinPartitions("p")
+    postings = stored(docs.mapInArrow(_poster(hashes, partitions, cold), _POSTINGS), "postings")
+    width, kind = len(hashes), _width(len(hashes), partitions)
+
+    def by_word(*columns: str) -> DataFrame:
+        """These columns of the postings by partition, with the counts of words before that other partitions have sent."""
+        rows = postings.select("p", *columns)
+        if cold == COLD and "firsts" in columns:
+            rows = rows.unionByName(sent, allowMissingColumns=True)
+        return rows.repartition(partitions, "p").sortWithinPartitions("p")
+
+    def counts_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of each word for the partitions of the words after it."""
+        for rows in _partitions(batches):
+            t, after = _unpack(rows), _joined(rows, "after", kind)
+            train, held = np.bincount(t.number, t.part == TRAIN).astype(np.int64), np.bincount(t.number, t.part == HELD).astype(np.int64)
+            use = after <= COLD
+            to, number = np.divmod(np.unique((COLD - after[use].astype(np.int64)) * len(t.names) + t.number[use]), len(t.names))
+            cuts = np.searchsorted(to, np.arange(partitions + 1))
+            out = [(p, *[x[number[cuts[p] : cuts[p + 1]]].tobytes() for x in (t.names, train, held)]) for p in np.flatnonzero(np.diff(cuts))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out) if out else [[]] * 4)], ["p", "sent", "sent_train", "sent_held"])
+
+    if cold == COLD:
+        sent = stored(by_word("words", "runs", "after", "at", "parts").mapInArrow(counts_out, "p long, sent binary, sent_train binary, sent_held binary"), "sent")
+
+    def split(rows: list[dict]) -> tuple[list[dict], np.ndarray, np.ndarray, np.ndarray]:
+        """Postings; sorted words of other partitions, their counts in training and held-out documents."""
+        own, more = [r for r in rows if r["words"] is not None], [r for r in rows if r["words"] is None]
+        names = _joined(more, "sent", "<u8")
+        order = np.argsort(names)
+        return own, names[order], _joined(more, "sent_train", "<i8")[order], _joined(more, "sent_held", "<i8")[order]
+
+    def of_before(before: np.ndarray, hot_counts: np.ndarray, cold_counts: np.ndarray) -> np.ndarray:
+        """Count of the word before each token; ``cold_counts``: of those that are COLD, in order."""
+        out = np.where(before >= 0, hot_counts[np.maximum(before, 0)], 0) if width else np.zeros(len(before), np.int64)
+        out[before == COLD] = cold_counts
+        return out
 
     def held_out(rows: list[dict]) -> pa.RecordBatch:
-        number, before, at, _, parts = _unpack(rows)
-        p = parts[at]
-        c1 = np.bincount(number, p == TRAIN)
-        pair = number * (contexts + 1) + before + 1
-        _, which = np.unique(pair, return_inverse=True)
-        c2 = np.bincount(which, p == TRAIN)
-        use = p == HELD
-        context = known.train[before[use]] * (before[use] >= 0) if len(known.train) else np.zeros(int(use.sum()), np.int64)
-        p2 = np.where(context > 0, c2[which[use]] / np.maximum(context, 1), 0.0)
-        return _cells(_bucket(context), p2, c1[number[use]] / max(train_n, 1), np.ones(int(use.sum())))
+        rows, names, sent_train, _ = split(rows)
+        t, before, firsts, after = _unpack(rows), _joined(rows, "before", kind), _joined(rows, "firsts", "<u8"), _joined(rows, "after", kind)
+        c1 = np.bincount(t.number, t.part == TRAIN)
+        which = _bigrams(t, before, firsts, width)
+        c2 = np.bincount(which, t.part == TRAIN)
+        use = t.part == HELD
+        context = of_before(before, known.train, sent_train[np.searchsorted(names, firsts)])[use]
+        bucket, p2, p1 = [_bucket(context)], [np.where(context > 0, c2[which[use]] / np.maximum(context, 1), 0.0)], [c1[t.number[use]] / max(train_n, 1)]
+        near = after >= 0
+        if near.any():  # hot words after these
+            number, following, use = t.number[near], after[near].astype(np.int64), t.part[near] == HELD
+            which = np.unique(number * width + following, return_inverse=True)[1]
+            c2, context = np.bincount(which, t.part[near] == TRAIN)[which[use]], c1[number[use]]
+            bucket.append(_bucket(context)), p2.append(c2 / np.maximum(context, 1)), p1.append(known.train[following[use]] / max(train_n, 1))
+        bucket, p2, p1 = (np.concatenate(x) for x in (bucket, p2, p1))
+        return _cells(bucket, p2, p1, np.ones(len(bucket)))
 
     # a cell for each bucket and pair of rounded logarithms: bounded whatever the corpus
-    cells = by_word.mapInArrow(_by_partition(held_out), "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = by_word("words", "runs", "before", "firsts", "after", "at", "parts").mapInArrow(_by_partition(held_out), "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     cell, n = cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(float)
     if len(hashes):
         first, second = np.divmod(known.pairs, len(hashes))
-        near = _cells(_bucket(known.train[first]), np.where(known.train[first] > 0, known.pair_train / np.maximum(known.train[first], 1), 0.0), known.train[second] / max(train_n, 1), known.pair_held.astype(float))
-        lone = known.held - np.bincount(second, known.pair_held, len(hashes))  # context words after a word that is none
-        alone = _cells(np.zeros(len(hashes), np.int64), np.zeros(len(hashes)), known.train / max(train_n, 1), lone.astype(float))
-        cell, n = (np.concatenate([x, near.column(k).to_numpy(), alone.column(k).to_numpy()]) for k, x in enumerate((cell, n)))
+        context = np.where(first > 0, known.train[first - 1], 0)
+        near = _cells(_bucket(context), np.where(context > 0, known.pair_train / np.maximum(context, 1), 0.0), known.train[second] / max(train_n, 1), known.pair_held.astype(float))
+        cell, n = (np.concatenate([x, near.column(k).to_numpy()]) for k, x in enumerate((cell, n)))
     weights = learn_weights(cell[n > 0], n[n > 0], 1 / (size.v_train + 1 if size.v_train else 1))
     count, pair_count, floor = known.train + known.held, known.pair_train + known.pair_held, 1 / (v + 1)
     base_rest = np.log10(total + 0.1 * (v + 1))
@@ -250,38 +340,45 @@ def score_documents(docs: DataFrame, part: Column, contexts: int = 1024, partiti
         w = weights[_bucket(context)]
         return np.log10(w[:, 0] * c2 / np.maximum(context, 1) + w[:, 1] * c1 / max(total, 1) + w[:, 2] * floor)
 
-    def sums(k: int, at: np.ndarray, c1: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.bincount(at, c1 > 0, k).astype(np.int64), np.bincount(at, np.log10(c1 + 0.1) - base_rest, k), np.bincount(at, score, k)
+    def sums(k: int, at: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.bincount(at, c1 > 0, k).astype(np.int64), np.bincount(at, np.log10(c1 + 0.1) - base_rest, k).astype(float)
 
     names = ["key", "n_tokens", "n_known", "base", "score"]
 
     def near_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, w, length in _tokens(batches):
             index = _find(hashes, w)
-            before = _previous(index, length)
+            before, _ = _around(np.where(index < 0, cold, index), length)
             doc = np.repeat(np.arange(len(ids)), length)
             use = index >= 0
             index, before, doc = index[use], before[use], doc[use]
-            if len(index):
-                pair = _find(known.pairs, before * len(hashes) + index)
-                pair = np.where(before >= 0, pair, -1)
-                c2 = np.where(pair >= 0, pair_count[pair], 0) if len(pair_count) else np.zeros(len(index))
-                context, c1 = np.where(before >= 0, count[before], 0), count[index]
-            else:
-                c2 = context = c1 = np.empty(0, np.int64)
-            columns = (ids, length.astype(np.int64), *sums(len(ids), doc, c1, scores(context, c2, c1)))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+            c1 = count[index]
+            n_known, base = sums(len(ids), doc, c1)
+            use = before != COLD  # the others' partitions score the tokens after them
+            index, before, doc = index[use], before[use], doc[use]
+            pair = _find(known.pairs, (before + 1) * len(hashes) + index)
+            c2 = np.where(pair >= 0, pair_count[pair], 0) if len(pair_count) else np.zeros(len(index))
+            score = np.bincount(doc, scores(of_before(before, count, np.empty(0, np.int64)), c2, c1[use]), len(ids)).astype(float)  # no token: integers
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, length.astype(np.int64), n_known, base, score)], names)
 
     def far_scores(rows: list[dict]) -> pa.RecordBatch:
-        number, before, at, ids, parts = _unpack(rows)
-        learned = parts[at] > 0
-        c1 = np.bincount(number, learned)[number]
-        _, which = np.unique(number * (contexts + 1) + before + 1, return_inverse=True)
+        rows, words_, sent_train, sent_held = split(rows)
+        t, before, firsts, after, at = _unpack(rows), _joined(rows, "before", kind), _joined(rows, "firsts", "<u8"), _joined(rows, "after", kind), _places(rows)
+        k, learned = sum(len(r["parts"]) for r in rows), t.part > 0
+        c1 = np.bincount(t.number, learned).astype(np.int64)[t.number]
+        which = _bigrams(t, before, firsts, width)
         c2 = np.bincount(which, learned)[which]
-        context = np.where(before >= 0, count[before], 0) if len(count) else np.zeros(len(before), np.int64)
-        totals = sums(len(ids), at, c1, scores(context, c2, c1))
+        context = of_before(before, count, (sent_train + sent_held)[np.searchsorted(words_, firsts)])
+        n_known, base = sums(k, at, c1)
+        score = np.bincount(at, scores(context, c2, c1), k)
+        near = after >= 0
+        if near.any():  # hot words after these
+            following = after[near].astype(np.int64)
+            which = np.unique(t.number[near] * width + following, return_inverse=True)[1]
+            c2 = np.bincount(which, learned[near])[which]
+            score += np.bincount(at[near], scores(c1[near], c2, count[following]), k)
         cuts = np.cumsum([len(r["docs"]) // 8 for r in rows])[:-1]
-        parts = [[x.tobytes() for x in np.split(t, cuts)] for t in totals]
+        parts = [[x.tobytes() for x in np.split(x, cuts)] for x in (n_known, base, score)]
         return pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["docs"] for r in rows], pa.binary()), *[pa.array(x, pa.binary()) for x in parts]], ["p", "docs", "n_known", "base", "score"])
 
     def gathered(rows: list[dict]) -> pa.RecordBatch:
@@ -291,7 +388,7 @@ def score_documents(docs: DataFrame, part: Column, contexts: int = 1024, partiti
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, np.zeros(len(ids), np.int64), known_.astype(np.int64), base, score)], names)
 
     schema = "key long, n_tokens long, n_known long, base double, score double"
-    far = by_word.mapInArrow(_by_partition(far_scores), "p long, docs binary, n_known binary, base binary, score binary")
+    far = by_word("chunk", "words", "runs", "before", "firsts", "after", "at", "docs", "parts").mapInArrow(_by_partition(far_scores), "p long, docs binary, n_known binary, base binary, score binary")
     far = far.repartition(partitions, "p").sortWithinPartitions("p").mapInArrow(_by_partition(gathered), schema)
     every = docs.mapInArrow(near_scores, schema).unionByName(far)
     summed = every.groupBy(F.col("key").alias("doc_id")).agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])

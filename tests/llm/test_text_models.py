@@ -111,6 +111,39 @@ def test_scores_equal_brute_force(spark, documents, texts, monkeypatch):
     assert both.where("doc_id IS NULL").count() == 1 and both.count() == len(texts) + 1
 
 
+@pytest.mark.parametrize("hot", [0, 20, 1024])
+def test_every_word_is_a_context(spark, documents, texts, monkeypatch, hot):
+    seen = {}
+    learn = lm.learn_weights
+    monkeypatch.setattr(lm, "learn_weights", lambda cells, n, floor: seen.update(cells=cells, n=n, floor=floor, w=learn(cells, n, floor)) or seen["w"])
+    docs = documents.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    fold = language.fold_of(F.col("doc_id"), 10)
+    found = {r.doc_id: r for r in lm.score_documents(docs, F.when(fold == 0, 0).when(fold == 1, lm.HELD).otherwise(lm.TRAIN), hot=hot).collect()}
+    tokens = {i: [*words(x), None] for i, x in texts.items()}
+    c, c2 = {k: Counter() for k in (lm.TRAIN, lm.HELD)}, {k: Counter() for k in (lm.TRAIN, lm.HELD)}
+    for i, t in tokens.items():
+        if crc_fold(i, 10):
+            part = lm.HELD if crc_fold(i, 10) == 1 else lm.TRAIN
+            c[part].update(t), c2[part].update(zip(["", *t], t))  # "": the start
+    train, total = sum(c[lm.TRAIN].values()), sum(c[lm.TRAIN].values()) + sum(c[lm.HELD].values())
+    pairs = [(c[lm.TRAIN][a], c2[lm.TRAIN][a, b], c[lm.TRAIN][b] / train, n) for (a, b), n in c2[lm.HELD].items()]
+    context, together, p1, n = map(np.array, zip(*pairs))
+    want = lm._cells(lm._bucket(context), together / np.maximum(context, 1) * (context > 0), p1, n)
+    got = Counter()
+    for cell, k in zip(seen["cells"], seen["n"]):
+        got[int(cell)] += k
+    assert got == dict(zip(want.column(0).to_pylist(), want.column(1).to_pylist())) and seen["floor"] == 1 / (len(c[lm.TRAIN]) + 1)
+    w, both, both2 = seen["w"], c[lm.TRAIN] + c[lm.HELD], c2[lm.TRAIN] + c2[lm.HELD]
+    for i, t in tokens.items():
+        score = 0.0
+        for before, x in zip(["", *t], t):
+            cv = both[before]
+            b = min(int(math.log2(cv)) + 1, lm.BUCKETS - 1) if cv else 0
+            score += math.log10((w[b, 0] * both2[before, x] / cv if cv else 0) + w[b, 1] * both[x] / total + w[b, 2] / (len(both) + 1))
+        assert math.isclose(found[i].score, score, rel_tol=1e-9)
+        assert found[i].n_known == sum(both[x] > 0 for x in t)
+
+
 def test_weights_recover_a_mixture():
     rng = np.random.default_rng(0)
     n = 20_000
