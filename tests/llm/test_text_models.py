@@ -181,3 +181,43 @@ def test_licences_of_odd_texts(spark, licensed):
     assert found[1_000_001].n_notices == found[1_000_002].n_notices == found[1_000_005].n_notices == 0
     assert found[1_000_004].families == ["Apache-2.0", "MIT"] and found[None].license == "CC-BY-4.0"
     assert licenses.scan(table.limit(0)).count() == 0
+
+
+WRAPPED = {
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or
+modify it under the terms of the GNU General Public License
+as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later version.""",
+    "LGPL": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.""",
+}
+
+
+def test_wrapped_licences_and_several_in_a_line(spark, licensed):
+    docs, _ = licensed
+    marks = ["", "// ", " * ", "# ", "-- ", "    "]
+    rows = [(2_000_000 + 10 * k + j, "#!/bin/sh\n\n" + "\n".join(mark + x for x in text.split("\n")) + "\n\nint main()") for k, text in enumerate(WRAPPED.values()) for j, mark in enumerate(marks)]
+    rows += [(3_000_000, "Licensed under the Apache License, Version 2.0. Released under the MIT License."), (3_000_001, "Released under the MIT License.\n" * 3), (3_000_002, "// SPDX-License-Identifier: MIT\nint main()"), (3_000_003, "under the terms of the treaty, in all copies")]
+    table = docs.select("doc_id", "text").where("doc_id < 300").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r.doc_id: r for r in licenses.scan(table).where("doc_id >= 2000000").collect()}
+    got = {(k, mark): (found[2_000_000 + 10 * i + j].families, found[2_000_000 + 10 * i + j].n_notices) for i, k in enumerate(WRAPPED) for j, mark in enumerate(marks)}
+    assert got == {(k, mark): ([k], 1) for k in WRAPPED for mark in marks}
+    assert found[3_000_000].families == ["Apache-2.0", "MIT"] and found[3_000_000].n_notices == 2
+    assert found[3_000_001].n_notices == 3 and found[3_000_002].license == "MIT" and found[3_000_003].license is None
