@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm import ann, language, licenses, lm, mixing, near_vectors, packing, token_counts, warc
+from demandloom.llm import ann, language, lexical, licenses, lm, mixing, near_vectors, packing, sharding, token_counts, warc, whitening
 from demandloom.llm.jaccard import jaccard_components
 from demandloom.session import shared_dir, stored
 
@@ -126,5 +126,32 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(_table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_forest_neighbours, op2_token_counts, op3_language_id, op4_ngram_jaccard_join, op5_mix_sources, op6_best_fit_packing, op7_embedding_near_dedup, op8_deleted_interpolation, op9_warc_round_trip, op10_license_scan)}
-ORACLES: dict[str, str] = {"op5_mix_sources": OP5_SQL, "op9_warc_round_trip": OP9_SQL}
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"))
+
+
+def op12_ranked_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) AS t FROM documents),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+size AS (SELECT COUNT(*) AS documents, CAST(SUM(len(t)) AS BIGINT) AS length FROM doc WHERE len(t) > 0),
+held AS (SELECT r, doc_id, n, term, COUNT(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM doc) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(documents) + 2) / (2 * COUNT(*) + 1))) AS BIGINT) AS w FROM held, size GROUP BY term),
+scored AS (
+  SELECT a.item_id, h.r, h.doc_id, CAST(SUM(w.w * ((1000000000 * h.tf) // (1000 * h.tf + 20 * (50 + (50 * h.n * s.documents) // s.length)))) AS BIGINT) AS score
+  FROM asked a JOIN held h ON a.term = h.term JOIN weights w ON a.term = w.term, size s GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+def op13_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.shard_documents(_table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_forest_neighbours, op2_token_counts, op3_language_id, op4_ngram_jaccard_join, op5_mix_sources, op6_best_fit_packing, op7_embedding_near_dedup, op8_deleted_interpolation, op9_warc_round_trip, op10_license_scan, op11_embedding_whitening, op12_ranked_lexical_search, op13_sharding)}
+ORACLES: dict[str, str] = {"op5_mix_sources": OP5_SQL, "op9_warc_round_trip": OP9_SQL, "op12_ranked_lexical_search": OP12_SQL}
