@@ -2,25 +2,21 @@
 
 ``percentile`` keeps a value map of the whole group in one buffer; with a source
 holding a third of all rows and a continuous value that buffer is the data. Here
-each group is cut at approximate quantile edges, counted per bucket, and only
-the buckets that hold a wanted rank are sorted. The ranks come from exact
-counts, so the approximation decides how even the buckets are, not the result.
-The value counts are needed three times and are written once to the shared folder.
+values are counted, the counts are dealt by ranges of (group, value), and only
+the ranges that hold a wanted rank are sorted (see ``scan``).
+The value counts are written once to the shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from demandloom.functions.scan import running_totals
 from demandloom.session import stored
 
-def bucket_number(stored_table: DataFrame) -> int:
-    """Buckets for a stored table: about 50,000 rows each, and enough to spread small tables."""
-    return min(1 << 14, max(64, stored_table.count() // 50_000))
-
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str], names: Sequence[str]) -> DataFrame:
     """One row per group: ``by``, ``n`` and one column per probability.
@@ -41,27 +37,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
 def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[str], names: Sequence[str]) -> DataFrame:
     """As ``exact_quantiles`` from a stored table of ``by``, value ``_v`` and count ``_c``."""
     by = list(by)
-    parts = bucket_number(counts)
-    grid = [i / parts for i in range(1, parts)]
-    edges = counts.groupBy(*by).agg(
-        F.sum("_c").alias("n"),
-        F.array_distinct(F.percentile_approx("_v", grid, 16 * parts)).alias("_edges"),
-    )
-    tagged = counts.join(edges, by).select(
-        *by, "n", "_v", "_c",
-        F.size(F.filter("_edges", lambda e: e < F.col("_v"))).alias("_b"),
-    )
-    wanted = F.array(*[pos for p in probs for pos in _positions(p)])
-    order = Window.partitionBy(*by).orderBy("_b")
-    buckets = (
-        tagged.groupBy(*by, "_b")
-        .agg(F.max("n").alias("n"), F.sum("_c").alias("_bc"))
-        .withColumn("_start", F.sum("_bc").over(order) - F.col("_bc"))
-        .where(F.exists(wanted, lambda p: (p >= F.col("_start")) & (p < F.col("_start") + F.col("_bc"))))
-        .select(*by, "_b", "_start")
-    )
-    inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = tagged.join(buckets, [*by, "_b"]).withColumn("_end", F.col("_start") + F.sum("_c").over(inside))
+    wanted = F.array(*[pos for p in probs for pos in _positions(p, "_end_all")])
+    holds = F.exists(wanted, lambda p: (p >= F.col("_end_before")) & (p < F.col("_end_before") + F.col("_end_range")))
+    ranked = running_totals(counts, by, ["_v"], {"_end": "_c"}, holds).withColumnRenamed("_end_all", "n")
 
     def value_at(pos):
         hit = (pos < F.col("_end")) & (pos >= F.col("_end") - F.col("_c"))
@@ -69,7 +47,7 @@ def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[
 
     picks = []
     for i, p in enumerate(probs):
-        lo, hi = _positions(p)
+        lo, hi = _positions(p, "n")
         picks += [value_at(lo).alias(f"_lo{i}"), value_at(hi).alias(f"_hi{i}")]
     out = ranked.groupBy(*by).agg(F.max("n").alias("n"), *picks)
     cols = []
@@ -93,6 +71,6 @@ def quantile_table(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
     return table.groupBy(*by).agg(*[pick(c, q).alias(f"{c}{q}") for c in columns for q in names])
 
 
-def _positions(p: float):
-    pos = F.floor(F.lit(float(p)) * (F.col("n") - 1)).cast("long")
-    return pos, F.least(pos + 1, F.col("n") - 1)
+def _positions(p: float, n: str):
+    pos = F.floor(F.lit(float(p)) * (F.col(n) - 1)).cast("long")
+    return pos, F.least(pos + 1, F.col(n) - 1)

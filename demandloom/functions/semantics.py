@@ -44,7 +44,7 @@ def week_start(d: ColumnLike) -> Column:
     return F.date_add(shifted, 1)
 
 
-def series(keys: Sequence[str], order: str = "date") -> WindowSpec:
+def series(keys: Sequence[str], order: ColumnLike = "date") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
 
 

@@ -1,4 +1,4 @@
-"""Forecasts that need no model: naive, seasonal, averages, intermittent, scenario."""
+"""Forecasts that need no model: naive, seasonal, averages, intermittent."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from demandloom.functions.folds import gather_series, intermittent_path
-from demandloom.functions.semantics import past, rnd, series, trailing
+from demandloom.functions.recurrences import add_intermittent
+from demandloom.functions.semantics import past, series, trailing
 from demandloom.functions.vocabulary import ALPHA, BETA
 from demandloom.operators.features import GRAIN
 
@@ -70,7 +70,9 @@ def long_predictions(predictions: DataFrame, models: Sequence[str] = MODELS) ->
 
 def multi_step(panel: DataFrame, horizon: int, window: int = 7, season: int = 7, keys: Sequence[str] = GRAIN) -> DataFrame:
     """Repeat-last, mean-of-last-w and tiled-season forecasts for h = 1..H."""
-    packed = gather_series(panel, keys, "date", ["units_sold"])
+    back = F.row_number().over(series(keys, F.desc("date")))
+    last = panel.withColumn("_back", back).where(F.col("_back") <= max(window, season))  # all that a forecast looks at
+    packed = last.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("date", "units_sold"))).alias("obs"))
     values = F.transform("obs", lambda o: o["units_sold"].cast("double"))
     n = F.size("obs")
     tail = lambda k: F.slice("v", F.greatest(n - k + 1, F.lit(1)), k)
@@ -112,59 +114,10 @@ def intermittent(panel: DataFrame, alpha: float = ALPHA, beta: float = BETA) ->
 
     The first observation of a series has no lag and is left out, as in training.
     """
-    packed = gather_series(panel, GRAIN, "date", ["units_sold", "split"])
-    packed = packed.withColumn("obs", F.slice("obs", 2, F.greatest(F.size("obs") - 1, F.lit(0))))
-    path = intermittent_path(F.transform("obs", lambda o: o["units_sold"].cast("double")), alpha, beta)
-    rows = packed.withColumn("path", path).select(*GRAIN, F.explode(F.arrays_zip("obs", "path")).alias("z"))
-    level, gap, prob = F.col("z.path.level"), F.col("z.path.gap"), F.col("z.path.prob")
-    croston = F.coalesce(F.try_divide(level, gap), F.lit(0.0))
-    return rows.where(F.col("z.obs.split") == "test").select(
-        *GRAIN, F.col("z.obs.date").alias("date"), F.col("z.obs.units_sold").alias("actual"),
-        croston.alias("croston"), (croston * (1.0 - alpha / 2.0)).alias("sba"), (prob * level).alias("tsb"),
+    later = panel.withColumn("_n", F.row_number().over(series(GRAIN))).where(F.col("_n") > 1).drop("_n")
+    rows = add_intermittent(later.select(*GRAIN, "date", "split", "units_sold"), GRAIN, "date", "units_sold", alpha, beta)
+    croston = F.coalesce(F.try_divide("level", "gap"), F.lit(0.0))
+    return rows.where(F.col("split") == "test").select(
+        *GRAIN, "date", F.col("units_sold").alias("actual"),
+        croston.alias("croston"), (croston * (1.0 - alpha / 2.0)).alias("sba"), (F.col("prob") * F.col("level")).alias("tsb"),
     )
-
-
-def scenario(history: DataFrame, horizon: int, keys: Sequence[str], predict, discount=None, promo=None, surge: float = 1.0) -> DataFrame:
-    """Recursive path with the prediction fed back and widening bounds.
-
-    ``predict`` maps the buffer column to the next value. The path of a series is
-    one fold over its last 35 observations, so no step needs a new job.
-    """
-    packed = history.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("date", F.col("units_sold").cast("double").alias("units_sold")))).alias("obs"),
-        F.max_by("discount_pct", "date").alias("last_discount"), F.max_by("promotion_flag", "date").alias("last_promo"),
-    )
-    buffer = F.slice(F.transform("obs", lambda o: o["units_sold"]), F.greatest(F.size("obs") - 34, F.lit(1)), 35)
-    path_type = "array<struct<step:int,value:double,spread:double>>"
-    start = F.struct(buffer.alias("buf"), F.array().cast(path_type).alias("path"))
-
-    def step(acc, i):
-        last = F.slice(acc["buf"], F.greatest(F.size(acc["buf"]) - 6, F.lit(1)), 7)
-        mean = F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / F.size(last)
-        var = F.aggregate(last, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(last)
-        value = predict(acc["buf"]) * surge
-        spread = F.greatest(F.lit(1.0), F.sqrt(var) * F.sqrt(1.0 + (i - 1) / 10.0))
-        point = F.struct(i.cast("int").alias("step"), value.alias("value"), spread.alias("spread"))
-        return F.struct(F.concat(acc["buf"], F.array(value)).alias("buf"), F.concat(acc["path"], F.array(point)).alias("path"))
-
-    folded = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, step, lambda acc: acc["path"])
-    rows = packed.select(
-        *keys, F.element_at("obs", -1)["date"].alias("last_date"), "last_discount", "last_promo", F.explode(folded).alias("p")
-    )
-    return rows.select(
-        *keys, F.date_add("last_date", F.col("p.step")).alias("date"), F.col("p.step").alias("step"),
-        rnd("p.value", 2).alias("forecast_units"),
-        rnd(F.greatest(F.lit(0.0), F.col("p.value") - 1.96 * F.col("p.spread")), 2).alias("forecast_lower"),
-        rnd(F.col("p.value") + 1.96 * F.col("p.spread"), 2).alias("forecast_upper"),
-        (F.col("last_discount") if discount is None else F.lit(float(discount))).alias("discount_applied"),
-        (F.col("last_promo") if promo is None else F.lit(int(promo))).alias("promo_applied"),
-    )
-
-
-def mean_of_last(rows: int):
-    """Predictor for ``scenario``: mean of the last ``rows`` buffered values."""
-    def predict(buf: Column) -> Column:
-        last = F.slice(buf, F.greatest(F.size(buf) - rows + 1, F.lit(1)), rows)
-        return F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / F.size(last)
-
-    return predict

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandloom.functions.folds import add_past_ewm
+from demandloom.functions.recurrences import add_past_ewm
 from demandloom.functions.semantics import ratio, series, trailing
 from demandloom.functions.vocabulary import DAILY_LAGS, DAILY_WINDOWS, WEEKLY_LAGS, WEEKLY_SPANS, WEEKLY_WINDOWS
 

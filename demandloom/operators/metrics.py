@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandloom.functions.quantiles import bucket_number, exact_quantiles, quantile_table, quantiles_of_counts
+from demandloom.functions.quantiles import exact_quantiles, quantile_table, quantiles_of_counts
+from demandloom.functions.scan import running_totals
 from demandloom.functions.semantics import ratio, rnd
 from demandloom.functions.vocabulary import SUPPORTED_HORIZON_WEEKS
 from demandloom.session import stored
@@ -133,39 +134,14 @@ def pareto_members(revenue: DataFrame, cut: float = 0.8) -> DataFrame:
 
 
 def running_share(df: DataFrame, by: Sequence[str], value: str, key: str) -> DataFrame:
-    """Descending cumulative share and rank without one task per group.
-
-    Rows are cut at approximate value quantiles; bucket totals and counts are
-    accumulated over a few rows per group, then each bucket is ordered alone.
-    """
-    by = list(by)
-    df = stored(df, "ranked")
-    buckets = bucket_number(df)
-    grid = [i / buckets for i in range(1, buckets)]
-    edges = df.groupBy(*by).agg(
-        F.array_distinct(F.percentile_approx(value, grid, 16 * buckets)).alias("_edges"),
-        F.sum(value).alias("_total"), F.count("*").alias("_size"),
-    )
-    tagged = df.join(edges, by).withColumn(
-        "_b", -F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    ).drop("_edges")
-    across = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tagged.groupBy(*by, "_b").agg(F.sum(value).alias("_bs"), F.count("*").alias("_bn"))
-    offsets = offsets.select(
-        *by, "_b", F.coalesce(F.sum("_bs").over(across), F.lit(0.0)).alias("_sum0"),
-        F.coalesce(F.sum("_bn").over(across), F.lit(0)).alias("_rank0"),
-    )
-    inside = Window.partitionBy(*by, "_b").orderBy(F.desc(value), key)
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    out = tagged.join(offsets, [*by, "_b"]).withColumns({
-        "rank": F.col("_rank0") + F.row_number().over(inside),
-        "_run": F.col("_sum0") + F.sum(value).over(upto),
-    })
+    """Descending cumulative share and rank without one task per group; ``key`` settles ties (see ``scan``)."""
+    table = stored(df.withColumn("_one", F.lit(1).cast("long")), "ranked")
+    out = running_totals(table, by, [F.desc(value), F.col(key)], {"rank": "_one", "_run": value})
     return out.withColumns({
-        "cumulative_share": ratio("_run", "_total"),
-        "share_before": ratio(F.col("_run") - F.col(value), "_total"),
-        "rank_pct": ratio("rank", "_size"),
-    }).drop("_b", "_sum0", "_rank0", "_run", "_total", "_size")
+        "cumulative_share": ratio("_run", "_run_all"),
+        "share_before": ratio(F.col("_run") - F.col(value), "_run_all"),
+        "rank_pct": ratio("rank", "rank_all"),
+    }).drop("_one", "_run", "_run_all", "_run_before", "rank_all", "rank_before")
 
 
 def high_value_segments(predictions: DataFrame, revenue: DataFrame, model: str) -> DataFrame:
@@ -551,24 +527,18 @@ def classifier_metrics(df: DataFrame, thresholds: Sequence[float], by: Sequence[
 
 
 def ranking_areas(df: DataFrame, by: Sequence[str], label="label", score="score") -> DataFrame:
-    """ROC-AUC (average rank) and average precision from counts per score.
+    """ROC-AUC (average rank) and average precision over the scores as they are; equal scores are one step.
 
-    Scores are rounded to 4 digits first, so a group's window runs over at most
-    10,001 score levels and not over its rows.
+    Counts per distinct score are added up from the highest down, by ranges of scores (see ``scan``).
     """
-    levels = df.groupBy(*by, rnd(score, 4).alias("_s")).agg(
+    levels = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("_s")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    w = Window.partitionBy(*by).orderBy(F.desc("_s"))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    g = Window.partitionBy(*by)
-    ranked = levels.withColumns({
-        "tp": F.sum("pos").over(upto), "fp": F.sum("neg").over(upto), "all_pos": F.sum("pos").over(g), "all_neg": F.sum("neg").over(g),
-    })
+    ranked = running_totals(stored(levels, "levels"), by, [F.desc("_s")], {"tp": "pos", "fp": "neg"})
     above = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0))
     return ranked.groupBy(*by).agg(
-        rnd(ratio(above, F.max(F.col("all_pos") * F.col("all_neg"))), 4).alias("roc_auc"),
-        rnd(F.sum(ratio(F.col("pos") * F.col("tp"), F.col("all_pos") * (F.col("tp") + F.col("fp")))), 4).alias("pr_auc"),
+        rnd(ratio(above, F.max(F.col("tp_all").cast("double") * F.col("fp_all"))), 4).alias("roc_auc"),
+        rnd(F.sum(ratio(F.col("pos") * F.col("tp").cast("double"), F.col("tp_all").cast("double") * (F.col("tp") + F.col("fp")))), 4).alias("pr_auc"),
     )
 
 

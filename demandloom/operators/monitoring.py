@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from demandloom.functions.quantiles import bucket_number, exact_quantiles, quantiles_of_counts
+from demandloom.functions.quantiles import exact_quantiles, quantiles_of_counts
+from demandloom.functions.scan import running_totals
 from demandloom.functions.semantics import ratio, rnd, to_long
 from demandloom.functions.vocabulary import (
     MONITORING, PSI_DRIFT, PSI_STABLE, PSI_WATCH, SUPPORTED_HORIZON_WEEKS, SYNTHETIC, WAPE_BASELINE,
@@ -94,24 +95,11 @@ def ks(expected: DataFrame, actual: DataFrame, by: Sequence[str], value: str) ->
 
 
 def ks_of_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Running counts in two levels: bucket offsets over a few rows per group, and
-    inside each bucket on its own. ``counts`` is read several times: pass a stored table."""
-    by = list(by)
-    buckets = bucket_number(counts)
-    edges = counts.groupBy(*by).agg(
-        F.sum("e").alias("_all_e"), F.sum("a").alias("_all_a"),
-        F.array_distinct(F.percentile_approx("_v", [i / buckets for i in range(1, buckets)], 16 * buckets)).alias("_edges"),
-    )
-    tagged = counts.join(edges, by).withColumn("_b", F.size(F.filter("_edges", lambda x: x < F.col("_v")))).drop("_edges")
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = tagged.groupBy(*by, "_b").agg(F.sum("e").alias("e"), F.sum("a").alias("a")).select(
-        *by, "_b", F.coalesce(F.sum("e").over(before), F.lit(0)).alias("_e0"), F.coalesce(F.sum("a").over(before), F.lit(0)).alias("_a0")
-    )
-    inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    share = lambda c, start, whole: F.try_divide((F.col(start) + F.sum(c).over(inside)).cast("double"), F.col(whole).cast("double"))
-    usable = (F.col("_all_e") >= MIN_SAMPLE) & (F.col("_all_a") >= MIN_SAMPLE)
-    steps = tagged.join(offsets, [*by, "_b"]).withColumn("_gap", F.when(usable, F.abs(share("e", "_e0", "_all_e") - share("a", "_a0", "_all_a"))))
-    return steps.groupBy(*by).agg(F.max("_gap").alias("ks"))
+    """Largest gap between the running shares of both sides (see ``scan``). ``counts`` is read several times: pass a stored table."""
+    steps = running_totals(counts, by, ["_v"], {"_ce": "e", "_ca": "a"})
+    share = lambda c: F.try_divide(F.col(c).cast("double"), F.col(f"{c}_all").cast("double"))
+    usable = (F.col("_ce_all") >= MIN_SAMPLE) & (F.col("_ca_all") >= MIN_SAMPLE)
+    return steps.groupBy(*by).agg(F.max(F.when(usable, F.abs(share("_ce") - share("_ca")))).alias("ks"))
 
 
 def moments_of_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:

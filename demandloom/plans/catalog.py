@@ -4,7 +4,7 @@ import importlib
 
 from demandloom.plans.registry import ORACLES, QUERIES
 
-FAMILIES = ("relational", "cleaning", "quality", "kpi", "features", "forecasts", "risk", "monitoring", "ml")
+FAMILIES = ("relational", "cleaning", "quality", "kpi", "features", "forecasts", "scenarios", "risk", "monitoring", "ml")
 for _name in FAMILIES:
     importlib.import_module(f"demandloom.plans.{_name}")
 

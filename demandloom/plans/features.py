@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from demandloom.functions.folds import add_past_ewm
+from demandloom.functions.recurrences import add_past_ewm
 from demandloom.functions.semantics import rnd
 from demandloom.functions.vocabulary import DAILY_LAGS, DAILY_WINDOWS, HORIZONS, WEEKLY_LAGS, WEEKLY_SPANS, WEEKLY_WINDOWS
 from demandloom.operators import features

@@ -122,24 +122,6 @@ def b9(t):
     return t.panel.groupBy("source_dataset").agg(F.count("*").alias("rows"), rnd(share * 100.0, 4).alias("zero_share_pct"), (share >= 0.05).alias("intermittent"))
 
 
-@query("b10_scenario_forecast")
-def b10(t):
-    """Recursive path of every store x SKU series: 15 % discount, promotion, 20 % surge."""
-    hist = t.daily_units.withColumn("discount_pct", F.lit(0.0))
-    return baselines.scenario(hist, 14, ["store_id", "sku_id"], baselines.mean_of_last(7), discount=0.15, promo=1, surge=1.2)
-
-
-# with a surge of 1 and a one-value memory the path is constant, which SQL can say
-@query("b10_flat_scenario", f"""
-WITH p AS (SELECT store_id, sku_id, max(date) AS d, list(CAST(units_sold AS DOUBLE) ORDER BY date) AS v, count(*) AS n, arg_max(promotion_flag, date) AS promo FROM sales_daily GROUP BY 1, 2),
- q AS (SELECT *, v[n] AS last, v[greatest(n - 6, 1):n] AS w FROM p)
-SELECT store_id, sku_id, d + 1 AS date, 1 AS step, {r('last', 2)} AS forecast_units, {r('greatest(0, last - CAST(1.96 AS DOUBLE) * greatest(1, list_stddev_pop(w)))', 2)} AS forecast_lower,
- {r('last + CAST(1.96 AS DOUBLE) * greatest(1, list_stddev_pop(w))', 2)} AS forecast_upper, CAST(0 AS DOUBLE) AS discount_applied, promo AS promo_applied FROM q""")
-def b10b(t):
-    hist = t.daily_units.withColumn("discount_pct", F.lit(0.0))
-    return baselines.scenario(hist, 1, ["store_id", "sku_id"], baselines.mean_of_last(1))
-
-
 @query("b11_rolling_origin_folds", """
 SELECT o.source_dataset, w.week, fold, origin FROM fold_origins o JOIN week_index w ON w.source_dataset = o.source_dataset AND w.idx > o.origin_idx AND w.idx <= o.origin_idx + 8""")
 def b11(t):
@@ -459,7 +441,7 @@ def m22a(t):
 
 
 @query("m22_ranking_areas", f"""
-WITH l AS (SELECT source_dataset, {r('score', 4)} AS s, {ci('label = 1')} AS p, {ci('label = 0')} AS q FROM {SCORE} GROUP BY 1, 2),
+WITH l AS (SELECT source_dataset, score AS s, {ci('label = 1')} AS p, {ci('label = 0')} AS q FROM {SCORE} GROUP BY 1, 2),
  c AS (SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp, sum(p) OVER (PARTITION BY source_dataset) AS pp, sum(q) OVER (PARTITION BY source_dataset) AS nn FROM l WINDOW w AS (PARTITION BY source_dataset ORDER BY s DESC ROWS UNBOUNDED PRECEDING))
 SELECT source_dataset, {r('sum(q * (tp - p / CAST(2 AS DOUBLE))) / NULLIF(max(pp * nn), 0)', 4)} AS roc_auc, {r('sum(p * tp / CAST(NULLIF(pp * (tp + fp), 0) AS DOUBLE))', 4)} AS pr_auc FROM c GROUP BY 1""")
 def m22b(t):

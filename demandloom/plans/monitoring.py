@@ -9,7 +9,7 @@ from demandloom.plans.forecasts import EXT, OK, PAIR, REGIME, ZERO, acc
 from demandloom.plans.registry import query
 from demandloom.plans.sqltext import big, ci, r
 from demandloom.sources import files
-from demandloom.streaming import requests
+from demandloom.streaming import admission, requests
 
 
 @query("n1_forecast_distribution", f"""
@@ -285,12 +285,18 @@ def t2b(t):
     return requests.sliding_breaches(t.table("events"), LIMIT, "6 hours", "3 hours")
 
 
-@query("t2_admission_stream")
+# admitted times of the window travel along each user's events, in order
+@query("t2_admission_stream", f"""
+WITH RECURSIVE numbered AS (SELECT user_id, event_id, ts, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+walked(user_id, event_id, ts, k, held, admitted) AS (
+  SELECT user_id, event_id, ts, k, [us], {LIMIT} > 0 FROM numbered WHERE k = 1
+  UNION ALL
+  SELECT user_id, event_id, ts, k, CASE WHEN len(held) < {LIMIT} THEN list_append(held, us) ELSE held END, len(held) < {LIMIT}
+  FROM (SELECT n.user_id, n.event_id, n.ts, n.k, n.us, list_filter(w.held, lambda x: x >= n.us - {SPAN * 1_000_000}) AS held FROM walked w JOIN numbered n ON n.user_id IS NOT DISTINCT FROM w.user_id AND n.k = w.k + 1))
+SELECT user_id, event_id, ts, admitted FROM walked""")
 def t2c(t):
     """Exact sliding-window admission with per-key state (rejected requests do not count)."""
-    stream = requests.admission_stream(requests.event_stream(t.spark, t.folder), LIMIT, SPAN)
-    out = requests.run_available(stream, requests.stream_folder(t.spark, "admission"))
-    return out.groupBy("user_id").agg(F.count("*").alias("requests"), F.count_if("admitted").alias("admitted"), F.count_if(~F.col("admitted")).alias("rejected"))
+    return admission.drain(t.spark, t.folder, LIMIT, SPAN)
 
 
 AUDIT = """SELECT event_id, event_type AS event, json_extract_string(props, '$.k') AS k, '[REDACTED]' AS token, CASE WHEN length(rep) > 500 THEN concat(substr(rep, 1, 500), '…') ELSE rep END AS note

@@ -153,6 +153,7 @@ class Retail:
             .agg(
                 F.sum("l_quantity").cast("long").alias("units_sold"), F.sum(net).alias("total_revenue"),
                 F.max(F.when(F.col("l_discount") >= 0.08, 1).otherwise(0)).alias("promotion_flag"),
+                (1 - F.sum(net) / F.nullif(F.sum("l_extendedprice"), F.lit(0.0))).alias("discount_pct"),
             )
         )
 

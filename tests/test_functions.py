@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from demandloom.functions import folds, quantiles, semantics
+from demandloom.functions import quantiles, recurrences, scan, semantics
 
 
 def one(df):
@@ -67,7 +67,7 @@ def test_past_ewm_matches_pandas(spark):
     days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(60)]
     rows = [(k, d, float(rng.randint(0, 20))) for k in "ab" for d in days]
     df = spark.createDataFrame(rows, "k string, date date, y double")
-    got = folds.add_past_ewm(df, ["k"], "date", "y", {"e4": 4, "e13": 13}).toPandas().sort_values(["k", "date"])
+    got = recurrences.add_past_ewm(df, ["k"], "date", "y", {"e4": 4, "e13": 13}).toPandas().sort_values(["k", "date"])
     for k, g in got.groupby("k"):
         for span in (4, 13):
             want = g["y"].shift(1).ewm(span=span, min_periods=1).mean()
@@ -90,7 +90,35 @@ def plain_croston(ys, alpha, beta):
 
 
 @pytest.mark.parametrize("ys", [[0, 0, 3, 0, 5, 0, 0, 1], [4, 0, 0, 2, 2, 0, 7], [0, 0, 0], [1]])
-def test_intermittent_path_matches_plain_loop(spark, ys):
-    df = spark.createDataFrame([([float(y) for y in ys],)], "v array<double>")
-    path = one(df.select(folds.intermittent_path(F.col("v"), 0.1, 0.1).alias("p"))).p
-    np.testing.assert_allclose([(p.level, p.gap, p.prob) for p in path], plain_croston(ys, 0.1, 0.1))
+def test_intermittent_matches_plain_loop(spark, ys):
+    df = spark.createDataFrame([(k, i, float(y)) for k in "ab" for i, y in enumerate(ys if k == "a" else [7, *ys])], "k string, i int, y double")
+    path = recurrences.add_intermittent(df, ["k"], "i", "y", 0.1, 0.1).orderBy("k", "i").collect()
+    np.testing.assert_allclose([(p.level, p.gap, p.prob) for p in path], plain_croston(ys, 0.1, 0.1) + plain_croston([7, *ys], 0.1, 0.1), atol=1e-15)
+
+
+def test_long_series_are_linear_and_equal_to_the_loop(spark):
+    rng = random.Random(8)
+    ys = [float(rng.choice([0, 0, 0, rng.randint(1, 30)])) for _ in range(100_000)]
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "i": range(len(ys)), "y": ys}))
+    got = recurrences.add_intermittent(df, ["k"], "i", "y", 0.1, 0.1).orderBy("i").toPandas()
+    np.testing.assert_allclose(got[["level", "gap", "prob"]].to_numpy(), plain_croston(ys, 0.1, 0.1), rtol=1e-9, atol=1e-12)
+    got = recurrences.add_past_ewm(df, ["k"], "i", "y", {"short": 2, "long": 90}).orderBy("i").toPandas()
+    for name, span in (("short", 2), ("long", 90)):
+        np.testing.assert_allclose(got[name].astype(float), pd.Series(ys).shift(1).ewm(span=span, min_periods=1).mean(), rtol=1e-9, atol=1e-12)
+    with pytest.raises(ValueError):
+        recurrences.block_length(1.0)
+
+
+@pytest.mark.parametrize("rows", [1, 40, 50_000])
+def test_running_totals_with_a_hot_group_and_a_tied_value(spark, monkeypatch, rows):
+    monkeypatch.setattr(scan, "RANGE_ROWS", 16)
+    rng = random.Random(rows)
+    data = [(rng.choice(["hot", "hot", None, "b"]), rng.choice([5, 5, 5, rng.randint(0, 9)]), i) for i in range(min(rows, 600))]
+    df = spark.createDataFrame(data, "g string, v int, k int").withColumn("one", F.lit(1).cast("long"))
+    got = scan.running_totals(df.cache(), ["g"], [F.desc("v"), F.col("k")], {"rank": "one", "run": "v"}).collect()
+    for g in ("hot", None, "b"):
+        want = sorted(((-v, k) for x, v, k in data if x == g))
+        mine = sorted((r for r in got if r.g == g), key=lambda r: r["rank"])
+        assert [(-r.v, r.k) for r in mine] == want and [r["rank"] for r in mine] == list(range(1, len(want) + 1))
+        assert [r.run for r in mine] == [-sum(v for v, _ in want[: i + 1]) for i in range(len(want))]
+        assert all(r.rank_all == len(want) for r in mine)

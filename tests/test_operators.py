@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from demandloom.operators import backtest, baselines, bi, cleaning, features, metrics, monitoring, quality, risk
+from demandloom.operators import backtest, baselines, bi, cleaning, features, metrics, monitoring, quality, risk, scenarios
 
 D0 = dt.date(2020, 1, 6)
 
@@ -167,7 +167,7 @@ def test_record_validation_reasons(spark):
 def test_scenario_path_feeds_predictions_back(spark):
     rows = [("a", day(i), float(v), 0.0, 0) for i, v in enumerate([1, 2, 3, 4, 5, 6, 7, 8])]
     hist = spark.createDataFrame(rows, "k string, date date, units_sold double, discount_pct double, promotion_flag int")
-    got = baselines.scenario(hist, 3, ["k"], baselines.mean_of_last(2), surge=2.0).orderBy("step").collect()
+    got = scenarios.scenario(hist, 3, ["k"], scenarios.mean_of_last(2), surge=2.0).orderBy("step").collect()
     buf, want = [1, 2, 3, 4, 5, 6, 7, 8], []
     for i in range(3):
         value = float(np.mean(buf[-2:])) * 2
@@ -176,3 +176,17 @@ def test_scenario_path_feeds_predictions_back(spark):
         buf.append(value)
     np.testing.assert_allclose([(r.forecast_units, r.forecast_lower, r.forecast_upper) for r in got], want)
     assert [r.date for r in got] == [day(8), day(9), day(10)]
+
+
+@pytest.mark.parametrize("scores", ["small", "tied", "mixed"])
+def test_ranking_areas_of_scores_as_they_are(spark, scores):
+    rng = np.random.default_rng(3)
+    label = (rng.random(800) < 0.2).astype(int)
+    score = {"small": rng.random(800) * 1e-9 + label * 2e-10, "tied": np.full(800, 0.3), "mixed": np.round(rng.random(800) + 0.3 * label, 2)}[scores]
+    df = spark.createDataFrame([("a", int(y), float(x)) for y, x in zip(label, score)] + [("b", 1, 0.5)], "g string, label int, score double")
+    got = {r.g: r for r in metrics.ranking_areas(df, ["g"]).collect()}
+    pos, neg = score[label == 1], score[label == 0]
+    area = ((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)).mean()
+    precision = sum((np.sum(pos == s) / len(pos)) * (np.sum(pos >= s) / np.sum(score >= s)) for s in np.unique(pos))
+    assert got["a"].roc_auc == pytest.approx(area, abs=1e-4) and got["a"].pr_auc == pytest.approx(precision, abs=1e-4)
+    assert got["b"].roc_auc is None and got["b"].pr_auc == 1.0

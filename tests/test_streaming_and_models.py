@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from demandloom.operators import ml
 from demandloom.sources import files
-from demandloom.streaming import requests
+from demandloom.streaming import admission, requests
 
 
 @pytest.fixture(scope="module")
@@ -28,16 +28,34 @@ def stream_of(spark, folder):
     return spark.readStream.schema(requests.EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def test_admission_stream_matches_plain_loop(spark, log):
-    rows, folder = log
-    out = requests.run_available(requests.admission_stream(stream_of(spark, folder), 5, 120), requests.stream_folder(spark, "t-admission"))
-    got = {r.event_id: r.admitted for r in out.collect()}
+def admitted(rows, limit, seconds):
     held, want = {}, {}
-    for event, ts, user, *_ in rows:
-        recent = [x for x in held.get(user, []) if x >= ts - dt.timedelta(seconds=120)]
-        want[event] = len(recent) < 5
+    for event, ts, user, *_ in sorted(rows, key=lambda r: (r[1], r[0])):
+        recent = [x for x in held.get(user, []) if x >= ts - dt.timedelta(seconds=seconds)]
+        want[event] = len(recent) < limit
         held[user] = recent + [ts] * want[event]
-    assert got == want and not all(want.values())
+    return want
+
+
+@pytest.mark.parametrize("limit, slot", [(5, None), (5, 1000), (0, None)])
+def test_admission_of_a_hot_key_matches_plain_loop(spark, log, limit, slot):
+    rows, folder = log
+    got = {r.event_id: (r.user_id, r.admitted) for r in admission.drain(spark, folder, limit, 120, 1, "1 hour", slot, files="*.parquet").collect()}
+    want = admitted(rows, limit, 120)
+    assert got == {r[0]: (r[2], want[r[0]]) for r in rows} and not all(want.values())
+    assert spark.conf.get(admission.STORE) != admission.ROCKSDB
+
+
+def test_admission_orders_events_and_holds_a_slot_at_most(spark, tmp_path, monkeypatch):
+    """Events come in no order, with equal times and without a user; a slot is what is ordered at once."""
+    rng = random.Random(2)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(seconds=rng.randint(0, 3000)), rng.choice([1, 1, None, 2]), "click", 1.0, None) for i in range(300)]
+    rng.shuffle(rows)
+    odd = [(None, start, 1, "click", 1.0, None), (1000, None, 1, "click", 1.0, None)]
+    spark.createDataFrame(rows + odd, requests.EVENTS).coalesce(1).write.parquet(str(tmp_path / "log"))
+    got = {r.event_id: r.admitted for r in admission.drain(spark, str(tmp_path / "log"), 3, 60, lateness="2 hours", slot_seconds=30, files="*.parquet").collect()}
+    assert got == admitted(rows, 3, 60)
 
 
 def test_trailing_breaches_match_brute_force(spark, log):
