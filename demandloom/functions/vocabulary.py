@@ -51,3 +51,14 @@ REDACTED_KEYS = (
     "api_key", "apikey", "authorization", "password", "secret", "token",
     "x-api-key", "features", "records", "payload",
 )
+
+# Reviews by rule, in the order in which rules are tried: priority, review, reason, limit of confidence.
+REVIEWS = {
+    "stockout": (1, "Review replenishment", "Existing stockout_risk_level is CRITICAL / HIGH.", "1000-row reference extract; not an automatic purchase order."),
+    "overstock": (2, "Review inventory exposure", "Existing overstock_risk_level is {}.", "Reference scoring only; no inventory write-back."),
+    "reorder": (2, "Review replenishment", "Existing reorder_triggered flag is true.", "Flag is analytical; no PO is sent."),
+    "uncertainty": (3, "Review forecast uncertainty", "Relative P10/P90 width meets the documented uncertainty threshold.", "Interval companions are not guaranteed coverage bands."),
+    "growth": (3, "Monitor demand growth", "Documented growth rule classified TEST actuals as Growing.", "Held-out TEST split, not live sales velocity."),
+    "matrix": (2, "Review replenishment", "Demand-high and inventory-high median split (documented 2x2).", "Median split on the extract, not a new risk model."),
+    "none": (4, "No exceptional intervention indicated", "No critical stockout, overstock, reorder, or uncertainty flag on this row.", "Absence of a flag is not proof of operational safety."),
+}

@@ -38,7 +38,7 @@ def accuracy_columns(a: str, p: str) -> list[Column]:
         rnd(F.avg(err), 4).alias("mae"),
         rnd(F.sqrt(F.avg((y - f) * (y - f))), 4).alias("rmse"),
         rnd(F.avg(F.when(y != 0, err / F.abs(y))) * 100.0, 4).alias("mape"),
-        rnd(F.avg(F.coalesce(F.try_divide(2.0 * err, F.abs(y) + F.abs(f)), F.lit(0.0))) * 100.0, 4).alias("smape"),
+        rnd(F.avg(F.when(err.isNotNull(), F.coalesce(F.try_divide(2.0 * err, F.abs(y) + F.abs(f)), F.lit(0.0)))) * 100.0, 4).alias("smape"),
         rnd(F.coalesce(wape(y, f) * 100.0, F.lit(0.0)), 4).alias("wape"),
         F.count("*").alias("n"),
     ]
@@ -48,6 +48,22 @@ def accuracy(df: DataFrame, by: Sequence[str], actual="actual", prediction="pred
     return finite(df, actual, prediction).groupBy(*by).agg(*accuracy_columns(actual, prediction))
 
 
+def accuracy_of_models(df: DataFrame, models: Sequence[str], by: Sequence[str], actual="actual") -> DataFrame:
+    """``accuracy`` of several prediction columns side by side: one row for each group and model, from one pass over wide rows."""
+    y = F.col(actual).cast("double")
+    usable = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
+    for m in models:
+        p = F.col(m).cast("double")
+        both = usable(y) & usable(p)
+        df = df.withColumns({f"_y_{m}": F.when(both, y), f"_p_{m}": F.when(both, p)})
+    tables = []
+    for m in models:
+        columns = accuracy_columns(f"_y_{m}", f"_p_{m}")[:-1]  # all but the count of rows
+        tables.append(F.struct(F.lit(m).alias("model"), *columns, F.count(f"_p_{m}").alias("n")))
+    made = df.groupBy(*by).agg(F.array(*tables).alias("_t")).select(*by, F.inline("_t"))
+    return made.where(F.col("n") > 0)
+
+
 def compact(df: DataFrame, by: Sequence[str], actual="actual", prediction="prediction") -> DataFrame:
     """Alternative table: floored predictions, R2, capped MAPE with epsilon, bias."""
     y = F.col(actual).cast("double")

@@ -4,23 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from demandloom.functions.quantiles import exact_quantiles
-from demandloom.functions.semantics import ratio, rnd
+from demandloom.functions.semantics import past, ratio, rnd, series
+from demandloom.functions.vocabulary import HORIZONS, SYNTHETIC, UCI, WEEKLY_LAGS, WEEKLY_SPANS, WEEKLY_WINDOWS
 from demandloom.operators import metrics
+from demandloom.operators.features import GRAIN
+from demandloom.operators.scenarios import MEMORY, State, terms
 from demandloom.session import cut_lineage, stored
 
 SEED = 42
+TREES = 150  # trees of a forest and iterations of a boosted model, unless a caller asks for fewer
 WEEKLY_NUMERIC = (
-    "lag_1", "lag_2", "lag_4", "lag_13", "rolling_mean_4", "rolling_std_4", "rolling_mean_13", "price_lag1", "sin_week", "cos_week",
+    *[f"lag_{k}" for k in WEEKLY_LAGS], *[f"rolling_{s}_{w}" for w in WEEKLY_WINDOWS for s in ("mean", "std", "min", "max")], *[f"ewm_{s}" for s in WEEKLY_SPANS],
+    "price_lag1", "promo_lag1", "week_of_year", "month", "quarter", "year", "sin_week", "cos_week", "sin_month", "cos_month",
 )
+HOLIDAY_NUMERIC = ("is_holiday_week", "holiday_count", "weeks_to_next_holiday", "weeks_since_last_holiday", "holiday_x_promo")
+WEEKLY_CATEGORICAL = ("season", "category", "sub_category", "brand")
 
 
 def chronological(df: DataFrame, order: str = "week") -> DataFrame:
@@ -35,13 +42,40 @@ def chronological(df: DataFrame, order: str = "week") -> DataFrame:
     return rows.withColumn("split", split).drop("lo", "hi").where(F.col("lag_1").isNotNull())
 
 
-def prepared(numeric: Sequence[str]) -> list:
-    """Median imputation fitted on training rows, and the feature vector."""
-    filled = [f"{c}_filled" for c in numeric]
-    return [
-        Imputer(strategy="median", inputCols=list(numeric), outputCols=filled),
-        VectorAssembler(inputCols=[*filled, *[f"{c}_missing" for c in numeric]], outputCol="features"),
-    ]
+class FeaturePreparer(Estimator):
+    """What features need to know of the training rows: medians, columns with gaps, shares of the levels of a category."""
+
+    def __init__(self, numeric: Sequence[str], categorical: Sequence[str] = ()):
+        super().__init__()
+        self.numeric, self.categorical = list(numeric), list(categorical)
+
+    def _fit(self, dataset: DataFrame) -> PreparedFeatures:
+        found = dataset.approxQuantile(self.numeric, [0.5], 0.001)
+        gaps = dataset.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in self.numeric], F.count("*").alias("_rows")).first()
+        shares = {}
+        for c in self.categorical:
+            levels = dataset.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias(f"_{c}_level")).agg((F.count("*") / gaps["_rows"]).alias(f"{c}_freq"))
+            shares[c] = stored(levels, "levels")
+        return PreparedFeatures(self.numeric, {c: (m[0] if m else 0.0) for c, m in zip(self.numeric, found)}, [c for c in self.numeric if gaps[c]], shares)
+
+
+class PreparedFeatures(Model):
+    """Medians in the gaps, a mark for each gap, and for a category the share of the training rows with its level (0: unseen or none)."""
+
+    def __init__(self, numeric: list[str], medians: dict[str, float], gaps: list[str], shares: dict[str, DataFrame]):
+        super().__init__()
+        self.numeric, self.medians, self.gaps, self.shares = numeric, medians, gaps, shares
+        self.names = [*numeric, *[f"{c}_missing" for c in gaps], *[f"{c}_freq" for c in shares]]
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        own = dataset.columns
+        rows = dataset.withColumns({f"_{n}": F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) for n, c in enumerate(self.numeric)})
+        rows = rows.withColumns({f"_gap_{c}": F.col(c).isNull().cast("double") for c in self.gaps})
+        for c, share in self.shares.items():
+            rows = rows.join(share.withColumnRenamed(f"{c}_freq", f"_share_{c}"), F.col(c).cast("string") == F.col(f"_{c}_level"), "left")
+        rows = rows.withColumns({f"_share_{c}": F.coalesce(f"_share_{c}", F.lit(0.0)) for c in self.shares})
+        inputs = [*[f"_{n}" for n in range(len(self.numeric))], *[f"_gap_{c}" for c in self.gaps], *[f"_share_{c}" for c in self.shares]]
+        return VectorAssembler(inputCols=inputs, outputCol="features").transform(rows).select(*own, "features")
 
 
 def with_indicators(df: DataFrame, numeric: Sequence[str], target: str = "units_sold") -> DataFrame:
@@ -50,13 +84,17 @@ def with_indicators(df: DataFrame, numeric: Sequence[str], target: str = "units_
     return df.withColumns({**missing, **cast, "label": F.col(target).cast("double")})
 
 
-def candidates(trees: int = 10, depth: int = 4) -> dict:
+def boosted(trees: int = TREES, depth: int = 5, step: float = 0.1) -> GBTRegressor:
+    return GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.8, seed=SEED)
+
+
+def candidates(trees: int = TREES, depth: int = 6) -> dict:
     args = {"featuresCol": "features", "labelCol": "label"}
     return {
-        "random_forest": RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=SEED, **args),
-        "gradient_boosting": GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=0.1, seed=SEED, **args),
+        "random_forest": RandomForestRegressor(numTrees=max(1, trees // 3), maxDepth=2 * depth, minInstancesPerNode=8, featureSubsetStrategy="sqrt", seed=SEED, **args),
+        "gradient_boosting": boosted(trees, depth),
         "linear": LinearRegression(regParam=0.1, **args),
-        "poisson": GeneralizedLinearRegression(family="poisson", link="log", regParam=1.0, maxIter=5, **args),
+        "poisson": GeneralizedLinearRegression(family="poisson", link="log", regParam=1.0, maxIter=25, **args),
     }
 
 
@@ -66,22 +104,22 @@ def nonnegative(c: str = "prediction") -> Column:
     return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))), 0.0).otherwise(F.greatest(F.lit(0.0), v))
 
 
-def fit(rows: DataFrame, numeric: Sequence[str], estimator) -> PipelineModel:
-    return Pipeline(stages=[*prepared(numeric), estimator]).fit(rows)
+def fit(rows: DataFrame, numeric: Sequence[str], estimator, categorical: Sequence[str] = ()) -> PipelineModel:
+    return Pipeline(stages=[FeaturePreparer(numeric, categorical), estimator]).fit(rows)
 
 
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     out = model.transform(rows).withColumn("prediction", nonnegative())
-    return out.drop("features", "rawPrediction", "probability", *[c for c in out.columns if c.endswith("_filled")])
+    return out.drop("features", "rawPrediction", "probability")
 
 
-def train_and_compare(rows: DataFrame, numeric: Sequence[str], models: Mapping | None = None) -> tuple[DataFrame, dict[str, PipelineModel]]:
+def train_and_compare(rows: DataFrame, numeric: Sequence[str], models: Mapping | None = None, categorical: Sequence[str] = ()) -> tuple[DataFrame, dict[str, PipelineModel]]:
     """Accuracy of every candidate on validation and test, ranked by validation."""
     rows = stored(with_indicators(rows, numeric), "training")
     train = rows.where("split = 'train'")
     fitted, parts = {}, []
     for name, estimator in (models or candidates()).items():
-        fitted[name] = fit(train, numeric, estimator)
+        fitted[name] = fit(train, numeric, estimator, categorical)
         parts.append(score(fitted[name], rows.where("split <> 'train'")).select("source_dataset", "split", "label", "prediction", F.lit(name).alias("model")))
     scored = parts[0]
     for part in parts[1:]:
@@ -91,14 +129,13 @@ def train_and_compare(rows: DataFrame, numeric: Sequence[str], models: Mapping |
     return table.withColumn("rank", F.row_number().over(order)), fitted
 
 
-def native_importance(model: PipelineModel, rows: DataFrame, numeric: Sequence[str]) -> DataFrame:
+def native_importance(model: PipelineModel, rows: DataFrame) -> DataFrame:
     values = [float(x) for x in model.stages[-1].featureImportances.toArray()]
-    names = [*numeric, *[f"{c}_missing" for c in numeric]]
-    table = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(v).alias("importance")) for n, v in zip(names, values)])
+    table = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(v).alias("importance")) for n, v in zip(model.stages[0].names, values, strict=True)])
     return rows.sparkSession.range(1).select(F.inline(table))
 
 
-def shuffled(rows: DataFrame, column: str, keys: Sequence[str], seed: int, buckets: int = 256) -> DataFrame:
+def shuffled(rows: DataFrame, column: str, keys: Sequence[str], seed: int, buckets: int) -> DataFrame:
     """The column moved to another random row.
 
     Rows get a random bucket and place from a hash of their key, and take the
@@ -114,21 +151,28 @@ def shuffled(rows: DataFrame, column: str, keys: Sequence[str], seed: int, bucke
     return placed.withColumn(column, moved).drop("_b", "_o")
 
 
-def permutation_importance(model: PipelineModel, rows: DataFrame, numeric: Sequence[str], keys: Sequence[str], repeats: int = 3) -> DataFrame:
-    """Mean rise of the absolute error when a feature is shuffled."""
-    rows = stored(rows, "permutation")
-    mae = lambda df: df.agg(F.avg(F.abs(F.col("label") - F.col("prediction"))).alias("m"))
-    base = mae(score(model, rows)).select("m").scalar()
-    out = None
-    for c in numeric:
-        for k in range(repeats):
-            part = mae(score(model, shuffled(rows, c, keys, SEED + k))).select(F.lit(c).alias("feature"), F.col("m"))
-            out = part if out is None else out.unionByName(part)
-    table = out.groupBy("feature").agg(F.avg("m").alias("m"), F.count("*").alias("repeats"))
-    return table.select("feature", rnd(F.col("m") - base, 6).alias("mae_increase"), "repeats")
-
+def permutation_importance(model: PipelineModel, rows: DataFrame, keys: Sequence[str], repeats: int = 3, bucket_rows: int = 4096) -> DataFrame:
+    """Mean rise of the absolute error when a feature is shuffled.
 
-def hurdle(rows: DataFrame, numeric: Sequence[str], thresholds: Sequence[float] = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)) -> DataFrame:
+    A repeat shuffles all features together, and a row stands once for each feature, with only that one moved: the model
+    is applied once to all of it.
+    """
+    rows = stored(rows, "permutation")
+    prepared = model.stages[0]
+    features = [*prepared.numeric, *prepared.shares]
+    buckets = max(1, rows.count() // bucket_rows)
+    base = score(model, rows).agg(F.avg(F.abs(F.col("label") - F.col("prediction"))).alias("m")).select("m").scalar()
+    parts = None
+    for k in range(repeats):
+        part = shuffled(rows.withColumn("_moved", F.struct(*features)), "_moved", keys, SEED + k, buckets)
+        parts = part if parts is None else parts.unionByName(part)
+    every = parts.withColumn("feature", F.explode(F.array(*map(F.lit, features))))
+    every = every.withColumns({c: F.when(F.col("feature") == c, F.col(f"_moved.{c}")).otherwise(F.col(c)) for c in features}).drop("_moved")
+    error = score(model, every).groupBy("feature").agg(F.avg(F.abs(F.col("label") - F.col("prediction"))).alias("m"))
+    return error.select("feature", rnd(F.col("m") - base, 6).alias("mae_increase"), F.lit(repeats).cast("long").alias("repeats"))
+
+
+def hurdle(rows: DataFrame, numeric: Sequence[str], thresholds: Sequence[float] = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8), trees: int = TREES) -> DataFrame:
     """Demand classifier times positive-demand regressor; threshold by validation WAPE.
 
     All thresholds of both periods are measured in one aggregate.
@@ -136,8 +180,8 @@ def hurdle(rows: DataFrame, numeric: Sequence[str], thresholds: Sequence[float]
     rows = stored(with_indicators(rows, numeric), "training")
     train = rows.where("split = 'train'")
     positive = rows.withColumn("label", (F.col("label") > 0).cast("double"))
-    clf = fit(positive.where("split = 'train'"), numeric, GBTClassifier(maxIter=5, maxDepth=4, seed=SEED))
-    reg = fit(train.where("label > 0"), numeric, GBTRegressor(maxIter=5, maxDepth=4, seed=SEED))
+    clf = fit(positive.where("split = 'train'"), numeric, GBTClassifier(maxIter=trees, maxDepth=5, subsamplingRate=0.8, seed=SEED))
+    reg = fit(train.where("label > 0"), numeric, boosted(trees))
     keys = ["source_dataset", "entity_id", "product_key", "date"]
     held = rows.where("split <> 'train'")
     proba = clf.transform(held).select(*keys, vector_to_array("probability")[1].alias("p"))
@@ -150,7 +194,7 @@ def hurdle(rows: DataFrame, numeric: Sequence[str], thresholds: Sequence[float]
     return table.withColumn("selected", F.col("threshold") == best)
 
 
-def direct_horizons(panel: DataFrame, numeric: Sequence[str], horizons: Sequence[int]) -> DataFrame:
+def direct_horizons(panel: DataFrame, numeric: Sequence[str], horizons: Sequence[int], trees: int = TREES) -> DataFrame:
     """One model per source and horizon on its own leakage-safe panel; test accuracy.
 
     A source without a complete training row at a horizon has no model there.
@@ -161,7 +205,7 @@ def direct_horizons(panel: DataFrame, numeric: Sequence[str], horizons: Sequence
     able = sorted((r.horizon, r.source_dataset) for r in complete.select("horizon", "source_dataset").distinct().collect() if r.horizon in horizons)
     for h, source in able:
         rows = with_indicators(panel.where((F.col("horizon") == h) & (F.col("source_dataset") == source)), numeric, "target")
-        model = fit(rows.where("role = 'train'"), numeric, GBTRegressor(maxIter=5, maxDepth=4, seed=SEED))
+        model = fit(rows.where("role = 'train'"), numeric, boosted(trees))
         part = metrics.accuracy(score(model, rows.where("role = 'test'")), ["source_dataset", "horizon"], "label", "prediction")
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -169,89 +213,146 @@ def direct_horizons(panel: DataFrame, numeric: Sequence[str], horizons: Sequence
     return out
 
 
-def conformal_intervals(predictions: DataFrame, by: Sequence[str] = ("source_dataset",), low: float = 0.1, high: float = 0.9) -> DataFrame:
-    """P10/P50/P90 of the test period from validation residuals of the group.
+def conformal_intervals(predictions: DataFrame, by: Sequence[str] = ("source_dataset",), low: float = 0.1, high: float = 0.9, within: Sequence[str] = (), least: int = 50) -> DataFrame:
+    """P10/P50/P90 of every scored row of validation and test, from validation residuals.
 
-    Bounds are non-negative and sorted.
+    ``within``: columns that cut a group ``by`` further (its regimes). Residuals are those of the row's own part of the group if
+    that has at least ``least`` of them, of the whole group otherwise; null parts are parts. Bounds are
+    non-negative and sorted; a group without any residual has null ones.
     """
+    by, within = list(by), list(within)
     residual = predictions.where("split = 'validation'").withColumn("_r", F.col("actual") - F.col("prediction"))
-    cuts = exact_quantiles(residual, "_r", [low, 0.5, high], by, ["_lo", "_mid", "_hi"]).drop("n")
-    test = predictions.where("split = 'test' AND prediction IS NOT NULL").join(F.broadcast(cuts), list(by))
+    whole = exact_quantiles(residual, "_r", [low, 0.5, high], by, ["_lo", "_mid", "_hi"]).drop("n")
+    rows = predictions.where("split IN ('validation', 'test') AND prediction IS NOT NULL").join(whole, by, "left")
+    cuts = {c: F.col(c) for c in ("_lo", "_mid", "_hi")}
+    if within:
+        own = exact_quantiles(residual, "_r", [low, 0.5, high], [*by, *within], ["_plo", "_pmid", "_phi"]).where(F.col("n") >= least).drop("n")
+        own = own.select(*[F.col(c).alias(f"_of_{c}") for c in [*by, *within]], "_plo", "_pmid", "_phi")
+        same = F.lit(True)
+        for c in [*by, *within]:
+            same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+        rows = rows.join(own, same, "left").drop(*[f"_of_{c}" for c in [*by, *within]])
+        cuts = {c: F.when(F.col("_pmid").isNotNull(), F.col(f"_p{c[1:]}")).otherwise(F.col(c)) for c in cuts}
     p = F.col("prediction")
-    sorted_ = F.array_sort(F.array(*[F.greatest(F.lit(0.0), p + F.col(c)) for c in ("_lo", "_mid", "_hi")]))
-    return test.withColumn("_q", sorted_).withColumns({
+    sorted_ = F.array_sort(F.array(*[F.when(c.isNotNull(), F.greatest(F.lit(0.0), p + c)) for c in cuts.values()]))
+    return rows.withColumn("_q", sorted_).withColumns({
         "lower_bound": F.col("_q")[0], "p50": F.col("_q")[1], "upper_bound": F.col("_q")[2]
-    }).drop("_q", "_lo", "_mid", "_hi")
+    }).drop("_q", "_lo", "_mid", "_hi", "_plo", "_pmid", "_phi")
 
 
-RECURSIVE = ("lag_1", "lag_2", "lag_4", "rolling_mean_4", "sin_week", "cos_week")
+def prediction_regimes(predictions: DataFrame, by: Sequence[str] = ("source_dataset",)) -> DataFrame:
+    """``predictions`` with ``regime``: zero, low, medium or high, by tertiles of the group's validation predictions above 0.
 
+    What a forecast says is known when it is made, unlike the demand that ``metrics.with_regime`` goes by.
+    """
+    known = predictions.where("split = 'validation' AND prediction > 0")
+    cuts = exact_quantiles(known, "prediction", [1 / 3, 2 / 3], list(by), ["_q1", "_q2"]).drop("n")
+    p = F.col("prediction")
+    regime = F.when(p == 0, "zero").when(p <= F.col("_q1"), "low").when(p <= F.col("_q2"), "medium").when(p.isNotNull(), "high")
+    return predictions.join(cuts, list(by), "left").withColumn("regime", regime).drop("_q1", "_q2")
 
-def recursive_features(history: Column, week: Column) -> dict[str, Column]:
-    """Features of the next week from the array of values known so far."""
-    at = lambda k: F.try_element_at(history, F.lit(-k))
-    last = F.slice(history, F.greatest(F.size(history) - 3, F.lit(1)), 4)
-    angle = F.weekofyear(week) * F.lit(2.0 * 3.141592653589793 / 52)
-    return {
-        "lag_1": at(1), "lag_2": at(2), "lag_4": at(4), "rolling_mean_4": F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / F.size(last),
-        "sin_week": F.sin(angle), "cos_week": F.cos(angle),
-    }
 
+STRIDES = {UCI: 5, SYNTHETIC: 7}  # test rows of a series from one origin to the next
+FUTURE = max(HORIZONS)
 
-def recursive(weekly: DataFrame, origins: int, horizon: int, cut_every: int = 5) -> DataFrame:
-    """Multi-step forecasts that feed each prediction back, for every series and origin.
 
-    The state is one row per (series, origin) holding its recent values. Each step
-    scores all rows at once; lineage is cut by a reliable checkpoint.
+def _state() -> dict[str, Column]:
+    """Features of a state: what ``scenarios.terms`` says of the last values and the day, and the price, frozen at the origin."""
+    found = terms(State(F.col("_values"), F.col("_day"), F.lit(0.0), F.lit(0)))
+    return {**{c: v for c, v in found.items() if c not in ("discount_pct", "promotion_flag")}, "price": F.col("_price")}
+
+
+def with_history(panel: DataFrame, keys: Sequence[str] = GRAIN) -> DataFrame:
+    """``panel`` (keys, date, units_sold, revenue) with the last values and the last known price before each row."""
+    w = series(keys)
+    price = F.when(F.col("units_sold") > 0, F.col("revenue") / F.col("units_sold"))
+    return panel.withColumns({
+        "_values": F.collect_list(F.col("units_sold").cast("double")).over(w.rowsBetween(-MEMORY, -1)),
+        "_price": F.last(price, ignorenulls=True).over(past(w)),
+    })
+
+
+def recursive_origins(panel: DataFrame, strides: Mapping[str, int] = STRIDES, keys: Sequence[str] = GRAIN) -> DataFrame:
+    """State of each (series, origin): the values before it, the price, and the rows that follow (at most FUTURE).
+
+    Origins are every so many test rows of a series; one needs a value before it and a row after its first step. Two
+    bounded frames over one sort: no series is gathered as a whole.
     """
-    keys = ["source_dataset", "product_key"]
-    packed = weekly.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("week", F.col("units_sold").cast("double").alias("y")))).alias("obs"))
-    long_enough = packed.where(F.size("obs") >= horizon + origins + 5)
-    cut = F.size("obs") - horizon - F.col("back")
-    state = long_enough.withColumn("back", F.explode(F.sequence(F.lit(0), F.lit(origins - 1)))).select(
-        *keys, "back", F.transform(F.slice("obs", 1, cut), lambda o: o["y"]).alias("known"),
-        F.slice("obs", cut + 1, horizon).alias("future"),
-    )
-    train_rows = long_enough.select(*keys, F.posexplode(F.slice("obs", 1, F.size("obs") - horizon - origins)).alias("i", "o"), "obs").where("i >= 4")
-    known = F.transform(F.slice("obs", 1, F.col("i")), lambda o: o["y"])
-    train = train_rows.withColumn("known", known).withColumns(recursive_features(F.col("known"), F.col("o.week"))).withColumn("units_sold", F.col("o.y"))
-    model = fit(stored(with_indicators(train.drop("obs", "known", "o"), RECURSIVE), "training"), RECURSIVE, GBTRegressor(maxIter=5, maxDepth=4, seed=SEED))
-    state = state.withColumn("known", F.slice("known", F.greatest(F.size("known") - 7, F.lit(1)), 8)).withColumn("made", F.array().cast("array<double>"))
-    for h in range(1, horizon + 1):
-        rows = state.withColumns(recursive_features(F.col("known"), F.get("future", F.lit(h - 1))["week"])).withColumn("units_sold", F.lit(0.0))
-        scored = score(model, with_indicators(rows, RECURSIVE))
-        state = scored.select(
-            *keys, "back", "future", F.concat("known", F.array("prediction")).alias("known"), F.concat("made", F.array("prediction")).alias("made"))
-        if h % cut_every == 0:
-            state = cut_lineage(state)
-    steps = state.select(*keys, "back", F.posexplode(F.arrays_zip("future", "made")).alias("i", "z"))
-    return steps.select(
-        *keys, "back", (F.col("i") + 1).alias("horizon"), F.col("z.future.week").alias("week"), F.col("z.future.y").alias("actual"), F.col("z.made").alias("prediction"))
-
-
-def fold_models(rows: DataFrame, folds: DataFrame, numeric: Sequence[str], count: int, estimator=None) -> DataFrame:
+    w = series(keys)
+    rows = with_history(panel, keys).withColumns({
+        "_future": F.collect_list(F.struct("date", F.col("units_sold").cast("double").alias("y"))).over(w.rowsBetween(0, FUTURE - 1)),
+        "_origin": F.lag("date", 1).over(w),
+        "_test": F.sum(F.when(F.col("split") == "test", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1,
+    })
+    chosen = (F.col("split") == "test") & (F.pmod(F.col("_test"), _by_source(strides)) == 0) & (F.size("_values") > 0) & (F.size("_future") > 1)
+    return rows.where(chosen).select(*keys, "_origin", "_values", "_price", "_future")
+
+
+def _by_source(values: Mapping[str, int]) -> Column:
+    out = F.lit(1)
+    for source, value in values.items():
+        out = F.when(F.col("source_dataset") == source, F.lit(value)).otherwise(out)
+    return out
+
+
+def recursive(panel: DataFrame, horizons: Sequence[int] = HORIZONS, strides: Mapping[str, int] = STRIDES, trees: int = TREES, cut_every: int = 5, keys: Sequence[str] = GRAIN) -> DataFrame:
+    """Forecasts that feed each prediction back, for every series and origin of the test period, at each of ``horizons``.
+
+    ``panel``: rows of one source with splits. The model learns from the training rows; a state holds the last MEMORY values, the
+    price as it was at the origin and the rows to come. A step scores all live states at once; a state lives as long as it
+    has rows to come. Lineage is cut by reliable checkpoints.
+    """
+    rows = with_history(panel, keys).where((F.col("split") == "train") & (F.size("_values") > 0)).withColumn("_day", F.col("date"))
+    train = stored(rows.select(*[c.alias(n) for n, c in _state().items()], "units_sold"), "training")
+    names = [c for c in train.columns if c != "units_sold"]
+    out = None
+    state = stored(recursive_origins(panel, strides, keys), "origins")
+    model = None if train.isEmpty() else fit(with_indicators(train, names), names, boosted(trees))
+    last_cut = 0
+    for h in range(1, max(horizons) + 1):
+        live = state.where(F.size("_future") >= h).withColumn("_day", F.get("_future", F.lit(h - 1))["date"])
+        if model is None:  # nothing to learn from
+            scored = live.withColumn("prediction", F.lit(0.0))
+        else:
+            scored = score(model, live.withColumns(_state()))
+        scored = scored.select(*keys, "_origin", "_price", "_future", "_values", "prediction")
+        if h in horizons or h - last_cut >= cut_every:
+            scored, last_cut = cut_lineage(scored), h
+        if h in horizons:
+            target = F.get("_future", F.lit(h - 1))
+            made = scored.select(*keys, F.col("_origin").alias("origin_date"), target["date"].alias("target_date"), F.lit(h).alias("horizon"), target["y"].alias("actual"), "prediction")
+            out = made if out is None else out.unionByName(made)
+        values = F.concat(F.slice("_values", F.greatest(F.size("_values") - MEMORY + 2, F.lit(1)), MEMORY - 1), F.array("prediction"))
+        state = scored.select(*keys, "_origin", "_price", "_future", values.alias("_values"))
+    return out
+
+
+def fold_models(rows: DataFrame, folds: DataFrame, numeric: Sequence[str], count: int, estimator=None, categorical: Sequence[str] = ()) -> DataFrame:
     """Retrain on every fold's past and score its validation period."""
     rows = stored(with_indicators(rows, numeric), "folds")
     out = None
     for k in range(count):
         spec = folds.where(F.col("fold") == k)
         part = rows.join(F.broadcast(spec), "source_dataset").where(F.col("week") <= F.col("val_end"))
-        model = fit(part.where(F.col("week") <= F.col("train_end")), numeric, estimator or GBTRegressor(maxIter=5, maxDepth=4, seed=SEED))
+        model = fit(part.where(F.col("week") <= F.col("train_end")), numeric, estimator or boosted(), categorical)
         scored = score(model, part.where(F.col("week") >= F.col("val_start"))).select("source_dataset", "product_key", "week", "fold", "label", "prediction")
         out = scored if out is None else out.unionByName(scored)
     return out
 
 
-CONFIGS = tuple({"maxIter": i, "maxDepth": d, "stepSize": s} for i in (4, 8) for d in (3, 5) for s in (0.1, 0.3))
+def grid(trees: int = TREES) -> list[dict]:
+    """Eight settings around a number of iterations."""
+    return [{"maxIter": i, "maxDepth": d, "stepSize": s} for i in (max(1, trees // 2), trees) for d in (3, 6) for s in (0.05, 0.1)]
 
 
-def tune(rows: DataFrame, numeric: Sequence[str], configs: Sequence[Mapping] = CONFIGS) -> DataFrame:
-    """Eight settings compared on the validation WAPE."""
+def tune(rows: DataFrame, numeric: Sequence[str], configs: Sequence[Mapping] | None = None, categorical: Sequence[str] = ()) -> DataFrame:
+    """Settings compared on the validation WAPE."""
+    configs = configs or grid()
     rows = stored(with_indicators(rows, numeric), "training")
     train, val = rows.where("split = 'train'"), rows.where("split = 'validation'")
     out = None
     for i, cfg in enumerate(configs):
-        model = fit(train, numeric, GBTRegressor(seed=SEED, **cfg))
+        model = fit(train, numeric, GBTRegressor(seed=SEED, **cfg), categorical)
         part = metrics.accuracy(score(model, val), ["source_dataset"], "label", "prediction").withColumns(
             {"config": F.lit(i), "max_iter": F.lit(cfg["maxIter"]), "max_depth": F.lit(cfg["maxDepth"]), "step_size": F.lit(cfg["stepSize"])})
         out = part if out is None else out.unionByName(part)
@@ -259,7 +360,7 @@ def tune(rows: DataFrame, numeric: Sequence[str], configs: Sequence[Mapping] = C
     return out.withColumn("rank", F.row_number().over(best))
 
 
-def weekly_candidate(features: DataFrame, backtest: DataFrame, numeric: Sequence[str], folds: int) -> DataFrame:
+def weekly_candidate(features: DataFrame, backtest: DataFrame, numeric: Sequence[str], folds: int, estimator=None, categorical: Sequence[str] = ()) -> DataFrame:
     """A model per fold replaces the candidate of the rolling-origin rows.
 
     A fold's model sees weeks up to its origin only, and its target weeks are
@@ -272,7 +373,7 @@ def weekly_candidate(features: DataFrame, backtest: DataFrame, numeric: Sequence
     for k in range(folds):
         spec = origins.where(F.col("fold") == k).select("source_dataset", "origin")
         past = features.join(F.broadcast(spec), "source_dataset").where(F.col("week") <= F.col("origin"))
-        model = fit(past.where(F.col("lag_1").isNotNull()), numeric, GBTRegressor(maxIter=5, maxDepth=4, seed=SEED))
+        model = fit(past.where(F.col("lag_1").isNotNull()), numeric, estimator or boosted(), categorical)
         newest = past.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in past.columns if c not in keys]), "week").alias("r")).select(*keys, "r.*")
         scored = score(model, newest).select(*keys, F.lit(k).alias("fold"), F.col("prediction").alias("model_forecast"))
         out = scored if out is None else out.unionByName(scored)
@@ -296,10 +397,10 @@ def flat_multi_step(model: PipelineModel, origin_rows: DataFrame, horizon: int =
         metrics.horizon_label(F.col("horizon"), horizon).alias("forecast_status"), F.lit(horizon).alias("supported_horizon"))
 
 
-def classify_probability(rows: DataFrame, numeric: Sequence[str]) -> DataFrame:
+def classify_probability(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
     """P(demand > 0) of held-out rows from a logistic model."""
     rows = stored(with_indicators(rows, numeric).withColumn("label", (F.col("units_sold") > 0).cast("double")), "training")
-    model = fit(rows.where("split = 'train'"), numeric, LogisticRegression(maxIter=10))
+    model = fit(rows.where("split = 'train'"), numeric, LogisticRegression(maxIter=50, regParam=1e-4), categorical)
     return model.transform(rows.where("split <> 'train'")).select("source_dataset", "split", "label", vector_to_array("probability")[1].alias("score"))
 
 

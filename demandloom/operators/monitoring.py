@@ -43,6 +43,13 @@ def two_sided_counts(expected: DataFrame, actual: DataFrame, by: Sequence[str],
     return stored(both.groupBy(*by, "_v").agg(F.sum("e").alias("e"), F.sum("a").alias("a")), "value-counts")
 
 
+def counts_of_sides(df: DataFrame, by: Sequence[str], value: str, expected: Column, actual: Column) -> DataFrame:
+    """``two_sided_counts`` of two parts of one table, read once; a row may be in both or in neither."""
+    rows = df.select(*by, F.col(value).cast("double").alias("_v"), F.coalesce(expected, F.lit(False)).alias("_e"), F.coalesce(actual, F.lit(False)).alias("_a"))
+    rows = rows.where((F.col("_e") | F.col("_a")) & F.col("_v").isNotNull() & ~F.isnan("_v"))
+    return stored(rows.groupBy(*by, "_v").agg(F.count_if("_e").alias("e"), F.count_if("_a").alias("a")), "value-counts")
+
+
 def psi(expected: DataFrame, actual: DataFrame, by: Sequence[str], value: str, bins: int = 10) -> DataFrame:
     """Population stability index per group over baseline decile edges."""
     return psi_of_counts(two_sided_counts(expected, actual, by, value), by, bins)
@@ -155,11 +162,17 @@ def drift_status(table: DataFrame) -> DataFrame:
     )
 
 
-def prediction_drift(current: DataFrame, baseline: DataFrame, column: str = "prediction", baseline_column: str = "prediction") -> DataFrame:
-    p, b = F.col(column).cast("double"), F.col(baseline_column).cast("double")
-    now = current.agg(F.avg(p).alias("m"), F.stddev_samp(p).alias("s"), (F.avg((p == 0).cast("double")) * 100.0).alias("z"))
-    then = baseline.agg(F.avg(b).alias("bm"), F.stddev_samp(b).alias("bs"))
-    row = now.withColumn("t", then.select(F.struct("bm", "bs").alias("x")).scalar()).select("m", "s", "z", "t.bm", "t.bs")
+def prediction_drift(current: DataFrame, baseline: DataFrame, column: str = "prediction", baseline_column: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
+    """Level, spread and quartiles of the newest predictions beside those before, per group, with the shifts found."""
+    by = list(by)
+    keys = by or ["_all"]
+    whole = lambda df, c: df.select(*[F.col(k) for k in by], *([] if by else [F.lit(1).alias("_all")]), F.col(c).cast("double").alias("p"))
+    rows = stored(whole(current, column), "predictions")
+    p = F.col("p")
+    now = rows.groupBy(*keys).agg(F.avg(p).alias("m"), F.stddev_samp(p).alias("s"), (F.avg((p == 0).cast("double")) * 100.0).alias("z"))
+    quarters = exact_quantiles(rows, "p", [0.25, 0.5, 0.75], keys, ["p25", "median", "p75"]).drop("n")
+    then = whole(baseline, baseline_column).groupBy(*keys).agg(F.avg(p).alias("bm"), F.stddev_samp(p).alias("bs"))
+    row = now.join(then, keys, "left").join(quarters, keys, "left")
     mean, std, bm, bs = rnd("m", 4), rnd("s", 4), rnd("bm", 4), rnd("bs", 4)
     shift = ratio(mean - bm, bm)
     flags = F.array_compact(F.array(
@@ -168,7 +181,8 @@ def prediction_drift(current: DataFrame, baseline: DataFrame, column: str = "pre
         F.when(F.col("z") > 50, "excessive_zero_forecasts"),
     ))
     return row.select(
-        mean.alias("mean"), std.alias("std"), rnd("z", 2).alias("zero_rate_pct"), bm.alias("baseline_mean"), bs.alias("baseline_std"),
+        *by, mean.alias("mean"), rnd("median", 4).alias("median"), std.alias("std"), rnd("z", 2).alias("zero_rate_pct"), rnd("p25", 4).alias("p25"), rnd("p75", 4).alias("p75"),
+        bm.alias("baseline_mean"), bs.alias("baseline_std"), rnd(F.when(bm > 0, shift) * 100.0, 1).alias("mean_shift_pct"),
         F.array_join(flags, ",").alias("shifts"), F.when(F.size(flags) > 0, "WARNING").otherwise("PASS").alias("overall_status"),
     )
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from demandloom.functions.quantiles import exact_quantiles
 from demandloom.functions.semantics import pct, ratio, rnd, series, to_long
 from demandloom.functions.vocabulary import SEGMENTS
+from demandloom.session import stored
 
 N = "*"
 
@@ -455,25 +456,38 @@ def feature_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def leakage_checks(features: DataFrame, keys: Sequence[str], lags: Sequence[int], windows: Sequence[int]) -> DataFrame:
     """Recompute lags and trailing means of *all* rows from row positions.
 
-    The recomputation goes through the ordered series array, not through the
-    window expressions under test.
+    Not through the window expressions under test: each row sends its value, and the sum of its series up to it, to
+    the positions that should know them, and what arrives at a position is compared with what stands there. A row
+    sends as many values as there are lags and windows, whatever the length of its series, and a series is spread over
+    its positions. Null keys are keys.
     """
-    packed = features.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-        "date", F.col("units_sold").cast("double").alias("y"), *[F.col(f"units_sold_lag_{k}").cast("double").alias(f"l{k}") for k in lags],
-        *[F.col(f"rolling_mean_{w}").alias(f"r{w}") for w in windows],
-    ))).alias("obs"))
-    at = lambda i: F.get("obs", i)
-    pos = packed.select("obs", F.posexplode("obs").alias("i", "o"))
-    i = F.col("i")
-    differs = lambda a, b: ~(a.eqNullSafe(b) | (F.abs(a - b) <= 1e-6))
-    rules = {"first_row_has_history": (i == 0) & F.col("o.l1").isNotNull()}
+    keys, w = list(keys), series(keys)
+    y = F.col("units_sold").cast("double")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = features.select(
+        *keys, (F.row_number().over(w) - 1).alias("_i"), y.alias("_y"), F.sum(F.coalesce(y, F.lit(0.0))).over(upto).alias("_s"),
+        *[F.col(f"units_sold_lag_{k}").cast("double").alias(f"l{k}") for k in lags], *[F.col(f"rolling_mean_{k}").alias(f"r{k}") for k in windows],
+    )
+    rows = stored(rows, "positions")
+    offsets = sorted({1, *lags, *[1 + k for k in windows]})
+    sent = rows.withColumn("_o", F.explode(F.array(*map(F.lit, offsets)))).select(*keys, (F.col("_i") + F.col("_o")).alias("_i"), "_o", F.col("_y").alias("_sent"), F.col("_s").alias("_sum"))
+    here = rows.select(*keys, "_i", F.lit(0).alias("_o"), *[c for c in rows.columns if c[0] in "lr" and c[1:].isdigit()])
+    at = here.unionByName(sent, allowMissingColumns=True)
+    own = [c for c in here.columns if c not in (*keys, "_i", "_o")]
+    pick = lambda c, o: F.max(F.when(F.col("_o") == o, F.col(c)))
+    met = at.groupBy(*keys, "_i").agg(
+        *[pick(c, 0).alias(c) for c in own], *[pick("_sent", k).alias(f"y{k}") for k in lags],
+        pick("_sum", 1).alias("s0"), *[pick("_sum", 1 + k).alias(f"s{k}") for k in windows], F.count_if(F.col("_o") == 0).alias("_here"),
+    ).where(F.col("_here") > 0)
+    i = F.col("_i")
+    differs = lambda a, b: F.coalesce(~(a.eqNullSafe(b) | (F.abs(a - b) <= 1e-6)), F.lit(True))
+    rules = {"first_row_has_history": (i == 0) & F.col(f"l{min(lags)}").isNotNull()}
     for k in lags:
-        rules[f"lag_{k}_mismatch"] = F.coalesce(differs(F.col(f"o.l{k}"), F.when(i >= k, at(i - k)["y"])), F.lit(True))
-    for w in windows:
-        prior = F.slice(F.col("obs"), F.greatest(i - w, F.lit(0)) + 1, F.least(i, F.lit(w)))
-        mean = F.aggregate(prior, F.lit(0.0), lambda a, x: a + x["y"]) / F.nullif(F.least(i, F.lit(w)), F.lit(0))
-        rules[f"rolling_mean_{w}_mismatch"] = F.coalesce(differs(F.col(f"o.r{w}"), mean), F.lit(True))
-    row = pos.agg(F.count(N).alias("rows"), *[F.count_if(c).alias(n) for n, c in rules.items()])
+        rules[f"lag_{k}_mismatch"] = differs(F.col(f"l{k}"), F.col(f"y{k}"))
+    for k in windows:
+        mean = (F.col("s0") - F.coalesce(f"s{k}", F.lit(0.0))) / F.nullif(F.least(i, F.lit(k)), F.lit(0))
+        rules[f"rolling_mean_{k}_mismatch"] = differs(F.col(f"r{k}"), mean)
+    row = met.agg(F.count(N).alias("rows"), *[F.count_if(c).alias(n) for n, c in rules.items()])
     return _stack(row, {n: ["rows", n] for n in rules}, ["rows_checked", "violations"], "check")
 
 
@@ -519,7 +533,9 @@ def validate_records(records: DataFrame, keys: Sequence[str], features: str = "f
     """
     names = F.map_keys(features)
     values = F.transform(F.map_values(features), lambda v: F.lower(F.trim(v)))
-    bad_path = lambda c: F.col(c).contains("..") | F.lower(F.col(c)).rlike(r"\.(joblib|pkl)$") | (F.trim(F.col(c)) == "")
+    folder = lambda c: F.replace(F.lower(F.col(c)), F.lit("\\"), F.lit("/")).contains("models/final")
+    bad_path = lambda c: F.col(c).contains("..") | F.col(c).contains("\0") | F.lower(F.col(c)).rlike(r"\.(joblib|pkl)$") | folder(c) | (F.trim(F.col(c)) == "")
+    no_day = F.exists(F.map_entries(features), lambda e: e["key"].startswith("hcal_") & e["value"].isNull())
     negative = reduce(lambda a, b: a | b, [F.coalesce(F.element_at(features, c).try_cast("double") < 0, F.lit(False)) for c in NON_NEGATIVE])
     copies = records.groupBy(*keys).agg(F.count(N).alias("_copies"))
     rows = records.join(copies, list(keys), "left")
@@ -529,7 +545,7 @@ def validate_records(records: DataFrame, keys: Sequence[str], features: str = "f
         .when(F.exists(values, lambda v: v.isin(*NON_FINITE)), "non_finite_value")
         .when(F.exists(values, lambda v: v.startswith("{") | v.startswith("[")), "nested_value")
         .when(negative, "negative_value").when(F.element_at(features, "units_sold_lag_1").isNull(), "missing_lag_1")
-        .when(bad_path("entity_id") | bad_path("product_key"), "invalid_key").when(F.col("date").isNull(), "invalid_date")
+        .when(no_day, "missing_calendar").when(bad_path("entity_id") | bad_path("product_key"), "invalid_key").when(F.col("date").isNull(), "invalid_date")
         .when(F.col("_copies") > 1, "duplicate_key")
     )
     return rows.withColumn("reason", reason).drop("_copies")

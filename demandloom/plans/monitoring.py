@@ -8,6 +8,7 @@ from demandloom.operators import features, metrics, monitoring, quality, risk, s
 from demandloom.plans.forecasts import EXT, OK, PAIR, REGIME, ZERO, acc
 from demandloom.plans.registry import query
 from demandloom.plans.sqltext import big, ci, r
+from demandloom.session import stored
 from demandloom.sources import files
 from demandloom.streaming import admission, requests
 
@@ -50,9 +51,11 @@ def ks_sql(ref, cur, by):
   FROM d WINDOW x AS (PARTITION BY {keys} ORDER BY v ROWS UNBOUNDED PRECEDING)), k AS (SELECT {keys}, CASE WHEN max(ne) >= 20 AND max(na) >= 20 THEN max(abs(fe - fa)) END AS ks FROM w GROUP BY {keys})"""
 
 
-def _long(t, split):
-    rows = t.baseline_predictions.where(F.col("split") == split)
-    return rows.select("source_dataset", *[rnd(f, 6).alias(f) for f in FEATURES]).unpivot(["source_dataset"], FEATURES, "feature", "v")
+def _sides(t):
+    """Value counts of training and test rows, from one reading of the predictions."""
+    rows = t.baseline_predictions.where(F.col("split").isin("train", "test")).select("source_dataset", "split", *[rnd(f, 6).alias(f) for f in FEATURES])
+    long = rows.unpivot(["source_dataset", "split"], FEATURES, "feature", "v")
+    return monitoring.counts_of_sides(long, BY, "v", F.col("split") == "train", F.col("split") == "test")
 
 
 SIDES = f"l AS ({LONG}), ref AS (SELECT * FROM l WHERE split = 'train'), cur AS (SELECT * FROM l WHERE split = 'test')"
@@ -61,12 +64,12 @@ BY = ["source_dataset", "feature"]
 
 @query("n2_population_stability", f"WITH {SIDES}, {psi_sql('ref', 'cur', BY)} SELECT source_dataset, feature, n_expected, n_actual, {r('psi', 6)} AS psi FROM p")
 def n2(t):
-    return monitoring.psi(_long(t, "train"), _long(t, "test"), BY, "v").withColumn("psi", rnd("psi", 6))
+    return monitoring.psi_of_counts(_sides(t), BY).withColumn("psi", rnd("psi", 6))
 
 
 @query("n3_ks_statistic", f"WITH {SIDES}, {ks_sql('ref', 'cur', BY)} SELECT source_dataset, feature, {r('ks', 6)} AS ks FROM k")
 def n3(t):
-    return monitoring.ks(_long(t, "train"), _long(t, "test"), BY, "v").withColumn("ks", rnd("ks", 6))
+    return monitoring.ks_of_counts(_sides(t), BY).withColumn("ks", rnd("ks", 6))
 
 
 def _moments(side, rel):
@@ -77,7 +80,7 @@ def _moments(side, rel):
 WITH {SIDES}, {psi_sql('ref', 'cur', ['feature'])}, {ks_sql('ref', 'cur', ['feature'])} SELECT a.*, cur_mean, cur_std, {r('psi', 4)} AS psi, {r('ks', 4)} AS ks
 FROM {_moments('ref', 'ref')} a LEFT JOIN {_moments('cur', 'cur')} c ON a.feature = c.feature LEFT JOIN p ON a.feature = p.feature LEFT JOIN k ON a.feature = k.feature""")
 def n4(t):
-    rows = t.baseline_predictions.withColumns({f: rnd(f, 6) for f in FEATURES})
+    rows = stored(t.baseline_predictions.select("split", *[rnd(f, 6).alias(f) for f in FEATURES]), "drift")
     return monitoring.drift_table(rows.where("split = 'train'"), rows.where("split = 'test'"), FEATURES)
 
 
@@ -87,9 +90,9 @@ def n5(t):
     return metrics.finite(t.forecast_rows, "actual", "prediction").groupBy("source_dataset", "horizon", "entity_id").agg(*cols)
 
 
-@query("n5_accuracy_by_regime", f"WITH {REGIME} SELECT source_dataset, regime, {EXT} FROM g WHERE {OK} GROUP BY 1, 2")
+@query("n5_accuracy_by_regime", f"WITH {REGIME.replace(' AND horizon = 1', '').replace(' WHERE horizon = 1', '')} SELECT source_dataset, regime, {EXT} FROM g WHERE {OK} GROUP BY 1, 2")
 def n5b(t):
-    rows = metrics.with_regime(t.forecast_rows.where("horizon = 1"))
+    rows = metrics.with_regime(t.forecast_rows)
     return metrics.finite(rows, "actual", "prediction").groupBy("source_dataset", "regime").agg(
         *metrics.accuracy_columns("actual", "prediction"), *metrics.extended_columns("actual", "prediction"))
 
@@ -152,17 +155,21 @@ def n7b(t):
     return monitoring.drift_status(monitoring.data_drift(_weekly_features(t), WEEK_FEATURES))
 
 
-def prediction_sql(cur, base):
-    return f"""n AS (SELECT {r('avg(v)', 4)} AS m, {r('stddev_samp(v)', 4)} AS s, avg(CASE WHEN v = 0 THEN 1 ELSE 0 END) * 100 AS z FROM {cur}), b AS (SELECT {r('avg(v)', 4)} AS bm, {r('stddev_samp(v)', 4)} AS bs FROM {base}),
- f AS (SELECT *, concat_ws(',', CASE WHEN bm > 0 AND abs((m - bm) / bm) > 0.3 THEN 'mean_shift' END, CASE WHEN bs > 0 AND s / bs > 2 THEN 'variance_explosion' END, CASE WHEN z > 50 THEN 'excessive_zero_forecasts' END) AS shifts FROM n, b)
-SELECT m AS mean, s AS std, {r('z', 2)} AS zero_rate_pct, bm AS baseline_mean, bs AS baseline_std, shifts, CASE WHEN shifts <> '' THEN 'WARNING' ELSE 'PASS' END AS overall_status FROM f"""
+NEWEST = "(SELECT source_dataset, max(fold) AS newest FROM backtest GROUP BY 1)"
 
 
 @query("n8_prediction_drift", f"""
-WITH {prediction_sql("(SELECT candidate_forecast AS v FROM backtest WHERE source_dataset = 'UCI' AND fold = 4)", "(SELECT candidate_forecast AS v FROM backtest WHERE source_dataset = 'UCI' AND fold < 4)")}""")
+WITH x AS (SELECT b.source_dataset, candidate_forecast AS v, fold = newest AS now FROM backtest b JOIN {NEWEST} m ON b.source_dataset = m.source_dataset),
+ n AS (SELECT source_dataset, {r('avg(v)', 4)} AS m, {r('stddev_samp(v)', 4)} AS s, avg(CASE WHEN v = 0 THEN 1 ELSE 0 END) * 100 AS z, {r('quantile_cont(v, 0.25)', 4)} AS p25, {r('quantile_cont(v, 0.5)', 4)} AS median, {r('quantile_cont(v, 0.75)', 4)} AS p75 FROM x WHERE now GROUP BY 1),
+ b AS (SELECT source_dataset, {r('avg(v)', 4)} AS bm, {r('stddev_samp(v)', 4)} AS bs FROM x WHERE NOT now GROUP BY 1),
+ f AS (SELECT n.*, bm, bs, concat_ws(',', CASE WHEN bm > 0 AND abs((m - bm) / bm) > 0.3 THEN 'mean_shift' END, CASE WHEN bs > 0 AND s / bs > 2 THEN 'variance_explosion' END, CASE WHEN z > 50 THEN 'excessive_zero_forecasts' END) AS shifts FROM n LEFT JOIN b ON n.source_dataset = b.source_dataset)
+SELECT source_dataset, m AS mean, median, s AS std, {r('z', 2)} AS zero_rate_pct, p25, p75, bm AS baseline_mean, bs AS baseline_std, {r('CASE WHEN bm > 0 THEN (m - bm) / bm * 100 END', 1)} AS mean_shift_pct, shifts, CASE WHEN shifts <> '' THEN 'WARNING' ELSE 'PASS' END AS overall_status FROM f""")
 def n8(t):
-    newest = t.backtest.where("source_dataset = 'UCI' AND fold = 4")
-    return monitoring.prediction_drift(newest, t.backtest.where("source_dataset = 'UCI' AND fold < 4"), "candidate_forecast", "candidate_forecast")
+    """The newest fold of each source beside the folds before."""
+    rows = stored(t.backtest, "backtest")
+    newest = rows.groupBy("source_dataset").agg(F.max("fold").alias("newest"))
+    rows = rows.join(newest, "source_dataset")
+    return monitoring.prediction_drift(rows.where("fold = newest"), rows.where("fold < newest"), "candidate_forecast", "candidate_forecast", ["source_dataset"])
 
 
 @query("n9_forecast_performance", f"""
@@ -317,3 +324,13 @@ def t3(t):
 def t3s(t):
     stream = requests.audit_records(requests.event_stream(t.spark, t.folder))
     return _audit(requests.run_available(stream, requests.stream_folder(t.spark, "audit")))
+
+
+# the sensitive value stands one to five levels deep, as an object, a list or a text
+@query("t3_nested_redaction", """
+SELECT event_id, concat(repeat('{"a":', d), '{"password":"[REDACTED]","k":', CAST(event_id AS VARCHAR), '}', repeat('}', d)) AS record FROM (SELECT event_id, CAST(event_id % 5 AS INTEGER) AS d FROM events) e""")
+def t3_nested(t):
+    deep = (F.col("event_id") % 5).cast("int")
+    value = F.when(F.col("event_id") % 3 == 0, F.lit('{"v":{"w":[1,{"x":2}]}}')).when(F.col("event_id") % 3 == 1, F.lit("[[1],[2,[3]]]")).otherwise(F.lit('"secret"'))
+    text = F.concat(F.repeat(F.lit('{"a":'), deep), F.lit('{"password":'), value, F.lit(',"k":'), F.col("event_id").cast("string"), F.lit("}"), F.repeat(F.lit("}"), deep))
+    return t.table("events").select("event_id", requests.redact(text, F.lit("{}")).alias("record"))

@@ -351,6 +351,18 @@ def q27(t):
     return quality.leakage_checks(_daily(t), features.GRAIN, DAILY_LAGS, DAILY_WINDOWS)
 
 
+POS = "SELECT *, row_number() OVER (PARTITION BY source_dataset, entity_id, product_key ORDER BY date) AS pos FROM fact_sales"
+
+
+@query("q27_planted_leaks", f"SELECT 'first_row_has_history' AS \"check\", (SELECT count(*) FROM fact_sales) AS rows_checked, (SELECT {ci('day(date) = 1 AND pos = 1')} FROM ({POS}) x) AS violations UNION ALL " + " UNION ALL ".join(
+    f"SELECT '{c}', (SELECT count(*) FROM fact_sales), (SELECT {ci(f'day(date) = {n + 1}')} FROM fact_sales)" for n, c in enumerate(CHECKS[1:])))
+def q27_planted(t):
+    """The same checks with a wrong value planted in each column on another day of the month: every rule finds its own."""
+    planted = [*[f"units_sold_lag_{k}" for k in DAILY_LAGS], *[f"rolling_mean_{w}" for w in DAILY_WINDOWS]]
+    rows = _daily(t).withColumns({c: F.when(F.day("date") == n + 1, F.lit(-999.5)).otherwise(F.col(c).cast("double")) for n, c in enumerate(planted)})
+    return quality.leakage_checks(rows, features.GRAIN, DAILY_LAGS, DAILY_WINDOWS)
+
+
 @query("q27_split_order", """
 SELECT source_dataset, train_end, val_start, val_end, test_start, train_end < val_start AND val_end < test_start AS ordered FROM (
  SELECT source_dataset, max(CASE WHEN split = 'train' THEN date END) AS train_end, min(CASE WHEN split = 'validation' THEN date END) AS val_start,

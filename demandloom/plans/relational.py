@@ -90,6 +90,15 @@ def a11(t):
     return files.manifest(t.spark, t.folder, "*.parquet").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "size", "lines", "content")
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query("a11_table_inventory", " UNION ALL ".join(f"SELECT '{n}.parquet' AS dataset, count(*) AS rows, CAST((SELECT count(*) FROM (DESCRIBE SELECT * FROM {n}) d) AS INTEGER) AS columns FROM {n}" for n in TABLES))
+def a11_inventory(t):
+    found = files.inventory(t.spark, t.folder).where("format = 'parquet'")
+    return found.groupBy("dataset").agg(F.sum("rows").alias("rows"), F.max("columns").alias("columns"))
+
+
 @query("a12_rename", "SELECT n_nationkey AS nation_id, n_name AS nation FROM nation")
 def a12(t):
     return t.table("nation").withColumnsRenamed({"n_nationkey": "nation_id", "n_name": "nation"}).select("nation_id", "nation")

@@ -1,12 +1,16 @@
 """Risk, reporting-extract and forecast roll-up queries."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from demandloom.functions.semantics import rnd
+from demandloom.functions.vocabulary import REVIEWS
 from demandloom.operators import bi, metrics, risk
 from demandloom.plans.registry import query
 from demandloom.plans.sqltext import big, ci, r
 from demandloom.plans.views import scored
+from demandloom.session import shared_dir, stored
 from demandloom.streaming import requests
 
 R1 = ["store_id", "sku_id", "ending_inventory", "on_order_qty", "total_recent_units", "lead_time_days", "reorder_point", "safety_stock", "stockout_risk_score", "stockout_risk_level",
@@ -189,21 +193,63 @@ def i5(t):
     return v.select("store_id", "sku_id", "risk_matrix_cell", "demand_rank_label", "growth_class", *[rnd(c, 6).alias(c) for c in ("demand_share", "growth_rate", "relative_interval_width")])
 
 
+_RULES = (
+    ("stockout", "stockout_risk_level = 'CRITICAL / HIGH'", "concat('stockout_risk_level=', stockout_risk_level, '; ending_inventory=', CAST(ending_inventory AS VARCHAR))"),
+    ("overstock", "overstock_risk_level <> 'OPTIMAL'", "concat('overstock_risk_level=', overstock_risk_level, '; days_of_supply=', COALESCE(printf('%.4f', CAST(days_of_supply AS DOUBLE)), 'NOT AVAILABLE'))"),
+    ("reorder", "reorder_triggered", "concat('reorder_triggered=True; reorder_point=', CAST(reorder_point AS VARCHAR))"),
+    ("uncertainty", "relative_interval_width >= 0.5", "concat('relative_interval_width=', printf('%.4f', relative_interval_width), '; threshold=0.5')"),
+    ("growth", "growth_class = 'Growing'", "concat('growth_class=Growing; growth_rate=', COALESCE(printf('%.4f', growth_rate), 'NOT AVAILABLE'))"),
+    ("matrix", "risk_matrix_cell = 'Critical Review'", "concat('risk_matrix_cell=', risk_matrix_cell)"),
+    ("none", "TRUE", "concat('stockout=', stockout_risk_level, '; overstock=', overstock_risk_level, '; cell=', risk_matrix_cell)"),
+)
+
+
+def _case(of):
+    return "CASE " + " ".join(f"WHEN {holds} THEN {of(name, evidence)}" for name, holds, evidence in _RULES) + " END"
+
+
+def _word(k):
+    return lambda name, _: "replace('{}', '{{}}', overstock_risk_level)".format(REVIEWS[name][k])
+
+
 @query("i6_recommendations", f"""
-WITH {VIEW} SELECT store_id, sku_id, CASE WHEN stockout_risk_level = 'CRITICAL / HIGH' THEN 1 WHEN overstock_risk_level <> 'OPTIMAL' OR reorder_triggered THEN 2 WHEN relative_interval_width >= 0.5 OR growth_class = 'Growing' THEN 3 WHEN risk_matrix_cell = 'Critical Review' THEN 2 ELSE 4 END AS priority,
- CASE WHEN stockout_risk_level = 'CRITICAL / HIGH' THEN 'Review replenishment' WHEN overstock_risk_level <> 'OPTIMAL' THEN 'Review inventory exposure' WHEN reorder_triggered THEN 'Review replenishment' WHEN relative_interval_width >= 0.5 THEN 'Review forecast uncertainty'
-  WHEN growth_class = 'Growing' THEN 'Monitor demand growth' WHEN risk_matrix_cell = 'Critical Review' THEN 'Review replenishment' ELSE 'No exceptional intervention indicated' END AS recommended_review,
- CASE WHEN stockout_risk_level = 'CRITICAL / HIGH' THEN concat('stockout_risk_level=CRITICAL / HIGH; ending_inventory=', CAST(ending_inventory AS VARCHAR)) WHEN overstock_risk_level <> 'OPTIMAL' THEN concat('overstock_risk_level=', overstock_risk_level)
-  WHEN reorder_triggered THEN concat('reorder_triggered=True; reorder_point=', CAST(reorder_point AS VARCHAR)) WHEN relative_interval_width >= 0.5 THEN 'threshold=0.5' WHEN growth_class = 'Growing' THEN 'growth_class=Growing'
-  WHEN risk_matrix_cell = 'Critical Review' THEN 'risk_matrix_cell=Critical Review' ELSE concat('stockout=', stockout_risk_level, '; overstock=', overstock_risk_level, '; cell=', risk_matrix_cell) END AS evidence, FALSE AS autonomous_decision FROM x""")
+WITH {VIEW} SELECT store_id, sku_id, {_case(lambda name, _: REVIEWS[name][0])} AS priority, {_case(_word(1))} AS recommended_review, {_case(_word(2))} AS reason,
+ {_case(lambda _, evidence: evidence)} AS evidence, {_case(_word(3))} AS confidence_limitation, FALSE AS autonomous_decision FROM x""")
 def i6(t):
-    return bi.recommendations(bi.inventory_view(t.risk_matrix, bi.product_growth(t.forecast_rows))).drop("reason")
+    return bi.recommendations(bi.inventory_view(t.risk_matrix, bi.product_growth(t.forecast_rows)))
 
 
-@query("i7_schema_issues", "SELECT 'forecast_performance' AS extract, 8 AS required, '' AS missing_columns, FALSE AS is_empty, TRUE AS ok UNION ALL SELECT 'inventory_risk', 4, 'risk_matrix_cell', FALSE, FALSE")
+def _bundle(t):
+    """Tables of the bundle, written under one version and read again."""
+    forecasts, risk_rows = stored(t.forecast_rows, "forecasts"), stored(t.risk_matrix, "risk")
+    accuracy = forecasts.withColumn("_all", F.lit(1)).groupBy("_all").agg(*metrics.accuracy_columns("actual", "prediction"), *metrics.extended_columns("actual", "prediction"))
+    alerts = risk_rows.where("stockout_risk_level = 'CRITICAL / HIGH'")
+    health = bi.health_row(t.daily_units, forecasts, t.table("events"), alerts)
+    made = bi.extracts(risk_rows, accuracy, requests.totals(t.table("events")), forecasts, health)
+    folder = f"{shared_dir(t.spark)}/bundles/{uuid4().hex}"
+    row, found = bi.read_bundle(t.spark, folder, bi.write_bundle(made, folder))
+    return made, row, found
+
+
+SIZES = {
+    "executive_kpis": "1", "product_demand": "(SELECT count(*) FROM risk_matrix)", "forecast_performance": f"(SELECT count(*) FROM ({DAILY}) d)", "inventory_risk": "(SELECT count(*) FROM risk_matrix)",
+    "recommendations": "(SELECT count(*) FROM risk_matrix)", "system_health": "1",
+    "seasonality": f"(SELECT count(DISTINCT (source_dataset, horizon, month(forecast_date))) + count(DISTINCT (source_dataset, horizon, isodow(forecast_date))) + count(DISTINCT source_dataset) FROM ({DAILY}) d)",
+}
+
+
+@query("i7_schema_issues", " UNION ALL ".join(f"SELECT '{name}' AS extract, '' AS missing_columns, {big(n)} AS rows, {n} = 0 AS is_empty, {n} > 0 AS ok" for name, n in SIZES.items()))
 def i7(t):
-    tables = {"forecast_performance": bi.daily_performance(t.forecast_rows), "inventory_risk": t.risk_matrix}
-    return bi.schema_issues(tables, {k: bi.EXTRACT_COLUMNS[k] for k in tables})
+    """Every extract of a committed bundle, checked on its written files."""
+    made, row, found = _bundle(t)
+    return bi.schema_issues(found, {name: df.columns for name, df in made.items()}, {x.extract: x.rows for x in row.extracts}).drop("required")
+
+
+@query("i7_system_health", f"""
+SELECT (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem) AS data_as_of, (SELECT count(*) FROM sales_daily) AS n_sales_rows, (SELECT max(origin_date) FROM forecast_rows) AS forecast_generated, (SELECT count(*) FROM forecast_rows) AS n_forecast_rows,
+ CAST(0 AS BIGINT) AS n_missing_predictions, (SELECT max(ts) FROM events) AS monitoring_snapshot, (SELECT count(*) FROM risk_matrix WHERE stockout_risk_level = 'CRITICAL / HIGH') AS n_alerts, FALSE AS live_data, 'disabled' AS retraining""")
+def i7_health(t):
+    return _bundle(t)[2]["system_health"]
 
 
 @query("i10_forecast_rollups", f"""

@@ -75,6 +75,29 @@ def manifest(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     return sizes.withColumn("at", plain).join(hashed.select(plain.alias("at"), "lines", "content"), "at", "left").select("path", "size", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("content", F.lit("0")).alias("content"))
 
 
+def inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """dataset, file, format, columns, rows, bytes of every parquet and csv file below ``folder``.
+
+    A dataset is an entry of the folder, a file or a folder of files of one schema. Rows are counted where the files are: from
+    the footers of parquet, and by splitting csv (with a header) over tasks. One small plan per dataset, not per file.
+    """
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("bytes"))
+    root = re.sub(r"^file:/+", "/", folder).rstrip("/")
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    sizes = sizes.select(plain.alias("path"), "bytes").withColumn("dataset", F.regexp_extract(F.substring("path", len(root) + 2, 1 << 20), r"^([^/]+)", 1))
+    kind = F.lower(F.regexp_extract("path", r"[.](parquet|csv)$", 1))
+    sizes = sizes.withColumn("format", kind).where("format <> ''")
+    out = None
+    for dataset, fmt in sorted((r.dataset, r.format) for r in sizes.select("dataset", "format").distinct().collect()):
+        reader = spark.read.format(fmt).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{fmt}")
+        rows = (reader.option("header", True) if fmt == "csv" else reader).load(f"{folder}/{dataset}")
+        counted = rows.groupBy(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("at")).agg(F.count("*").alias("rows"))
+        files = sizes.where((F.col("dataset") == dataset) & (F.col("format") == fmt))
+        part = files.join(counted, F.col("path") == F.col("at"), "left").select("dataset", F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "format", F.lit(len(rows.columns)).alias("columns"), F.coalesce("rows", F.lit(0)).alias("rows"), "bytes")
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], "dataset string, file string, format string, columns int, rows long, bytes long") if out is None else out
+
+
 def fingerprint(df: DataFrame, parts: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """Rows and an order-free content hash per partition value, computed where the rows are."""
     columns = list(columns or [c for c in df.columns if c not in parts])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from demandloom.functions.semantics import week_start
 from demandloom.functions.vocabulary import HORIZONS
 from demandloom.operators import backtest, baselines, cleaning, features, risk, star
+from demandloom.session import stored
 
 # (name, month, ISO weekday or None, first day, last day): a weekday within a week of days is its nth of the month
 HOLIDAYS = (
@@ -25,7 +26,7 @@ HOLIDAYS = (
 
 
 class Retail:
-    """Every table is a plan; nothing is read until a query is run."""
+    """Tables of one query. The raw ones and the panel are written once when first asked for, as sources would be; all others are plans."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -50,7 +51,7 @@ class Retail:
         adjusted = (F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 7) & (F.col("l_tax") >= 0.07)
         returned = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
         copies = F.when(F.col("l_partkey") % 31 == 0, 2).otherwise(1)
-        return rows.select(
+        made = rows.select(
             F.when(cancelled, F.concat(F.lit("C"), order_id)).when(adjusted, F.concat(F.lit("A"), order_id))
             .otherwise(order_id).alias("invoice"),
             F.col("l_partkey").cast("string").alias("stock_code"),
@@ -66,6 +67,7 @@ class Retail:
             F.col("n_name").alias("country"),
             F.explode(F.sequence(F.lit(1), copies)).alias("_copy"),
         ).drop("_copy")
+        return stored(made, "retail-log")
 
     @cached_property
     def store_master(self) -> DataFrame:
@@ -121,7 +123,7 @@ class Retail:
         """Store x SKU x day; one shuffle on the grain after the part lookup."""
         line, orders, part = self.table("lineitem"), self.table("orders"), self.table("part")
         net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-        return (
+        made = (
             line.join(part, F.col("l_partkey") == F.col("p_partkey"))
             .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .groupBy(
@@ -137,13 +139,14 @@ class Retail:
                 F.max(F.when(F.col("l_discount") >= 0.08, 1).otherwise(0)).alias("promotion_flag"),
             )
         )
+        return stored(made, "sales-daily")
 
     @cached_property
     def daily_units(self) -> DataFrame:
         """Store x SKU x day measures that need no order lookup."""
         line, part = self.table("lineitem"), self.table("part")
         net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-        return (
+        made = (
             line.join(part, F.col("l_partkey") == F.col("p_partkey"))
             .groupBy(
                 F.col("l_shipdate").cast("date").alias("date"),
@@ -156,6 +159,7 @@ class Retail:
                 (1 - F.sum(net) / F.nullif(F.sum("l_extendedprice"), F.lit(0.0))).alias("discount_pct"),
             )
         )
+        return stored(made, "daily-units")
 
     @cached_property
     def date_span(self) -> DataFrame:
@@ -270,7 +274,7 @@ class Retail:
             F.col("units_sold").cast("double").alias("units_sold"), F.col("total_revenue").alias("revenue"),
         )
         online = star.online_sales(self.clean_lines).select(*keep[:4], F.col("units_sold").cast("double"), "revenue")
-        return features.time_split(syn.unionByName(online))
+        return features.time_split(stored(syn.unionByName(online), "panel"))
 
     @cached_property
     def baseline_predictions(self) -> DataFrame:

@@ -157,11 +157,11 @@ def test_optional_filters_skip_absent_columns(spark):
 def test_record_validation_reasons(spark):
     ok = {"units_sold_lag_1": "3"}
     rows = [("e", "p", D0, ok), ("e", "q", D0, {**ok, "model_path": "x"}), ("e", "r", D0, {**ok, "revenue": "1"}), ("e", "s", D0, {**ok, "x": " NaN "}), ("e", "t", D0, {"units_sold_lag_1": "-1"}),
-            ("e", "u", D0, {"x": "1"}), ("../e", "v", D0, ok), ("e", "w", None, ok), ("e", "x", D0, ok), ("e", "x", D0, ok), ("e", "y", D0, {**ok, "x": "[1]"})]
+            ("e", "u", D0, {"x": "1"}), ("../e", "v", D0, ok), ("e", "w", None, ok), ("e", "x", D0, ok), ("e", "x", D0, ok), ("e", "y", D0, {**ok, "x": "[1]"}), ("e\0", "za", D0, ok), ("a/Models\\Final/b", "zb", D0, ok), ("e", "zc", D0, {**ok, "hcal_month": None}), ("e", "zd", D0, {**ok, "hcal_month": "4"})]
     df = spark.createDataFrame(rows, "entity_id string, product_key string, date date, features map<string,string>")
     got = sorted((r.product_key, r.reason) for r in quality.validate_records(df, ["entity_id", "product_key", "date"]).collect())
     assert got == [("p", None), ("q", "forbidden_field"), ("r", "leakage_column"), ("s", "non_finite_value"), ("t", "negative_value"), ("u", "missing_lag_1"), ("v", "invalid_key"),
-                   ("w", "invalid_date"), ("x", "duplicate_key"), ("x", "duplicate_key"), ("y", "nested_value")]
+                   ("w", "invalid_date"), ("x", "duplicate_key"), ("x", "duplicate_key"), ("y", "nested_value"), ("za", "invalid_key"), ("zb", "invalid_key"), ("zc", "missing_calendar"), ("zd", None)]
 
 
 def test_scenario_path_feeds_predictions_back(spark):

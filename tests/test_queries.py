@@ -14,7 +14,9 @@ QUICK = (
     "a1_csv_scan", "a14_membership", "a36_equal_frequency_bins", "c1_transaction_type", "c3_clean_transactions", "d5_fact_sales", "d19_weekly_calendar", "q2_exact_duplicates", "q7_referential_integrity",
     "q15_inventory_balance", "q29_record_validation", "k1_executive_kpis", "k13_pareto", "k24_return_rate", "f3_lag_features", "f10_inventory_features", "f17_holiday_proximity", "b7_seasonal_naive_52",
     "b8_intermittent", "b10_flat_scenario", "m1_accuracy_by_product", "m9_regimes", "m14_fold_wins", "r1_risk_matrix", "r3_portfolio", "i4_product_growth", "n7_data_drift", "n13_manifest_difference",
-    "t1_request_metrics_stream", "t2_trailing_breaches", "t3_audit_records", "flagship_weekly_backtest",
+    "t1_request_metrics_stream", "t2_trailing_breaches", "t3_audit_records", "flagship_weekly_backtest", "a11_table_inventory", "q27_leakage_checks", "q27_planted_leaks", "b10_scenario_forecast", "b10_scenario_as_is",
+    "m7_metrics_by_split", "m7_metrics_by_entity", "m22_ranking_areas", "l7_intervals_by_regime", "l8_recursive_rows", "i6_recommendations", "i7_schema_issues", "i7_system_health", "n2_population_stability", "n3_ks_statistic",
+    "n5_accuracy_by_regime", "n8_prediction_drift", "t2_admission_stream", "t3_nested_redaction",
 )
 NAMES = list(entry.queries()) if os.environ.get("DEMANDLOOM_ALL_QUERIES") else QUICK
 
@@ -27,7 +29,7 @@ def con(sf):
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, con, sf, name):
     status, detail, *_ = compare(spark, con, sf, name, entry.queries(), entry.oracle_sql())
-    assert status in ("OK", "ROWS"), f"{status}: {detail}"
+    assert status == "OK" or status == "ROWS" and name not in entry.oracle_sql(), f"{status}: {detail}"
 
 
 def test_registry_is_consistent():

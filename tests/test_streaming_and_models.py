@@ -88,16 +88,26 @@ def test_updated_windows_equal_batch_with_late_files(spark, log, tmp_path):
     assert sorted(out.collect()) == sorted(want.collect()) and out.count() > 5
 
 
-def test_redaction_reaches_nested_objects(spark):
-    df = spark.createDataFrame([('{"a": {"password": "s3cret", "k": 1, "Token" : ["t0k"]}, "token": {"x": "z9"}, "plain": "ok"}',)], "props string")
-    text = df.select(F.to_json(requests.redact(F.from_json("props", "map<string,string>")))).first()[0]
-    assert not any(x in text for x in ("s3cret", "t0k", "z9")) and "ok" in text and "k" in text
+def test_redaction_at_any_depth(spark):
+    value = '{"v": {"w": "s3cret"}}'
+    texts = []
+    for _ in range(6):
+        texts += ['{"Token": %s, "k": 1}' % value, '{"list": [1, {"PASSWORD": [[%s]]}], "k": 1}' % value]
+        value = '{"a": %s}' % value
+    df = spark.createDataFrame([(x,) for x in texts], "props string")
+    rows = [r[0] for r in df.select(requests.redact("props", F.lit('{"more": 2}'))).collect()]
+    assert not any("s3cret" in x for x in rows) and all('"k":1' in x and '"more":2' in x and requests.HIDDEN in x for x in rows)
 
 
-def test_redaction_and_truncation(spark):
-    df = spark.createDataFrame([({"Password": "x", "note": "y" * 600, "k": "1"},)], "m map<string,string>")
-    got = df.select(requests.redact(F.col("m"))).first()[0]
-    assert got["Password"] == "[REDACTED]" and got["k"] == "1" and len(got["note"]) == 501 and got["note"].endswith("…")
+def test_redaction_and_truncation_of_odd_records(spark):
+    texts = ['{"note": "%s", "k": [%s]}' % ("y" * 600, ",".join(map(str, range(30)))), None, "", "[1, {\"secret\": 5}]", "not json: s3cret", "[" * 100_000]
+    rows = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, p string").orderBy("i").select(requests.redact("p", F.lit("{}"))).collect()]
+    import json
+
+    first = json.loads(rows[0])
+    assert len(first["note"]) == 501 and first["note"].endswith("…") and first["k"] == list(range(20))
+    assert rows[1:3] == ["{}", "{}"] and json.loads(rows[3]) == {"value": [1, {"secret": requests.HIDDEN}]}
+    assert rows[4] == rows[5] == '{"unreadable": "[REDACTED]"}'
 
 
 def test_manifest_difference_and_fallback(spark, tmp_path):
@@ -131,7 +141,7 @@ def weekly(spark):
 def test_model_comparison_and_intervals(spark, weekly):
     from demandloom.operators import features
     rows = ml.chronological(features.weekly_features(weekly))
-    table, fitted = ml.train_and_compare(rows, list(ml.WEEKLY_NUMERIC), {"linear": ml.candidates()["linear"], "gradient_boosting": ml.candidates(3)["gradient_boosting"]})
+    table, fitted = ml.train_and_compare(rows, list(ml.WEEKLY_NUMERIC), {"linear": ml.candidates()["linear"], "gradient_boosting": ml.boosted(3)})
     got = table.collect()
     assert len(got) == 4 and {r.split for r in got} == {"validation", "test"} and all(r.mae >= 0 for r in got)
     scored = ml.score(fitted["linear"], ml.with_indicators(rows, list(ml.WEEKLY_NUMERIC)))
@@ -140,8 +150,47 @@ def test_model_comparison_and_intervals(spark, weekly):
     assert bounds.where("lower_bound > p50 OR p50 > upper_bound OR lower_bound < 0").count() == 0 and bounds.count() > 0
 
 
-def test_recursive_forecast_stays_after_its_origin(spark, weekly):
-    made = ml.recursive(weekly, origins=2, horizon=6).toPandas()
-    assert sorted(made["horizon"].unique()) == [1, 2, 3, 4, 5, 6] and len(made) == 6 * 2 * 6
-    assert (made["prediction"] >= 0).all()
-    assert made.sort_values("horizon").groupby(["product_key", "back"])["week"].apply(lambda s: s.is_monotonic_increasing).all()
+def test_prepared_features_know_the_training_rows_only(spark):
+    train = spark.createDataFrame([(1.0, None, "a"), (3.0, 5.0, "a"), (8.0, 7.0, "b"), (None, 9.0, None)], "x double, y double, c string").withColumn("z", F.lit(None).cast("double"))
+    model = ml.FeaturePreparer(["x", "y", "z"], ["c"]).fit(train)
+    assert model.names == ["x", "y", "z", "x_missing", "y_missing", "z_missing", "c_freq"]
+    new = spark.createDataFrame([(None, 2.0, "a"), (4.0, None, "never seen"), (4.0, None, None)], "x double, y double, c string").withColumn("z", F.lit(1.5))
+    rows = sorted((r.c or "", list(map(float, r.features.toArray()))) for r in model.transform(new).collect())
+    assert rows == [("", [4.0, 7.0, 1.5, 0.0, 1.0, 0.0, 0.0]), ("a", [3.0, 2.0, 1.5, 1.0, 0.0, 0.0, 0.5]), ("never seen", [4.0, 7.0, 1.5, 0.0, 1.0, 0.0, 0.0])]
+
+
+def test_permutation_importance_tells_the_feature_that_counts(spark):
+    rng = random.Random(1)
+    rows = [(i, float(rng.random()), float(rng.random()), rng.choice("ab")) for i in range(600)]
+    df = spark.createDataFrame([(*r, 10 * r[1] + (5 if r[3] == "a" else 0)) for r in rows], "id int, x double, noise double, c string, units_sold double")
+    df = ml.with_indicators(df, ["x", "noise"])
+    model = ml.fit(df.where("id % 3 > 0"), ["x", "noise"], ml.boosted(10, 3), ["c"])
+    found = {r.feature: r for r in ml.permutation_importance(model, df.where("id % 3 = 0"), ["id"]).collect()}
+    assert set(found) == {"x", "noise", "c"} and found["x"].mae_increase > 1.0 > abs(found["noise"].mae_increase) and found["x"].repeats == 3
+    native = {r.feature: r.importance for r in ml.native_importance(model, df).collect()}
+    assert native["x"] > native["noise"] and set(native) == {"x", "noise", "c_freq"}
+
+
+def test_intervals_fall_back_to_the_group(spark):
+    rng = random.Random(6)
+    rows = [("s", split, regime, 10.0 + rng.random() * width, 10.0) for split in ("validation", "test") for regime, width, n in (("low", 1.0, 80), ("high", 9.0, 80), ("rare", 50.0, 3)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "source_dataset string, split string, regime string, actual double, prediction double")
+    made = ml.conformal_intervals(df, within=["regime"]).groupBy("regime").agg(F.max("upper_bound").alias("hi"), F.min("upper_bound").alias("lo"), F.count("*").alias("n")).collect()
+    bound = {r.regime: r.hi for r in made}
+    whole = ml.conformal_intervals(df).agg(F.max("upper_bound").alias("hi")).first().hi
+    assert bound["low"] < 11.1 < bound["high"] and bound["rare"] == whole and sum(r.n for r in made) == len(rows) and all(r.hi == r.lo for r in made)
+
+
+def test_recursive_forecasts_keep_the_steps_an_origin_has(spark, weekly):
+    panel = weekly.withColumnRenamed("week", "date").withColumns({"entity_id": F.lit("S"), "revenue": F.col("units_sold") * 2.0, "units_sold": F.col("units_sold").cast("double")})
+    n = F.date_diff("date", F.lit("2020-01-07")) / 7
+    panel = panel.withColumn("split", F.when(n < 50, "train").when(n < 60, "validation").otherwise("test"))
+    short = panel.where("product_key = 'p0'").withColumn("product_key", F.lit("short")).where(n >= 65)
+    made = ml.recursive(panel.unionByName(short), trees=3).toPandas()
+    counts = made[made.product_key == "p1"].groupby("horizon").size().to_dict()
+    assert counts == {1: 2, 3: 2, 7: 1} and (made.prediction >= 0).all()
+    assert made[made.product_key == "short"].groupby("horizon").size().to_dict() == {} or made[made.product_key == "short"].origin_date.min() >= dt.date(2021, 4, 6)
+    days = made[(made.product_key == "p1") & (made.horizon == 7)].iloc[0]
+    assert (days.target_date - days.origin_date).days == 49 and days.actual in set(r.units_sold for r in panel.where("product_key = 'p1'").collect())
+    error = (made.actual - made.prediction).abs().mean()
+    assert error < 5  # the series repeat every four weeks
