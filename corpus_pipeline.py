@@ -10,8 +10,8 @@ return the columns of ``documents``:
    smaller sources come again, up to half of a second pass.
 4. ``best_fit_packing`` packs all drawn documents into sequences of 2048 tokens.
 
-Null texts have no letter and go in the first stage; of rows repeated with doc_id and text one stays; rows with a null
-doc_id have no identity to be joined on and pass the second stage unchanged. Columns beyond those named are carried along.
+Null texts have no letter and go in the first stage. Rows of one doc_id with different texts are different documents; of rows
+repeated with doc_id and text one stays. Rows with a null doc_id have no identity to be joined on and pass the second stage unchanged. Columns beyond those named are carried along.
 """
 
 from __future__ import annotations
@@ -36,12 +36,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    """One row of each near-duplicate group, that of the smallest doc_id; a doc_id that stands with several texts is so many documents."""
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
-        return left
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(left.where("doc_id IS NULL"))
+        dropped = jaccard_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    own = docs.where("doc_id IS NOT NULL").select("doc_id", "text").distinct()
+    own = stored(own.withColumn("row", F.monotonically_increasing_id()), "rows")  # stored: the numbers stay
+    found = jaccard_components(own.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    found = own.join(found, "row")
+    first = found.groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    kept = found.join(first, "group").where(F.col("row") == F.col("first.row")).select(F.col("doc_id").alias("kept_id"), F.col("text").alias("kept_text"))
+    same = (F.col("d.doc_id") == F.col("k.kept_id")) & F.col("d.text").eqNullSafe(F.col("k.kept_text"))
+    left = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).alias("d").join(kept.alias("k"), same, "left_semi")
+    return left.unionByName(docs.where("doc_id IS NULL"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
