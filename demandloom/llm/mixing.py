@@ -104,9 +104,17 @@ def mixed(docs: DataFrame, evenness: float = 0.5, max_repeats: float = 4.0, budg
     upto = F.col("before") + F.sum("tokens").over(Window.partitionBy("source").orderBy("h"))
     cut = inside.withColumn("upto", upto).where("upto > rest").groupBy("source").agg(F.min("h").alias("cut"))
     plan = plan.alias("p").join(cut.alias("c"), F.col("p.source").eqNullSafe(F.col("c.source")), "left").select("p.*", "c.cut")
-    plan = stored(plan.select(F.col("source").alias("of_source"), "weight", "passes", "rest", "digits", "cut"), "mixture")
-
-    drawn = docs.withColumn("of_docs", F.expr(own)).join(plan, F.col("of_source").eqNullSafe(F.col("of_docs")))
-    drawn = drawn.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes")))).withColumn("pass_order", _order(seed, F.col("pass")))
-    drawn = drawn.where((F.col("pass") < F.col("passes")) | ((F.col("rest") > 0) & (F.col("cut").isNull() | (F.col("pass_order") < F.col("cut")))))
-    return drawn.withColumn("block", F.substring("pass_order", F.lit(1), F.col("digits"))).select(*docs.columns, F.col("pass").cast("int").alias("pass"), "block", "pass_order", "weight")
+    # one column beside the key, of a name that docs does not have
+    held = "mix"
+    while held.lower() in {c.lower() for c in docs.columns}:
+        held += "_"
+    plan = stored(plan.select(F.col("source").alias("key"), F.struct("weight", "passes", "rest", "digits", "cut").alias("plan")), "mixture")
+
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    same = F.col("p.key").eqNullSafe(F.col("d.source").cast("string") if "source" in docs.columns else F.lit(None).cast("string"))
+    drawn = docs.alias("d").join(plan.alias("p"), same).select(*columns, F.col("p.plan").alias(held))
+    passes, rest, cut = (F.col(held)[c] for c in ("passes", "rest", "cut"))
+    drawn = drawn.withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), passes))).withColumn("pass_order", _order(seed, F.col("pass")))
+    drawn = drawn.where((F.col("pass") < passes) | ((rest > 0) & (cut.isNull() | (F.col("pass_order") < cut))))
+    block = F.substring("pass_order", F.lit(1), F.col(held)["digits"])
+    return drawn.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("pass").cast("int").alias("pass"), block.alias("block"), "pass_order", F.col(held)["weight"].alias("weight"))
