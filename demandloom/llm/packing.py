@@ -32,8 +32,8 @@ _encoders: dict[str, Encoder] = {}
 class Encoder:
     """Ids of a byte-level BPE vocabulary file of the tokenizers library.
 
-    The file's own ranks are merged by tiktoken, which gives the same ids several times faster;
-    strings of special tokens in a text are ordinary text.
+    The file's own ranks are merged by tiktoken, which gives the same ids several times faster. A special token's
+    string in a text is that token, as in the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -42,15 +42,17 @@ class Encoder:
 
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
-        special = {x["content"] for x in model.get("added_tokens", ())}
+        special = {x["content"]: x["id"] for x in model.get("added_tokens", ())}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
         ranks = {bytes(shown[c] for c in token): rank for token, rank in model["model"]["vocab"].items() if token not in special}
-        self.coder = tiktoken.Encoding(uuid4().hex, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.coder = tiktoken.Encoding(uuid4().hex, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.special = tuple(special)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a whole text."""
-        return np.array(self.coder.encode_ordinary(text), "<u4").tobytes()
+        ids = self.coder.encode(text, allowed_special="all") if any(x in text for x in self.special) else self.coder.encode_ordinary(text)
+        return np.array(ids, "<u4").tobytes()
 
 
 def encoder(path: str) -> Encoder:
