@@ -108,7 +108,7 @@ def op9_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     if written.isEmpty():
         return written.select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("long").alias("payload_bytes"), F.lit("").alias("payload_digest"), F.lit("").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    found = warc.read_archives(spark, place, payloads=False)
+    found = warc.read_archives(spark, place, payloads=False, written=written)
     return found.where(F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.lit(True))).select(*columns)
 
 

@@ -1,8 +1,8 @@
 """WARC archives in Zstandard: a dictionary in a leading skippable frame, then a frame per record.
 
-``write_archives`` makes one archive per task, streamed to a file of the task's own and renamed to the name of its
-partition when complete, so a repeated task replaces its archive as a whole. ``read_archives`` finds the frames from
-their block headers, decodes each with the archive's dictionary and validates the record: version line, required
+``write_archives`` streams the records of a task to archives of bounded size, under names of that attempt alone; those of the
+attempts that count are listed in the table it returns, so that a repeated or speculative task leaves nothing that is
+read. ``read_archives`` finds the frames from their block headers, decodes each with the archive's dictionary and validates the record: version line, required
 fields, the lengths of block and payload, the record's end, and the payload's SHA-256.
 """
 
@@ -21,6 +21,7 @@ from demandloom.session import stored
 
 SKIPPABLE = 0x184D2A5D  # magic number of the dictionary frame
 DICTIONARY_BYTES = 1 << 16
+ARCHIVE_BYTES = 1 << 27  # after which a new archive is begun: one is read as a whole
 SAMPLE_BYTES = 1 << 21  # payloads of an archive that its dictionary is trained on
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
@@ -64,7 +65,7 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, first: int
     return record([*fields, ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", _urn(first)), ("X-Refers-To-Page-ID", str(first)), ("Content-Type", "application/http; msgtype=response")], HTTP)
 
 
-def archive(records: Iterator[bytes]) -> Iterator[bytes]:
+def archive(records: Iterator[bytes], sample_bytes: int = SAMPLE_BYTES) -> Iterator[bytes]:
     """The archive's bytes: dictionary frame, a warcinfo frame, a frame per record."""
     import zstandard
 
@@ -72,7 +73,7 @@ def archive(records: Iterator[bytes]) -> Iterator[bytes]:
     for r in records:
         sample.append(r)
         size += len(r)
-        if size > SAMPLE_BYTES:
+        if size > sample_bytes:
             break
     dictionary = dictionary_for(sample)
     yield dictionary_frame(dictionary)
@@ -205,54 +206,58 @@ def with_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha2("payload", 256)))
     copied = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # pages below the least have no copies: keys of their own keep them apart
+    rows = rows.withColumn("digest", F.coalesce("digest", F.concat(F.lit("small:"), F.xxhash64("page_id", "url", "payload").cast("string"))))
     return rows.join(copied, "digest", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("first"))
 
 
-def write_archives(pages: DataFrame, folder: str, least: int = 100) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, least: int = 100, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) to ``folder``; the archives' paths and record numbers.
 
     ``folder`` is a URI that all executors reach. A null html is an empty payload; repeated page_ids are written each; rows
-    of a null page_id have no page field and are never referred to. No pages make no archive.
+    of a null page_id have no page field and are never referred to. An archive ends with the record that takes it to
+    ``archive_bytes``. No pages make no archive.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
         from pyspark import TaskContext
 
-        count = [0]
+        records = (page_record(*row) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        attempt, made = uuid4().hex, 0
+        for begin in records:
+            count, size = [0], 0
 
-        def records() -> Iterator[bytes]:
-            for batch in batches:
-                for page, url, payload, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            def some(begin: bytes = begin, count: list[int] = count) -> Iterator[bytes]:
+                for r in chain([begin], records):
                     count[0] += 1
-                    yield page_record(page, url, payload, first)
-
-        wanted = records()
-        begin = next(wanted, None)
-        if begin is None:
-            return
-        system, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
-        system.create_dir(base, recursive=True)
-        name = f"{base}/pages-{TaskContext.get().partitionId():06d}.warc.zst"
-        draft = f"{base}/_{uuid4().hex}"
-        with system.open_output_stream(draft, compression=None) as out:
-            for data in archive(chain([begin], wanted)):
-                out.write(data)
-        if system.get_file_info(name).type != fs.FileType.NotFound:  # of an earlier attempt
-            system.delete_file(name)
-        system.move(draft, name)
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array(count, pa.int64())], ["path", "records"])
+                    yield r
+                    if size >= archive_bytes:
+                        return
+
+            system.create_dir(base, recursive=True)
+            name = f"{base}/pages-{TaskContext.get().partitionId():06d}-{attempt}-{made:04d}.warc.zst"
+            with system.open_output_stream(name, compression=None) as out:
+                for data in archive(some(), min(SAMPLE_BYTES, archive_bytes)):
+                    out.write(data)
+                    size += len(data)
+            made += 1
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array(count, pa.int64())], ["path", "records"])
 
     return stored(with_revisits(pages, least).mapInArrow(run, "path string, records long"), "archives")
 
 
-def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
-    """A row per response or revisit record of the ``*.warc.zst`` archives in ``folder``.
+def read_archives(spark: SparkSession, folder: str, payloads: bool = True, written: DataFrame | None = None) -> DataFrame:
+    """A row per response or revisit record of the ``*.warc.zst`` archives in ``folder``, or of those that ``written`` lists (path).
 
     A record or archive that breaks the format gives a row with ``error`` and nulls, and the records after a broken frame are
     not read. ``payloads`` False leaves the payload column null. Revisits carry length and digest of the full payload.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
+    if written is not None:
+        name = F.element_at(F.split("path", "/"), -1)
+        files = files.withColumn("name", name).join(written.select(name.alias("name")), "name", "left_semi").select("path", "content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _rows(((p, c) for batch in batches for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), payloads)
