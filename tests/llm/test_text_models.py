@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from brute import base_scores, crc_fold, longest_match, words
+from brute import base_scores, crc_fold, language_mixtures, licences, longest_match, words
 from pyspark.sql import functions as F
 
 from demandloom.llm import language, licenses, lm
@@ -68,6 +68,21 @@ def test_language_mixtures_and_odd_texts(spark):
     assert {r.lang_pred for r in language.identify(table, nothing).collect()} == {"und"} and language.identify(table.limit(0), model).count() == 0
 
 
+def test_mixtures_equal_brute_force(spark):
+    rng = random.Random(12)
+    speech = {x: ["".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(40)] for x, letters in {"a": "abcde", "b": "cdefg", "c": "efghé", "d": "xyzab"}.items()}
+    labelled = [(x, " ".join(rng.choices(speech[x], k=60))) for x in speech for _ in range(5)] + [(None, "abc"), ("a", None), ("e", "123")]
+    texts = [None, "", "99", "Abc-def, ghé!", "é"]
+    for _ in range(40):
+        some = rng.sample(sorted(speech), rng.randint(1, 3))
+        texts.append(" ".join(rng.choice(speech[rng.choice(some)]) for _ in range(rng.randint(1, 200))))
+    model = language.fit_languages(spark.createDataFrame(labelled, "lang string, text string").repartition(3))
+    assert model.names == tuple(sorted(speech))
+    for got, (name, shares) in zip(language.infer(model, texts), language_mixtures(labelled, texts), strict=True):
+        assert got[0] == name and set(got[2]) == set(shares)
+        assert all(math.isclose(got[2][x], v, rel_tol=1e-9) for x, v in shares.items())
+
+
 def test_long_texts_count_as_in_one_piece(monkeypatch):
     text = "Ab c1de  fé,g " * 50
     whole = language._counts(text)
@@ -164,6 +179,65 @@ def licensed(spark):
     return docs, licenses.scan(docs).collect()
 
 
+@pytest.fixture(scope="module")
+def classifier(spark):
+    return licenses.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_licence_scan_equals_brute_force(spark, classifier):
+    rng = random.Random(21)
+    notices = [n for v in licenses.NOTICES.values() for n in v]
+    other = "the of to in and license software use terms version file any work public free copy under for is copyright general".split() + ["foo", "bar", "baz42", "x-y.z"]
+    texts = [None, "", "MIT", "SPDX-License-Identifier: MIT", notices[0] + " " + notices[4], "\n".join(notices), " ".join(rng.choices(other, k=900))]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            parts.append(" ".join(rng.choices(other, k=rng.randint(0, 60))))
+            notice = rng.choice(notices).split(" ")
+            notice = [w for w in notice if rng.random() > rng.choice([0, 0, 0.1, 0.3])]
+            for _ in range(rng.choice([0, 0, 3])):
+                notice.insert(rng.randint(0, len(notice)), rng.choice(other))
+            parts.append(rng.choice([" ", "\n# ", "\r\n * "]).join(notice))
+        texts.append("\n".join(parts))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r for r in licenses.scan(rows, classifier=classifier).collect()}
+    several = 0
+    for i, text in enumerate(texts):
+        want = licences(text, classifier, licenses)
+        assert (found[i].families, found[i].n_notices) == (sorted(want), sum(n for n, _ in want.values()))
+        if want:
+            best = max(want, key=lambda x: (want[x][1], [-ord(c) for c in x]))
+            assert math.isclose(found[i].probability, max(v[0] for _, v in want.values()), rel_tol=1e-9) and math.isclose(found[i].similarity, max(v[1] for _, v in want.values()))
+            assert want[found[i].license][1] == pytest.approx(want[best][1])
+        several += len(want) > 1
+    assert several > 20
+
+
+def test_classifier_names_families_and_knows_the_unknown(spark, classifier):
+    """Held-out accuracy of the classifier alone, on notices and near misses in texts that it has not seen."""
+    rng = random.Random(5)
+    other = [r.text.split() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(50).collect() if r.text and len(r.text.split()) > 30]
+    rows = []
+    for name, notices in licenses.NOTICES.items():
+        for n in notices:
+            for _ in range(4):
+                text = rng.choice(other)
+                at = rng.randint(0, 10)
+                rows.append((len(rows), name, " ".join(text[:at]) + " " + n + " " + " ".join(text[at:20])))
+                words_ = n.split(" ")
+                if len(words_) >= 12:
+                    rows.append((len(rows), None, " ".join(text[:20]) + " " + " ".join(words_[:3]) + " " + " ".join(text[20:30])))
+    rows += [(len(rows) + k, None, " ".join(x)) for k, x in enumerate(other)]
+    table = spark.createDataFrame([(i, x) for i, _, x in rows], "key int, text string")
+    best = classifier.probabilities(licenses.windows(table)).select("key", F.slice("probabilities", 2, len(licenses.NAMES)).alias("p"))
+    top = best.select("key", F.array_max("p").alias("p"), F.array_position("p", F.array_max("p")).alias("k")).groupBy("key").agg(F.max(F.struct("p", "k")).alias("x")).collect()
+    said = {r.key: licenses.NAMES[r.x.k - 1] for r in top if r.x.p >= classifier.least}
+    right = [said.get(i) == name for i, name, _ in rows if name]
+    assert sum(right) >= 0.95 * len(right)
+    assert sum(i in said for i, name, _ in rows if name is None) <= 0.1 * sum(name is None for _, name, _ in rows)
+    assert licenses.LEAST <= classifier.least < 1
+
+
 def test_licences_of_the_table(licensed):
     docs, rows = licensed
     says = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT"}
