@@ -219,16 +219,14 @@ def i6(t):
     return bi.recommendations(bi.inventory_view(t.risk_matrix, bi.product_growth(t.forecast_rows)))
 
 
-def _bundle(t):
-    """Tables of the bundle, written under one version and read again."""
-    forecasts, risk_rows = stored(t.forecast_rows, "forecasts"), stored(t.risk_matrix, "risk")
-    accuracy = forecasts.withColumn("_all", F.lit(1)).groupBy("_all").agg(*metrics.accuracy_columns("actual", "prediction"), *metrics.extended_columns("actual", "prediction"))
-    alerts = risk_rows.where("stockout_risk_level = 'CRITICAL / HIGH'")
-    health = bi.health_row(t.daily_units, forecasts, t.table("events"), alerts)
-    made = bi.extracts(risk_rows, accuracy, requests.totals(t.table("events")), forecasts, health)
+def _health(t, forecasts, risk_rows):
+    return bi.health_row(t.daily_units, forecasts, t.table("events"), risk_rows.where("stockout_risk_level = 'CRITICAL / HIGH'"))
+
+
+def _bundled(t, tables):
+    """Tables of a bundle, written under one version and read again, with its manifest row."""
     folder = f"{shared_dir(t.spark)}/bundles/{uuid4().hex}"
-    row, found = bi.read_bundle(t.spark, folder, bi.write_bundle(made, folder))
-    return made, row, found
+    return bi.read_bundle(t.spark, folder, bi.write_bundle(tables, folder))
 
 
 SIZES = {
@@ -241,7 +239,10 @@ SIZES = {
 @query("i7_schema_issues", " UNION ALL ".join(f"SELECT '{name}' AS extract, '' AS missing_columns, {big(n)} AS rows, {n} = 0 AS is_empty, {n} > 0 AS ok" for name, n in SIZES.items()))
 def i7(t):
     """Every extract of a committed bundle, checked on its written files."""
-    made, row, found = _bundle(t)
+    forecasts, risk_rows = stored(t.forecast_rows, "forecasts"), stored(t.risk_matrix, "risk")
+    accuracy = forecasts.withColumn("_all", F.lit(1)).groupBy("_all").agg(*metrics.accuracy_columns("actual", "prediction"), *metrics.extended_columns("actual", "prediction"))
+    made = bi.extracts(risk_rows, accuracy, requests.totals(t.table("events")), forecasts, _health(t, forecasts, risk_rows))
+    row, found = _bundled(t, made)
     return bi.schema_issues(found, {name: df.columns for name, df in made.items()}, {x.extract: x.rows for x in row.extracts}).drop("required")
 
 
@@ -249,7 +250,7 @@ def i7(t):
 SELECT (SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem) AS data_as_of, (SELECT count(*) FROM sales_daily) AS n_sales_rows, (SELECT max(origin_date) FROM forecast_rows) AS forecast_generated, (SELECT count(*) FROM forecast_rows) AS n_forecast_rows,
  CAST(0 AS BIGINT) AS n_missing_predictions, (SELECT max(ts) FROM events) AS monitoring_snapshot, (SELECT count(*) FROM risk_matrix WHERE stockout_risk_level = 'CRITICAL / HIGH') AS n_alerts, FALSE AS live_data, 'disabled' AS retraining""")
 def i7_health(t):
-    return _bundle(t)[2]["system_health"]
+    return _bundled(t, {"system_health": _health(t, t.forecast_rows, t.risk_matrix)})[1]["system_health"]
 
 
 @query("i10_forecast_rollups", f"""
