@@ -12,6 +12,9 @@ every task, so a hot word after a hot one is scored where the text is read. All
 word counts it and its bigrams over all documents; it scores its tokens, and the hot words after it. Of a bigram of
 two other words, it is the partition of the second that counts it; the partition of the first sends its count there,
 once for each partition. A hot word's postings would be the long ones; any other word is rarer than all of them.
+
+Postings and sent counts are shuffled once, into tables bucketed by the partition of words; the passes that count, that
+gather held-out cells and that score read these buckets as they lie, each only the columns it needs.
 """
 
 from __future__ import annotations
@@ -22,11 +25,11 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.llm.hashing import batch_word_hashes, mix
-from demandloom.session import stored
+from demandloom.llm.hashing import batch_word_hashes, mix, slices
+from demandloom.session import shared_dir, stored
 
 U = np.uint64
 END = U(0x1D8E4E27C47D124F)  # the token that ends a text
@@ -34,6 +37,7 @@ CHUNK = 1 << 21  # tokens packed together
 BUCKETS = 48
 NO_ID = -(1 << 63)  # stands for a null doc_id inside
 TRAIN, HELD = 1, 2  # a document's part: 0 is not learned from
+MOST_BUCKETS = 1 << 14  # of a table; more partitions share them
 NONE, COLD = -1, -2  # instead of a hot word's index: no word or none that counts; any other word
 
 
@@ -55,7 +59,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
     parts: list[int] = []
     texts: list[np.ndarray] = []
     size = 0
-    for batch in batches:
+    for batch in slices(batches):
         for key, part, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch_word_hashes(batch.column(2).to_pylist()), strict=True):
             docs.append(key), parts.append(part), texts.append(np.append(w, END))
             size += len(w) + 1
@@ -86,7 +90,7 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _around(index: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the word before and after each token; NONE at the start and at the end of a text."""
     ends = np.cumsum(n)
-    before, after = np.concatenate([[NONE], index[:-1]]), np.concatenate([index[1:], [NONE]])
+    before, after = np.roll(index, 1), np.roll(index, -1)
     before[np.concatenate([[0], ends[:-1]])] = NONE
     after[ends - 1] = NONE
     return before, after
@@ -101,7 +105,7 @@ def _pair_counter(words: np.ndarray, cold: int):
             before, _ = _around(np.where(index < 0, cold, index), n)
             part = np.repeat(parts, n)
             use = (index >= 0) & (before != COLD) & (part > 0)
-            pair, at = np.unique((before[use] + 1) * len(words) + index[use], return_inverse=True)
+            pair, at = np.unique((before[use].astype(np.int64) + 1) * len(words) + index[use], return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(np.bincount(at, part[use] == TRAIN, len(pair)).astype(np.int64)), pa.array(np.bincount(at, part[use] == HELD, len(pair)).astype(np.int64))], ["pair", "train", "held"])
 
     return run
@@ -112,30 +116,32 @@ def _width(words: int, partitions: int) -> str:
     return "<i2" if max(words, partitions + 2) < 1 << 15 else "<i4"
 
 
-def _poster(words: np.ndarray, partitions: int, cold: int):
-    """Postings of the tokens that are no hot words: a row per chunk and partition.
+def _poster(words: np.ndarray, keys: np.ndarray, cold: int):
+    """Postings of the tokens that are no hot words: a row per chunk and partition; p is the partition's key.
 
     ``after`` is a hot word's index, NONE, or COLD less the partition of any other word; ``firsts`` has the words before
     tokens whose ``before`` is COLD. If ``cold`` is NONE, only hot words are contexts.
     """
+    partitions = len(keys)
     kind = _width(len(words), partitions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs, parts, w, n in _tokens(batches):
-            index = _find(words, w)
-            all_to = (mix(w) % U(partitions)).astype(np.int64)
-            index = np.where(index < 0, cold, index)
+            index = _find(words, w).astype(np.int32)
+            all_to = (mix(w) % U(partitions)).astype(np.int32)
+            index[index < 0] = cold
             before, after = _around(index, n)
             if cold == COLD:
                 after = np.where(after == COLD, COLD - np.roll(all_to, -1), after)
             else:
-                after = np.full(len(w), NONE)
-            doc = np.repeat(np.arange(len(docs)), n)
+                after = np.full(len(w), NONE, np.int32)
+            doc = np.repeat(np.arange(len(docs), dtype=np.int32), n)
             use = np.flatnonzero(index < 0)
             use = use[np.lexsort((w[use], all_to[use]))]
             first = w[use - 1]  # of no meaning at the start of a text
             w, before, after, doc = w[use], before[use], after[use], doc[use]
             cuts = np.searchsorted(all_to[use], np.arange(partitions + 1))
+            del index, all_to, use
             rows, chunk = [], uuid4().int >> 65
             for p in range(partitions):
                 a, b = cuts[p], cuts[p + 1]
@@ -143,7 +149,7 @@ def _poster(words: np.ndarray, partitions: int, cold: int):
                     continue
                 new = np.flatnonzero(np.concatenate([[True], w[a + 1 : b] != w[a : b - 1]]))
                 used, at = np.unique(doc[a:b], return_inverse=True)
-                rows.append((p, chunk, w[a:b][new].tobytes(), np.diff(np.append(new, b - a)).astype("<u4").tobytes(), before[a:b].astype(kind).tobytes(), first[a:b][before[a:b] == COLD].tobytes(), after[a:b].astype(kind).tobytes(), at.astype("<u2" if len(used) < 65536 else "<u4").tobytes(), docs[used].tobytes(), parts[used].tobytes()))
+                rows.append((int(keys[p]), chunk, w[a:b][new].tobytes(), np.diff(np.append(new, b - a)).astype("<u4").tobytes(), before[a:b].astype(kind).tobytes(), first[a:b][before[a:b] == COLD].tobytes(), after[a:b].astype(kind).tobytes(), at.astype("<u2" if len(used) < 65536 else "<u4").tobytes(), docs[used].tobytes(), parts[used].tobytes()))
             names = ["p", "chunk", "words", "runs", "before", "firsts", "after", "at", "docs", "parts"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.binary()) for k, c in enumerate(zip(*rows) if rows else [[]] * len(names))], names)
 
@@ -194,29 +200,46 @@ def _bucket(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.minimum(np.log2(np.maximum(count, 1)).astype(np.int64) + 1, BUCKETS - 1), 0)
 
 
-def _partitions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """The rows of each value of p, from batches in order of p."""
-    now, held = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["p"] != now and held:
-                yield held
-                held = []
-            now = row["p"]
-            held.append(row)
-    if held:
-        yield held
-
-
-def _by_partition(fn):
-    """Applies ``fn`` to the rows of each value of p."""
+def _by_chunk(fn):
+    """Applies ``fn`` to the rows of each value of p, from batches in order of p."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from map(fn, _partitions(batches))
+        now, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["p"] != now and held:
+                    yield fn(held)
+                    held = []
+                now = row["p"]
+                held.append(row)
+        if held:
+            yield fn(held)
 
     return run
 
 
+def _keys(spark: SparkSession, partitions: int, buckets: int) -> np.ndarray:
+    """A key for each partition, so that every bucket of a table gets as many of them: Spark deals keys by their hash."""
+    each = -(-partitions // buckets)
+    found = spark.range(buckets * (2 * each + 40)).select("id", F.pmod(F.hash("id"), F.lit(buckets)).alias("bucket")).toPandas()
+    found = found[found.groupby("bucket").cumcount() < each].sort_values("id")["id"].to_numpy(np.int64)
+    spare = np.arange(partitions) + (1 << 40)  # a bucket that found too few
+    return np.concatenate([found, spare])[:partitions]
+
+
+def _bucketed(rows: DataFrame, buckets: int, name: str) -> DataFrame:
+    """``rows`` written once, bucketed by p, in the shared folder; grouping by p reads it without a shuffle."""
+    spark = rows.sparkSession
+    table = f"{name}_{uuid4().hex}"
+    made = rows.repartition(buckets, "p").write.bucketBy(buckets, "p").sortBy("p").format("parquet")
+    made.option("path", f"{shared_dir(spark)}/stages/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
+def _rows(table: pa.Table) -> list[dict]:
+    return table.to_pylist()
+
+
 CELL = 8.0  # cells of a factor 2 in which held-out probabilities are gathered
 
 
@@ -224,7 +247,7 @@ def _cells(bucket: np.ndarray, p2: np.ndarray, p1: np.ndarray, weight: np.ndarra
     """Held-out tokens by bucket and (rounded logarithm of) both estimates; -1: zero."""
     q2, q1 = (np.where(p > 0, np.round(-CELL * np.log2(np.maximum(p, 1e-300))), -1).astype(np.int64) for p in (p2, p1))
     cell, at = np.unique((bucket * 4096 + q2 + 1) * 4096 + q1 + 1, return_inverse=True)
-    return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.bincount(at, weight, len(cell)))], ["cell", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.bincount(at, weight, len(cell)).astype(float))], ["cell", "n"])
 
 
 def learn_weights(cells: np.ndarray, n: np.ndarray, floor: float, rounds: int = 60) -> np.ndarray:
@@ -245,7 +268,7 @@ def learn_weights(cells: np.ndarray, n: np.ndarray, floor: float, rounds: int =
     return out / out.sum(1, keepdims=True)
 
 
-def score_documents(docs: DataFrame, part: Column, contexts: int | None = None, partition_tokens: int = 3_000_000, hot: int = 1024) -> DataFrame:
+def score_documents(docs: DataFrame, part: Column, contexts: int | None = None, partition_tokens: int = 2_000_000, hot: int = 1024) -> DataFrame:
     """One row per document: its key columns doc_id, n_tokens, n_known, train_tokens, base_score and score (log10).
 
     ``docs``: doc_id, text; ``part``: 0 a document that is only scored, 1 one to learn from, 2 one to learn from
@@ -269,36 +292,40 @@ def score_documents(docs: DataFrame, part: Column, contexts: int | None = None,
     pairs = docs.where("part > 0").mapInArrow(_pair_counter(hashes, cold), "pair long, train long, held long").groupBy("pair").agg(F.sum("train").alias("train"), F.sum("held").alias("held")).toPandas().sort_values("pair")
     known = Hot(hashes, own_train, own_held, pairs["pair"].to_numpy(np.int64), pairs["train"].to_numpy(np.int64), pairs["held"].to_numpy(np.int64))
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total // partition_tokens) + 1)
-    postings = stored(docs.mapInArrow(_poster(hashes, partitions, cold), _POSTINGS), "postings")
+    buckets = min(partitions, MOST_BUCKETS)
+    keys = _keys(docs.sparkSession, partitions, buckets)
+    postings = _bucketed(docs.mapInArrow(_poster(hashes, keys, cold), _POSTINGS), buckets, "postings")
     width, kind = len(hashes), _width(len(hashes), partitions)
 
-    def by_word(*columns: str) -> DataFrame:
-        """These columns of the postings by partition, with the counts of words before that other partitions have sent."""
-        rows = postings.select("p", *columns)
-        if cold == COLD and "firsts" in columns:
-            rows = rows.unionByName(sent, allowMissingColumns=True)
-        return rows.repartition(partitions, "p").sortWithinPartitions("p")
+    sent_schema = "p long, sent binary, sent_train binary, sent_held binary"
 
-    def counts_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts_out(table: pa.Table) -> pa.Table:
         """Counts of each word for the partitions of the words after it."""
-        for rows in _partitions(batches):
-            t, after = _unpack(rows), _joined(rows, "after", kind)
-            train, held = np.bincount(t.number, t.part == TRAIN).astype(np.int64), np.bincount(t.number, t.part == HELD).astype(np.int64)
-            use = after <= COLD
-            to, number = np.divmod(np.unique((COLD - after[use].astype(np.int64)) * len(t.names) + t.number[use]), len(t.names))
-            cuts = np.searchsorted(to, np.arange(partitions + 1))
-            out = [(p, *[x[number[cuts[p] : cuts[p + 1]]].tobytes() for x in (t.names, train, held)]) for p in np.flatnonzero(np.diff(cuts))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out) if out else [[]] * 4)], ["p", "sent", "sent_train", "sent_held"])
+        rows = _rows(table)
+        t, after = _unpack(rows), _joined(rows, "after", kind)
+        train, held = np.bincount(t.number, t.part == TRAIN).astype(np.int64), np.bincount(t.number, t.part == HELD).astype(np.int64)
+        use = after <= COLD
+        to, number = np.divmod(np.unique((COLD - after[use].astype(np.int64)) * len(t.names) + t.number[use]), len(t.names))
+        cuts = np.searchsorted(to, np.arange(partitions + 1))
+        out = [(int(keys[p]), *[x[number[cuts[p] : cuts[p + 1]]].tobytes() for x in (t.names, train, held)]) for p in np.flatnonzero(np.diff(cuts))]
+        return pa.Table.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out) if out else [[]] * 4)], ["p", "sent", "sent_train", "sent_held"])
 
     if cold == COLD:
-        sent = stored(by_word("words", "runs", "after", "at", "parts").mapInArrow(counts_out, "p long, sent binary, sent_train binary, sent_held binary"), "sent")
-
-    def split(rows: list[dict]) -> tuple[list[dict], np.ndarray, np.ndarray, np.ndarray]:
-        """Postings; sorted words of other partitions, their counts in training and held-out documents."""
-        own, more = [r for r in rows if r["words"] is not None], [r for r in rows if r["words"] is None]
-        names = _joined(more, "sent", "<u8")
+        sent = postings.select("p", "words", "runs", "after", "at", "parts").groupBy("p").applyInArrow(counts_out, sent_schema)
+    else:
+        sent = docs.sparkSession.createDataFrame([], sent_schema)
+    sent = _bucketed(sent, buckets, "sent")
+
+    def with_sent(fn, schema: str, *columns: str) -> DataFrame:
+        """``fn`` of the postings of each partition and the counts of words before that others have sent there."""
+        return postings.select("p", *columns).groupBy("p").cogroup(sent.groupBy("p")).applyInArrow(fn, schema)
+
+    def known_before(more: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted words of other partitions, their counts in training and held-out documents."""
+        rows = _rows(more)
+        names = _joined(rows, "sent", "<u8")
         order = np.argsort(names)
-        return own, names[order], _joined(more, "sent_train", "<i8")[order], _joined(more, "sent_held", "<i8")[order]
+        return names[order], _joined(rows, "sent_train", "<i8")[order], _joined(rows, "sent_held", "<i8")[order]
 
     def of_before(before: np.ndarray, hot_counts: np.ndarray, cold_counts: np.ndarray) -> np.ndarray:
         """Count of the word before each token; ``cold_counts``: of those that are COLD, in order."""
@@ -306,8 +333,8 @@ def score_documents(docs: DataFrame, part: Column, contexts: int | None = None,
         out[before == COLD] = cold_counts
         return out
 
-    def held_out(rows: list[dict]) -> pa.RecordBatch:
-        rows, names, sent_train, _ = split(rows)
+    def held_out(own: pa.Table, more: pa.Table) -> pa.Table:
+        rows, (names, sent_train, _) = _rows(own), known_before(more)
         t, before, firsts, after = _unpack(rows), _joined(rows, "before", kind), _joined(rows, "firsts", "<u8"), _joined(rows, "after", kind)
         c1 = np.bincount(t.number, t.part == TRAIN)
         which = _bigrams(t, before, firsts, width)
@@ -322,10 +349,10 @@ def score_documents(docs: DataFrame, part: Column, contexts: int | None = None,
             c2, context = np.bincount(which, t.part[near] == TRAIN)[which[use]], c1[number[use]]
             bucket.append(_bucket(context)), p2.append(c2 / np.maximum(context, 1)), p1.append(known.train[following[use]] / max(train_n, 1))
         bucket, p2, p1 = (np.concatenate(x) for x in (bucket, p2, p1))
-        return _cells(bucket, p2, p1, np.ones(len(bucket)))
+        return pa.Table.from_batches([_cells(bucket, p2, p1, np.ones(len(bucket)))])
 
     # a cell for each bucket and pair of rounded logarithms: bounded whatever the corpus
-    cells = by_word("words", "runs", "before", "firsts", "after", "at", "parts").mapInArrow(_by_partition(held_out), "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = with_sent(held_out, "cell long, n double", "words", "runs", "before", "firsts", "after", "at", "parts").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     cell, n = cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(float)
     if len(hashes):
         first, second = np.divmod(known.pairs, len(hashes))
@@ -361,8 +388,8 @@ def score_documents(docs: DataFrame, part: Column, contexts: int | None = None,
             score = np.bincount(doc, scores(of_before(before, count, np.empty(0, np.int64)), c2, c1[use]), len(ids)).astype(float)  # no token: integers
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, length.astype(np.int64), n_known, base, score)], names)
 
-    def far_scores(rows: list[dict]) -> pa.RecordBatch:
-        rows, words_, sent_train, sent_held = split(rows)
+    def far_scores(own: pa.Table, more: pa.Table) -> pa.Table:
+        rows, (words_, sent_train, sent_held) = _rows(own), known_before(more)
         t, before, firsts, after, at = _unpack(rows), _joined(rows, "before", kind), _joined(rows, "firsts", "<u8"), _joined(rows, "after", kind), _places(rows)
         k, learned = sum(len(r["parts"]) for r in rows), t.part > 0
         c1 = np.bincount(t.number, learned).astype(np.int64)[t.number]
@@ -379,7 +406,7 @@ def score_documents(docs: DataFrame, part: Column, contexts: int | None = None,
             score += np.bincount(at[near], scores(c1[near], c2, count[following]), k)
         cuts = np.cumsum([len(r["docs"]) // 8 for r in rows])[:-1]
         parts = [[x.tobytes() for x in np.split(x, cuts)] for x in (n_known, base, score)]
-        return pa.RecordBatch.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["docs"] for r in rows], pa.binary()), *[pa.array(x, pa.binary()) for x in parts]], ["p", "docs", "n_known", "base", "score"])
+        return pa.Table.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["docs"] for r in rows], pa.binary()), *[pa.array(x, pa.binary()) for x in parts]], ["p", "docs", "n_known", "base", "score"])
 
     def gathered(rows: list[dict]) -> pa.RecordBatch:
         """The sums of a chunk's documents over all partitions of words."""
@@ -388,8 +415,8 @@ def score_documents(docs: DataFrame, part: Column, contexts: int | None = None,
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, np.zeros(len(ids), np.int64), known_.astype(np.int64), base, score)], names)
 
     schema = "key long, n_tokens long, n_known long, base double, score double"
-    far = by_word("chunk", "words", "runs", "before", "firsts", "after", "at", "docs", "parts").mapInArrow(_by_partition(far_scores), "p long, docs binary, n_known binary, base binary, score binary")
-    far = far.repartition(partitions, "p").sortWithinPartitions("p").mapInArrow(_by_partition(gathered), schema)
+    far = with_sent(far_scores, "p long, docs binary, n_known binary, base binary, score binary", "chunk", "words", "runs", "before", "firsts", "after", "at", "docs", "parts")
+    far = far.repartition(partitions, "p").sortWithinPartitions("p").mapInArrow(_by_chunk(gathered), schema)
     every = docs.mapInArrow(near_scores, schema).unionByName(far)
     summed = every.groupBy(F.col("key").alias("doc_id")).agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
     return summed.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
