@@ -33,7 +33,7 @@ from demandloom.session import shared_dir, stored
 
 U = np.uint64
 END = U(0x1D8E4E27C47D124F)  # the token that ends a text
-CHUNK = 1 << 21  # tokens packed together
+CHUNK = 1 << 20  # tokens packed together
 BUCKETS = 48
 NO_ID = -(1 << 63)  # stands for a null doc_id inside
 TRAIN, HELD = 1, 2  # a document's part: 0 is not learned from
