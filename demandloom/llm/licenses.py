@@ -215,7 +215,9 @@ def _vocabulary() -> CountVectorizerModel:
 
 def _background(docs: DataFrame, documents: int, paragraphs: int) -> DataFrame:
     """Windows (words) of a sample of whole texts, without those that hold a notice."""
-    some = docs.select("text").where("text IS NOT NULL").orderBy(F.xxhash64("text")).limit(documents).repartition(SAMPLE_TASKS, F.xxhash64("text"))
+    texts = docs.where("text IS NOT NULL").select("text", F.xxhash64("text").alias("h"))
+    last = texts.select("h").distinct().orderBy("h").limit(documents).agg(F.max("h").alias("h")).select("h").scalar()  # hashes travel, not texts
+    some = texts.where(F.col("h") <= last).groupBy("h").agg(F.any_value("text").alias("text")).repartition(SAMPLE_TASKS, "h")
     rows = _kept(some, "all", words_of(F.col("text"))).drop("text").where(F.size("all") > 0)
     cut = F.transform(F.sequence(F.lit(0), F.expr(f"CAST((size(all) - 1) DIV {SPAN} AS INT)")), lambda j: F.slice("all", j * SPAN + 1, F.lit(SPAN)))
     rows = rows.select(F.explode(cut).alias("words"))
