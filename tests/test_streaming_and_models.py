@@ -194,3 +194,24 @@ def test_recursive_forecasts_keep_the_steps_an_origin_has(spark, weekly):
     assert (days.target_date - days.origin_date).days == 49 and days.actual in set(r.units_sold for r in panel.where("product_key = 'p1'").collect())
     error = (made.actual - made.prediction).abs().mean()
     assert error < 5  # the series repeat every four weeks
+
+
+def test_independent_fits_run_side_by_side(spark):
+    import threading
+    from demandloom.session import side_by_side
+
+    meet = threading.Barrier(2, timeout=60)  # one after the other would never meet
+    assert side_by_side(spark, [lambda: meet.wait() >= 0 and spark.range(3).count(), lambda: meet.wait() >= 0 and spark.range(5).count()]) == [3, 5]
+
+
+def test_levels_of_all_categories_are_counted_at_once(spark):
+    import os
+    from demandloom.session import shared_dir
+
+    kept = lambda: len([x for x in os.listdir(f"{shared_dir(spark)}/stages") if x.startswith("levels-")])
+    train = spark.createDataFrame([(1.0, "a", "x"), (2.0, "a", "y"), (3.0, None, "y"), (4.0, "b", "y")], "v double, c string, d string")
+    os.makedirs(f"{shared_dir(spark)}/stages", exist_ok=True)
+    before = kept()
+    model = ml.FeaturePreparer(["v"], ["c", "d"]).fit(train)
+    assert kept() == before + 1
+    assert sorted(tuple(r.features.toArray()) for r in model.transform(train).collect()) == [(1.0, 0.5, 0.25), (2.0, 0.5, 0.75), (3.0, 0.0, 0.75), (4.0, 0.25, 0.75)]
