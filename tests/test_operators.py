@@ -190,3 +190,18 @@ def test_ranking_areas_of_scores_as_they_are(spark, scores):
     precision = sum((np.sum(pos == s) / len(pos)) * (np.sum(pos >= s) / np.sum(score >= s)) for s in np.unique(pos))
     assert got["a"].roc_auc == pytest.approx(area, abs=1e-4) and got["a"].pr_auc == pytest.approx(precision, abs=1e-4)
     assert got["b"].roc_auc is None and got["b"].pr_auc == 1.0
+
+
+def test_distinct_counts_send_a_line_once(spark, capsys):
+    from demandloom.functions.semantics import distinct_of, with_ordinals
+    from demandloom.operators import star
+
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", None, "x"), (None, 2, None), (None, 3, None), ("b", None, None)]
+    df = spark.createDataFrame(rows, "k string, n int, c string")
+    made = with_ordinals(df, ["k"], ["n", "c"]).groupBy("k").agg(distinct_of("n").alias("n"), distinct_of("c").alias("c"))
+    assert {tuple(r) for r in made.collect()} == {("a", 1, 2), (None, 2, 0), ("b", 0, 0)}
+    lines = spark.createDataFrame(
+        [(dt.date(2020, 1, 1), "1", "p", 2.0, 3.0, 7, "SALE")], "invoice_date_only date, invoice string, stock_code string, quantity double, price double, customer_id long, transaction_type string")
+    star.online_sales(lines).explain()
+    plan = capsys.readouterr().out
+    assert "Expand" not in plan and plan.count("Exchange") == 1
