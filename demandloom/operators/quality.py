@@ -241,15 +241,28 @@ def sales_rules(sales: DataFrame, stores: DataFrame, skus: DataFrame, calendar:
 
 def inventory_rules(snapshots: DataFrame, sales: DataFrame) -> DataFrame:
     """Balance equations and the keyed cross-check with the sales fact."""
-    keys = ["date", "store_id", "sku_id"]
+    own = ["store_id", "sku_id"]
     begin, receipts, sold, end = (F.col(c) for c in ("beginning_inventory", "receipts", "units_sold", "ending_inventory"))
-    pair = snapshots.join(sales.select(*keys, F.col("units_sold").alias("_sold")), keys, "left")
+    # the sales of a series travel to its snapshots as one map of days, at most a calendar; snapshots dealt by series stay
+    on_day = sales.where(F.col("date").isNotNull()).repartition(*own).groupBy(*own, "date").agg(F.struct(F.collect_list("units_sold").alias("units"), F.count(N).alias("rows")).alias("_sales"))
+    by_day = on_day.groupBy(*own).agg(F.map_from_entries(F.collect_list(F.struct("date", "_sales"))).alias("_by_day"))
+    pair = snapshots.join(by_day.hint("shuffle_hash"), own, "left").withColumn("_sales", F.col("_by_day")[F.col("date")])
+    pairs = F.coalesce(F.col("_sales.rows"), F.lit(1))  # rows that the snapshot and its sales make
+
+    def number(of: Column) -> Column:
+        return F.coalesce(F.sum(of).cast("long"), F.lit(0).cast("long"))
+
+    def number_if(bad: Column) -> Column:
+        return number(F.when(bad, pairs).otherwise(0))
+
+    met = F.col("_sales").isNotNull()
     row = pair.agg(
-        F.count(N).alias("original_rows"), F.count_if(~F.col("stockout_flag").isin(0, 1)).alias("invalid_stockout_flags"),
-        F.count_if(begin + receipts - sold != end).alias("canonical_equation_mismatch_rows"),
-        F.count_if(end == begin - sold).alias("ending_equals_beginning_minus_sold_rows"),
-        F.count_if((begin - receipts) + receipts - sold == end).alias("derived_balance_ok_rows"),
-        F.count("_sold").alias("cross_checked_rows"), F.count_if(F.col("_sold") != sold).alias("cross_sales_mismatch_rows"),
+        number(pairs).alias("original_rows"), number_if(~F.col("stockout_flag").isin(0, 1)).alias("invalid_stockout_flags"),
+        number_if(begin + receipts - sold != end).alias("canonical_equation_mismatch_rows"),
+        number_if(end == begin - sold).alias("ending_equals_beginning_minus_sold_rows"),
+        number_if((begin - receipts) + receipts - sold == end).alias("derived_balance_ok_rows"),
+        number(F.when(met, F.size("_sales.units")).otherwise(0)).alias("cross_checked_rows"),
+        number(F.when(met, F.size(F.filter("_sales.units", lambda u: u != sold))).otherwise(0)).alias("cross_sales_mismatch_rows"),
     )
     return row.withColumn("canonical_equation_mismatch_pct", pct("canonical_equation_mismatch_rows", "original_rows"))
 
