@@ -23,14 +23,22 @@ def zero_fill(df: DataFrame, keys: Sequence[str], order: str, span: DataFrame, s
     One sort per series and no join with the calendar; the first observation also
     covers the days before it. ``span`` is a one-row (lo, hi) frame.
     """
+    return fill_gaps(with_gaps(df, keys, order, span, step), keys, order, step, values)
+
+
+def with_gaps(df: DataFrame, keys: Sequence[str], order: str, span: DataFrame, step: int) -> DataFrame:
+    """``df`` with the days ``_from`` to ``_to`` that each observation stands for in the dense panel."""
     w = series(keys, order)
-    day = F.col(order)
-    start = F.when(F.lag(order).over(w).isNull(), span.select("lo").scalar()).otherwise(day)
+    start = F.when(F.lag(order).over(w).isNull(), span.select("lo").scalar()).otherwise(F.col(order))
     following = F.lead(order).over(w)
     end = F.when(following.isNull(), span.select("hi").scalar()).otherwise(F.date_sub(following, step))
-    rows = df.withColumns({"_from": start, "_to": end}).withColumn(
-        "_day", F.explode(F.sequence("_from", "_to", F.expr(f"interval {step} days")))
-    )
+    return df.withColumns({"_from": start, "_to": end})
+
+
+def fill_gaps(df: DataFrame, keys: Sequence[str], order: str, step: int, values: Sequence[str]) -> DataFrame:
+    """Dense panel from the rows of ``with_gaps``."""
+    day = F.col(order)
+    rows = df.withColumn("_day", F.explode(F.sequence("_from", "_to", F.expr(f"interval {step} days"))))
     filled = {v: F.when(F.col("_day") == day, F.col(v)).otherwise(F.lit(0).cast(df.schema[v].dataType)) for v in values}
     return rows.select(*keys, F.col("_day").alias(order), *[c.alias(v) for v, c in filled.items()])
 

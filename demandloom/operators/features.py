@@ -164,9 +164,9 @@ def split_bounds(df: DataFrame, train: float = 0.8, validation: float = 0.9) ->
     )
 
 
-def time_split(df: DataFrame) -> DataFrame:
-    """Chronological 80/10/10 split by day span of each source."""
-    marked = df.join(F.broadcast(split_bounds(df)), "source_dataset")
+def time_split(df: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """Chronological 80/10/10 split by day span of each source; ``days``: rows with the same spans, if there are fewer."""
+    marked = df.join(F.broadcast(split_bounds(df if days is None else days)), "source_dataset")
     return marked.withColumn(
         "split",
         F.when(F.col("date") < F.col("val_start"), "train").when(F.col("date") < F.col("test_start"), "validation").otherwise("test"),

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from demandloom.functions.semantics import distinct_of, week_start, with_ordinals
+from demandloom.functions.semantics import distinct_of, series, week_start, with_ordinals
 from demandloom.functions.vocabulary import HORIZONS
 from demandloom.operators import backtest, baselines, cleaning, features, risk, star
 from demandloom.session import stored
@@ -23,6 +23,7 @@ HOLIDAYS = (
     ("Winter Holidays", 12, None, 24, 26),
     ("Last Day of Year", 12, None, 31, 31),
 )
+PANEL_ROWS = 1_000_000  # of the panel, zeros included, in a partition: sorted in memory
 
 
 class Retail:
@@ -176,24 +177,39 @@ class Retail:
         return features.calendar_attributes(days, HOLIDAYS)
 
     @cached_property
-    def sales_grid(self) -> DataFrame:
-        """Zero-filled store x SKU x week panel, one row per series and week."""
+    def sales_weeks(self) -> DataFrame:
+        """Store x SKU x week with sales, and the weeks of the zero-filled panel that each stands for."""
         keys = ["store_id", "sku_id"]
-        weekly = self.daily_units.groupBy(*keys, week_start("date").alias("date")).agg(
+        weekly = self.daily_units.repartition(*keys).groupBy(*keys, week_start("date").alias("date")).agg(
             F.sum("units_sold").alias("units_sold"), F.sum("total_revenue").alias("total_revenue"),
             F.max("promotion_flag").alias("promotion_flag"),
         )
         span = self.date_span.select(week_start("lo").alias("lo"), week_start("hi").alias("hi"))
-        return baselines.zero_fill(weekly, keys, "date", span, 7, ["units_sold", "total_revenue", "promotion_flag"])
+        return baselines.with_gaps(weekly, keys, "date", span, 7)
+
+    @cached_property
+    def sales_grid(self) -> DataFrame:
+        """Zero-filled store x SKU x week panel, one row per series and week."""
+        return baselines.fill_gaps(self.sales_weeks, ["store_id", "sku_id"], "date", 7, ["units_sold", "total_revenue", "promotion_flag"])
 
     @cached_property
     def inventory_snapshots(self) -> DataFrame:
         """Snapshot of a series on every sales day and on the last day of every week."""
-        keys = ["date", "store_id", "sku_id"]
-        sold = self.daily_units.select(*keys, "units_sold")
-        week_end = F.least(F.date_add("date", 6), self.date_span.select("hi").scalar()).alias("date")
-        weeks = self.sales_grid.select(week_end, *keys[1:], F.lit(0).cast("long").alias("units_sold"))
-        rows = sold.unionByName(weeks).groupBy(*keys).agg(F.max("units_sold").alias("units_sold"))
+        keys, own = ["date", "store_id", "sku_id"], ["store_id", "sku_id"]
+        span, units = self.date_span.select("lo", "hi", week_start("lo").alias("lo_week"), week_start("hi").alias("hi_week")), F.col("units_sold")
+        lo_week, hi, hi_week = (span.select(c).scalar() for c in ("lo_week", "hi", "hi_week"))
+        # a sales day emits itself and the week ends up to the next one, the first one also those before it: one row for
+        # each sale is dealt by series, and the snapshots stay where their series is
+        w, day = series(own), F.col("date")
+        bounds = self.daily_units.select(*keys, "units_sold").withColumns({"_first": F.row_number().over(w) == 1, "_next": F.lead("date").over(w), "_last": F.lead(F.lit(1)).over(w).isNull()})
+        bounds = bounds.withColumns({"_from": F.when(F.col("_first"), lo_week).otherwise(week_start(day)), "_to": F.when(F.col("_last"), hi_week).otherwise(F.date_sub(week_start("_next"), 7))})
+        is_end = F.coalesce((day == F.date_add(week_start(day), 6)) | (day == hi), F.lit(False))
+        none = F.array().cast("array<date>")
+        ends = F.when(F.col("_from") <= F.col("_to"), F.sequence(F.date_add("_from", 6), F.date_add("_to", 6), F.expr("interval 7 days"))).otherwise(none)
+        days = F.concat(F.when(is_end, none).otherwise(F.array(day)), ends)
+        rows = bounds.select(*own, day.alias("_day"), F.when(is_end, F.greatest(units, F.lit(0))).otherwise(units).alias("_units"), hi.alias("_hi"), F.explode(days).alias("date"))
+        rows = rows.withColumn("date", F.when(F.col("date") > F.col("_hi"), F.col("_hi")).otherwise(F.col("date")))
+        rows = rows.select(*keys, F.when(F.col("date").eqNullSafe(F.col("_day")), F.col("_units")).otherwise(F.lit(0).cast("long")).alias("units_sold"))
         begin = (
             F.day("date") * 7 + F.month("date") * 5
             + F.substring("sku_id", 5, 10).cast("int") * 11 + F.substring("store_id", 7, 10).cast("int") * 13
@@ -270,15 +286,30 @@ class Retail:
 
     @cached_property
     def panel(self) -> DataFrame:
-        """Dense synthetic weekly series and sparse online daily series, with splits."""
-        keep = ["source_dataset", "entity_id", "product_key", "date", "units_sold", "revenue"]
-        syn = self.sales_grid.select(
+        """Dense synthetic weekly series and sparse online daily series, with splits.
+
+        Only weeks with sales are written and dealt by series; zeros are filled in where a series then lies, so that
+        windows over it need no further shuffle.
+        """
+        keep = [*features.GRAIN, "date", "units_sold", "revenue"]
+        syn = self.sales_weeks.select(
             F.lit("SYNTHETIC").alias("source_dataset"), F.col("store_id").alias("entity_id"),
             F.concat(F.lit("SYN_"), "sku_id").alias("product_key"), "date",
-            F.col("units_sold").cast("double").alias("units_sold"), F.col("total_revenue").alias("revenue"),
+            F.col("units_sold").cast("double").alias("units_sold"), F.col("total_revenue").alias("revenue"), "_from", "_to",
         )
         online = star.online_sales(self.clean_lines).select(*keep[:4], F.col("units_sold").cast("double"), "revenue")
-        return features.time_split(stored(syn.unionByName(online), "panel"))
+        observed = stored(syn.unionByName(online, allowMissingColumns=True), "panel")
+        dense = F.col("source_dataset") == "SYNTHETIC"
+        weeks = F.sequence("_from", "_to", F.expr("interval 7 days"))
+        size = observed.agg(F.sum(F.when(dense, F.size(weeks)).otherwise(1))).first()[0] or 0
+        at_hand = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        dealt = observed.repartition(max(1, min(at_hand, size // 1000), size // PANEL_ROWS), *features.GRAIN)
+        day = F.col("date")
+        rows = dealt.withColumn("_day", F.explode(F.when(dense, weeks).otherwise(F.array(day))))
+        filled = {c: F.when(dense & ~F.coalesce(F.col("_day") == day, F.lit(False)), 0.0).otherwise(F.col(c)) for c in keep[4:]}
+        panel = rows.select(*features.GRAIN, F.col("_day").alias("date"), *[c.alias(n) for n, c in filled.items()])
+        ends = observed.select("source_dataset", F.explode(F.when(dense, F.array("_from", "_to")).otherwise(F.array(day))).alias("date"))
+        return features.time_split(panel, ends)
 
     @cached_property
     def baseline_predictions(self) -> DataFrame:

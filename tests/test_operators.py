@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from demandloom.operators import backtest, baselines, bi, cleaning, features, metrics, monitoring, quality, risk, scenarios
+from demandloom.sources.retail import Retail
 
 D0 = dt.date(2020, 1, 6)
 
@@ -205,3 +206,63 @@ def test_distinct_counts_send_a_line_once(spark, capsys):
     star.online_sales(lines).explain()
     plan = capsys.readouterr().out
     assert "Expand" not in plan and plan.count("Exchange") == 1
+
+
+def _sales_tables(spark, folder):
+    """A few lines of three series: sales on a week end, on the first and last day, on a day without a store, and two series without any."""
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_shipdate timestamp"
+    rows = [(day, part, store, units) for day, part, store, units in (
+        ("1996-01-03", 1, 1, 5.0), ("1996-01-08", 1, 1, 2.0), ("1996-01-09", 1, 1, 7.0), ("1996-02-21", 1, 1, 3.0), ("1996-01-20", 2, 1, 90.0),
+        ("1996-01-20", 2, 1, 1.0), ("1996-01-15", 1, 2, None), ("1996-01-16", 1, None, 4.0), (None, 2, 2, 6.0), ("1996-02-21", 2, 3, 1.0))]
+    made = [(i, part, store, units, 10.0, 0.0, day and dt.datetime.fromisoformat(day)) for i, (day, part, store, units) in enumerate(rows)]
+    spark.createDataFrame(made, line).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(1, "Brand#11"), (2, "Brand#12")], "p_partkey long, p_brand string").write.parquet(f"{folder}/part.parquet")
+    return rows
+
+
+def _planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_inventory_snapshots_are_sales_days_and_week_ends(spark, tmp_path):
+    rows = _sales_tables(spark, tmp_path)
+    expect, lo, hi = {}, dt.date(1996, 1, 2), dt.date(1996, 2, 21)  # weeks start on Tuesdays
+    for day, part, store, units in rows:
+        key = (store and f"STORE_{store}", f"SKU_{part + 10}")
+        at = expect.setdefault(key, {})
+        for k in range(8):
+            at.setdefault(min(lo + dt.timedelta(7 * k + 6), hi), 0)
+        day = day and dt.date.fromisoformat(day)
+        at[day] = units if day not in at else (at[day] or 0) + (units or 0)
+    snapshots = Retail(spark, str(tmp_path)).inventory_snapshots
+    got = [(r.store_id, r.sku_id, r.date, r.units_sold) for r in snapshots.collect()]
+    want = [(*key, day, units) for key, at in expect.items() for day, units in at.items()]
+    assert sorted(got, key=str) == sorted([(a, b, d, u if u is None else int(u)) for a, b, d, u in want], key=str)
+    # the sales are dealt by series; snapshots, far more rows, are not
+    counted = snapshots.groupBy("sku_id", "store_id").count()
+    assert _planned(counted).count("Exchange hashpartitioning") == 1
+
+
+def test_inventory_rules_match_a_join(spark):
+    columns = "date date, store_id string, sku_id string, units_sold long"
+    rows = [(f"1996-01-0{d}", s, k, u) for d, s, k, u in ((1, "a", "x", 1), (1, "a", "x", 2), (2, "a", "x", 3), (3, "a", "y", None), (4, None, "x", 4), (5, "b", "x", 5))]
+    typed = [F.col("date").cast("date").alias("date"), "store_id", "sku_id", "units_sold"]
+    text = columns.replace("date date", "date string")
+    sales = spark.createDataFrame([*rows, (None, "a", "x", 9), ("1996-01-05", "b", "x", None), ("1996-01-05", "b", "x", 6)], text).select(*typed)
+    snapshots = spark.createDataFrame([*rows, (None, "a", "x", 9), ("1996-01-09", "a", "x", 8)], text).select(*typed).withColumns({
+        "beginning_inventory": F.lit(10).cast("long"), "receipts": F.col("units_sold") % 2, "stockout_flag": F.col("units_sold") % 4, "ending_inventory": 10 - F.col("units_sold")})
+    pair = snapshots.join(sales.withColumnRenamed("units_sold", "_sold"), ["date", "store_id", "sku_id"], "left")
+    want = pair.agg(F.count("*"), F.count_if(~F.col("stockout_flag").isin(0, 1)), F.count_if(10 + F.col("receipts") - F.col("units_sold") != F.col("ending_inventory")),
+                    F.count("_sold"), F.count_if(F.col("_sold") != F.col("units_sold"))).first()
+    got = quality.inventory_rules(snapshots, sales).first()
+    assert tuple(want) == (got.original_rows, got.invalid_stockout_flags, got.canonical_equation_mismatch_rows, got.cross_checked_rows, got.cross_sales_mismatch_rows)
+    none = quality.inventory_rules(snapshots.limit(0), sales).first()
+    assert none.original_rows == 0 and none.cross_checked_rows == 0
+
+
+def test_windows_over_the_panel_need_no_shuffle(spark, sf):
+    panel = Retail(spark, sf).panel
+    lagged = panel.withColumn("before", baselines.seasonal_naive(features.series(features.GRAIN)))
+    assert _planned(lagged).count("Exchange hashpartitioning") == _planned(panel).count("Exchange hashpartitioning") == 1
+    series = panel.where("source_dataset = 'SYNTHETIC'").groupBy(*features.GRAIN).agg(F.count("*").alias("n"), F.count_distinct("date").alias("d"), F.min("date").alias("lo"))
+    assert series.select("n", "d", "lo").distinct().count() == 1  # as many weeks in each, from the same one on
