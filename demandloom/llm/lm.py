@@ -14,7 +14,8 @@ two other words, it is the partition of the second that counts it; the partition
 once for each partition. A hot word's postings would be the long ones; any other word is rarer than all of them.
 
 Postings and sent counts are shuffled once, into tables bucketed by the partition of words; the passes that count, that
-gather held-out cells and that score read these buckets as they lie, each only the columns it needs.
+gather held-out cells and that score read these buckets as they lie, each only the columns it needs. Arrays travel
+and lie there compressed.
 """
 
 from __future__ import annotations
@@ -53,6 +54,20 @@ class Hot:
     pair_held: np.ndarray
 
 
+def _shut():
+    """Compressor of the arrays that travel: counts, places and document keys are mostly zero bytes."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress
+
+
+def _opened(rows: list[dict]) -> list[dict]:
+    import zstandard
+
+    unzip = zstandard.ZstdDecompressor().decompress
+    return [{k: unzip(v) if isinstance(v, bytes) else v for k, v in r.items()} for r in rows]
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Chunks of whole documents: document keys, parts, token hashes (with ends), token counts of the documents."""
     docs: list[int] = []
@@ -126,6 +141,7 @@ def _poster(words: np.ndarray, keys: np.ndarray, cold: int):
     kind = _width(len(words), partitions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shut = _shut()
         for docs, parts, w, n in _tokens(batches):
             index = _find(words, w).astype(np.int32)
             all_to = (mix(w) % U(partitions)).astype(np.int32)
@@ -149,7 +165,8 @@ def _poster(words: np.ndarray, keys: np.ndarray, cold: int):
                     continue
                 new = np.flatnonzero(np.concatenate([[True], w[a + 1 : b] != w[a : b - 1]]))
                 used, at = np.unique(doc[a:b], return_inverse=True)
-                rows.append((int(keys[p]), chunk, w[a:b][new].tobytes(), np.diff(np.append(new, b - a)).astype("<u4").tobytes(), before[a:b].astype(kind).tobytes(), first[a:b][before[a:b] == COLD].tobytes(), after[a:b].astype(kind).tobytes(), at.astype("<u2" if len(used) < 65536 else "<u4").tobytes(), docs[used].tobytes(), parts[used].tobytes()))
+                made = (w[a:b][new], np.diff(np.append(new, b - a)).astype("<u4"), before[a:b].astype(kind), first[a:b][before[a:b] == COLD], after[a:b].astype(kind), at.astype("<u2" if len(used) < 65536 else "<u4"), docs[used], parts[used])
+                rows.append((int(keys[p]), chunk, *[shut(x.tobytes()) for x in made]))
             names = ["p", "chunk", "words", "runs", "before", "firsts", "after", "at", "docs", "parts"]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.binary()) for k, c in enumerate(zip(*rows) if rows else [[]] * len(names))], names)
 
@@ -237,7 +254,7 @@ def _bucketed(rows: DataFrame, buckets: int, name: str) -> DataFrame:
 
 
 def _rows(table: pa.Table) -> list[dict]:
-    return table.to_pylist()
+    return _opened(table.to_pylist())
 
 
 CELL = 8.0  # cells of a factor 2 in which held-out probabilities are gathered
@@ -307,7 +324,8 @@ def score_documents(docs: DataFrame, part: Column, contexts: int | None = None,
         use = after <= COLD
         to, number = np.divmod(np.unique((COLD - after[use].astype(np.int64)) * len(t.names) + t.number[use]), len(t.names))
         cuts = np.searchsorted(to, np.arange(partitions + 1))
-        out = [(int(keys[p]), *[x[number[cuts[p] : cuts[p + 1]]].tobytes() for x in (t.names, train, held)]) for p in np.flatnonzero(np.diff(cuts))]
+        shut = _shut()
+        out = [(int(keys[p]), *[shut(x[number[cuts[p] : cuts[p + 1]]].tobytes()) for x in (t.names, train, held)]) for p in np.flatnonzero(np.diff(cuts))]
         return pa.Table.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(zip(*out) if out else [[]] * 4)], ["p", "sent", "sent_train", "sent_held"])
 
     if cold == COLD:
@@ -405,11 +423,13 @@ def score_documents(docs: DataFrame, part: Column, contexts: int | None = None,
             c2 = np.bincount(which, learned[near])[which]
             score += np.bincount(at[near], scores(c1[near], c2, count[following]), k)
         cuts = np.cumsum([len(r["docs"]) // 8 for r in rows])[:-1]
-        parts = [[x.tobytes() for x in np.split(x, cuts)] for x in (n_known, base, score)]
-        return pa.Table.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([r["docs"] for r in rows], pa.binary()), *[pa.array(x, pa.binary()) for x in parts]], ["p", "docs", "n_known", "base", "score"])
+        shut = _shut()
+        parts = [[shut(x.tobytes()) for x in np.split(x, cuts)] for x in (n_known, base, score)]
+        return pa.Table.from_arrays([pa.array([r["chunk"] for r in rows], pa.int64()), pa.array([shut(r["docs"]) for r in rows], pa.binary()), *[pa.array(x, pa.binary()) for x in parts]], ["p", "docs", "n_known", "base", "score"])
 
     def gathered(rows: list[dict]) -> pa.RecordBatch:
         """The sums of a chunk's documents over all partitions of words."""
+        rows = _opened(rows)
         ids, at = np.unique(np.concatenate([np.frombuffer(r["docs"], np.int64) for r in rows]), return_inverse=True)
         known_, base, score = (np.bincount(at, np.concatenate([np.frombuffer(r[c], t) for r in rows]), len(ids)) for c, t in (("n_known", np.int64), ("base", float), ("score", float)))
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (ids, np.zeros(len(ids), np.int64), known_.astype(np.int64), base, score)], names)

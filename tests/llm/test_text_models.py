@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import base_scores, crc_fold, language_mixtures, licences, longest_match, words
 from pyspark.sql import functions as F
@@ -295,3 +296,14 @@ def test_wrapped_licences_and_several_in_a_line(spark, licensed):
     assert got == {(k, mark): ([k], 1) for k in WRAPPED for mark in marks}
     assert found[3_000_000].families == ["Apache-2.0", "MIT"] and found[3_000_000].n_notices == 2
     assert found[3_000_001].n_notices == 3 and found[3_000_002].license == "MIT" and found[3_000_003].license is None
+
+
+def test_postings_travel_compressed():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 300)) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array([lm.TRAIN] * 200, pa.int32()), pa.array(texts)], ["doc_id", "part", "text"])
+    shut = [r for b in lm._poster(np.empty(0, np.uint64), np.arange(3), lm.COLD)(iter([batch])) for r in b.to_pylist()]
+    rows = lm._opened(shut)
+    size = lambda of: sum(len(v) for r in of for v in r.values() if isinstance(v, bytes))
+    assert size(shut) < 0.7 * size(rows)
+    assert sum(np.frombuffer(r["runs"], "<u4").sum() for r in rows) == 200 * 301 and len({w for r in rows for w in np.frombuffer(r["words"], "<u8")}) == len({w for t in texts for w in t.split()}) + 1
