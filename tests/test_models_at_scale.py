@@ -74,3 +74,60 @@ def test_means_of_one_span_share_a_sort(spark):
     for r in sorted(made.collect(), key=lambda r: r.t):
         assert r.e13 is None if not den else r.e13 == pytest.approx(num / den, rel=1e-9)
         num, den = num * keep + (r.v or 0.0), den * keep + (r.v is not None)
+
+
+@pytest.fixture(scope="module")
+def panel(spark):
+    rng = random.Random(8)
+    made = []
+    for k in range(4):
+        for i in range(90 if k < 3 else 12):
+            day = dt.date(2020, 1, 7) + dt.timedelta(days=7 * (i if k < 3 else i + 78))
+            units = None if k == 1 and i % 6 == 4 else float(rng.choice([0, 0, 3, 8]) + (i % 4) * 4)
+            split = "train" if day < dt.date(2021, 1, 1) else "validation" if day < dt.date(2021, 4, 1) else "test"
+            made.append(("SYNTHETIC", f"S{k}", "p", day, units, (units or 0) * 2.5, split))
+    return stored(spark.createDataFrame(made, "source_dataset string, entity_id string, product_key string, date date, units_sold double, revenue double, split string").coalesce(1), "panel")
+
+
+def test_recursion_feeds_back_what_the_model_says(spark, panel):
+    """Steps in plain Python, scored one at a time by MLlib's own model; nulls are no values, and few rows come in a batch."""
+    import numpy as np
+    from demandloom.operators import scenarios
+    from pyspark.ml.linalg import Vectors
+
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    models, true = [], ml.fit
+    try:
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(ml, "fit", lambda rows, *args: (models.append((rows.count(), true(rows.where("label IS NOT NULL"), *args))), models[-1][1])[1])
+            got = {(r.entity_id, r.origin_date, r.horizon): (r.target_date, r.actual, r.prediction) for r in ml.recursive(panel.where("split <> 'train' OR units_sold IS NOT NULL"), (1, 3, 7), trees=4).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    (learned, model), = models
+    prepared, trees = model.stages[0], model.stages[-1]
+    of = {}
+    for r in sorted(panel.where("split <> 'train' OR units_sold IS NOT NULL").collect(), key=lambda r: r.date):
+        of.setdefault(r.entity_id, []).append(r)
+    assert learned == sum(1 for rows in of.values() for i, r in enumerate(rows) if r.split == "train" and i)
+    want = {}
+    for entity, rows in of.items():
+        first = next(i for i, r in enumerate(rows) if r.split == "test")
+        for i in range(first, len(rows), 7):
+            past, future = rows[max(0, i - 35):i], rows[i:i + 30]
+            values = [r.units_sold for r in past if r.units_sold is not None]
+            prices = [r.revenue / r.units_sold for r in rows[:i] if r.units_sold]
+            if not values or len(future) < 2:
+                continue
+            for h, r in enumerate(future[:7], 1):
+                state = np.zeros((1, 35))
+                state[0, 35 - len(values):] = values
+                none = np.zeros(1)
+                found = scenarios.terms(scenarios.State(state, np.array([len(values)]), np.array([r.date], "datetime64[D]"), none, none))
+                given = [float(found[c][0]) for c in ml.OWN_TERMS] + [prices[-1] if prices else None]
+                inputs = [m if v is None else v for v, m in zip(given, prepared.medians.values())] + [float(given[prepared.numeric.index(c)] is None) for c in prepared.gaps]
+                p = max(0.0, trees.predict(Vectors.dense(inputs)))
+                if h in (1, 3, 7):
+                    want[entity, past[-1].date, h] = (r.date, r.units_sold, pytest.approx(p, rel=1e-9))
+                values = [*values, p][-35:]
+    assert got == want and len(want) > 20
