@@ -131,3 +131,29 @@ def test_recursion_feeds_back_what_the_model_says(spark, panel):
                     want[entity, past[-1].date, h] = (r.date, r.units_sold, pytest.approx(p, rel=1e-9))
                 values = [*values, p][-35:]
     assert got == want and len(want) > 20
+
+
+def test_permutation_scores_a_row_once_and_equals_scoring_each_feature(spark, rows):
+    known = stored(ml.with_indicators(rows, ["x", "y"]).withColumn("label", F.when(F.col("x") > 0.02, F.col("label"))), "known")
+    model = ml.fit(known.where("split = 'train' AND label IS NOT NULL"), ["x", "y"], ml.boosted(5, 3), ["c"])
+    held, keys = known.where("split <> 'train'"), ["product_key", "week"]
+    made = ml.permutation_importance(model, held, keys, 2, bucket_rows=64)
+    plan = made._jdf.queryExecution().analyzed().toString()
+    assert "explode" not in plan  # a row stood once for each feature
+    error = lambda df: df.select(F.avg(F.abs(F.col("label") - F.col("prediction")))).first()[0]
+    base, want = error(ml.score(model, held)), {}
+    for c in ("x", "y", "c"):
+        parts = [ml.shuffled(held.withColumn("_moved", F.struct("x", "y", "c")), "_moved", keys, ml.SEED + k, held.count() // 64) for k in range(2)]
+        want[c] = error(ml.score(model, parts[0].unionByName(parts[1]).withColumn(c, F.col(f"_moved.{c}")).drop("_moved"))) - base
+    assert {r.feature: (r.mae_increase, r.repeats) for r in made.collect()} == {c: (pytest.approx(w, abs=2e-6), 2) for c, w in want.items()}
+
+
+def test_hurdle_scores_rows_where_they_lie(spark, rows, monkeypatch):
+    meet, true = threading.Barrier(2, timeout=60), ml.fit  # classifier and regressor wait for each other
+    monkeypatch.setattr(ml, "fit", lambda *args: (meet.wait(), true(*args))[1])
+    panel = rows.withColumns({"entity_id": F.lit("e"), "date": F.col("week"), "units_sold": F.when(F.col("x") > 0.4, F.col("units_sold")).otherwise(0.0)})
+    table = ml.hurdle(panel.drop("week"), ["x", "y"], (0.3, 0.6), 3)
+    assert "Join" not in table._jdf.queryExecution().optimizedPlan().toString()  # was joined by series and date
+    got = {(r.split, r.threshold): r.n for r in table.collect()}
+    assert got == {(s, h): 150 for s in ("validation", "test") for h in (0.3, 0.6)}
+    assert table.where("selected").select("threshold").distinct().count() == 1
