@@ -157,3 +157,21 @@ def test_hurdle_scores_rows_where_they_lie(spark, rows, monkeypatch):
     got = {(r.split, r.threshold): r.n for r in table.collect()}
     assert got == {(s, h): 150 for s in ("validation", "test") for h in (0.3, 0.6)}
     assert table.where("selected").select("threshold").distinct().count() == 1
+
+
+def test_forecasts_of_a_cut_panel_are_those_of_the_whole(spark, sf):
+    """Weeks that no forecast looks back to are not filled in; what is forecast stays, null keys and dates too."""
+    from demandloom.operators import baselines
+    from demandloom.sources.retail import Retail
+    from demandloom.functions.vocabulary import HORIZONS
+
+    t = Retail(spark, sf)
+    whole, cut = t.panel, t.panel_since("test_start", 36)
+    assert cut.count() < whole.count() / 2  # all weeks were sorted
+    assert cut.where("source_dataset = 'UCI'").count() == whole.where("source_dataset = 'UCI'").count()
+    rounded = lambda df: df.withColumns({c: F.round(c, 9) for c in ("prediction", "lower_bound", "upper_bound")})
+    want, got = rounded(baselines.horizon_forecasts(whole, HORIZONS)), rounded(t.forecast_rows)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+    assert rounded(t.forecasts_at([1])).exceptAll(want.where("horizon = 1")).isEmpty()
+    late = lambda p: baselines.attach_baselines(p).where("split <> 'train'").select("source_dataset", "entity_id", "product_key", "date", F.round("moving_average_7", 9))
+    assert late(t.panel_since("val_start", 7)).exceptAll(late(whole)).isEmpty() and late(t.panel_since("val_start", 7)).count() == late(whole).count()
